@@ -122,9 +122,10 @@ LINES = f"""pieces AS (
     CASE WHEN invalid THEN [] ELSE string_split(content, chr(10)) END AS split
   FROM eligible),
 numbered AS (
-  SELECT * EXCLUDE (split), trim(u.line, {text(dims.WHITESPACE)}) AS line, CAST(u.i - 1 AS INTEGER) AS pos
-  FROM pieces, LATERAL (SELECT unnest(split) AS line, unnest(range(1, len(split) + 1)) AS i) u
-  WHERE NOT (u.i = len(split) AND u.line = '')),
+  SELECT pieces.*, trim(u.piece, {text(dims.WHITESPACE)}) AS line,
+    CAST(u.i - 1 AS INTEGER) AS pos
+  FROM pieces, LATERAL (SELECT unnest(split) AS piece, unnest(range(1, len(split) + 1)) AS i) u
+  WHERE NOT (u.i = len(split) AND u.piece = '')),
 lines AS (
   SELECT repo, path, language, ordinal, is_other, pos,
     CASE WHEN line = '' THEN 'blank'
