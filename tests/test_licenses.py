@@ -1,0 +1,119 @@
+"""Licence files, scores and classification."""
+
+import pytest
+from pyspark.sql import functions as F
+
+import codetally as ct
+from codetally.sources import dimensions as dims
+
+CUSTOM, UNKNOWN = dims.CUSTOM_LICENSE, dims.UNKNOWN_LICENSE
+ONE_OF_FIVE, TWO_OF_FIVE = 0.30000000000000004, 0.6000000000000001
+
+GOLDEN = [
+    ("GL1", "Released under the MIT License.", "MIT", 0.375),
+    ("GL2", "Licensed under the Apache License, Version 2.0.", "Apache2", ONE_OF_FIVE),
+    ("GL3", "This work is licensed under the GNU General Public License, version 3.", "GPL3", ONE_OF_FIVE),
+    ("GL4", "Licensed under CC BY-NC 4.0.", CUSTOM, 0.0),
+    ("GL5", "Redistribution and use in source and binary forms", "BSD3", 0.375),
+    ("GL6", "BSD 2-Clause License: Redistribution and use in source and binary forms", "BSD2", 0.75),
+    ("GL7", "either version 3 of the License", "LGPL", ONE_OF_FIVE),
+    ("GL8", "GNU General Public License version 3; either version 3 of the License", "GPL3", TWO_OF_FIVE),
+    ("GL9", "MIT License / Mozilla Public License 2", "MPL2", 0.375),
+    ("GL10", "Mozilla Public License, Version 2.0", "MPL2", 0.375),
+    ("GL11", "MIT © 2024", "MIT", 0.375),
+    ("GL12", "MIT © ", CUSTOM, 0.0),
+    ("GL13", "GNU Lesser General Public License", "LGPL", TWO_OF_FIVE),
+    ("GL14", "GNU GENERAL PUBLIC LICENSE\nVersion 3", CUSTOM, 0.0),
+    ("GL15", "Permission is hereby granted, free of charge", CUSTOM, 0.0),
+    ("GL16", "unlicense.org", "Unlicense", 0.5),
+    ("GL17", "ISC License", "ISC", 0.375),
+    ("GL18", "", UNKNOWN, 0.0),
+    ("GL19", "  ", CUSTOM, 0.0),
+    ("split", "m.i.t (li\"ce'nse)", "MIT", 0.375),
+    ("agpl", "GNU AGPL version 3, GNU Affero General Public License", "AGPL3", 0.8999999999999999),
+]
+
+
+@pytest.fixture(scope="module")
+def texts(spark):
+    rows = [(case[0], case[1]) for case in GOLDEN]
+    return spark.createDataFrame([*rows, ("null", None)], "id string, text string")
+
+
+def test_golden_classification(texts):
+    found = {row["id"]: row for row in ct.classify_license(texts).collect()}
+    for case, _, license_name, score in GOLDEN:
+        row = found[case]
+        confidence = 0.0 if license_name in (CUSTOM, UNKNOWN) else 1.0
+        assert (case, row["license"], row["score"], row["confidence"]) == (case, license_name, score, confidence)
+    assert (found["null"]["license"], found["null"]["confidence"]) == (UNKNOWN, 0.0)
+
+
+def test_last_of_three_tied_licences_wins(spark):
+    text = "GNU Affero General Public License; GNU General Public License version 3; GNU Library General Public License"
+    row = ct.classify_license(spark.createDataFrame([(1, text)], "id int, text string")).first()
+    assert (row["license"], row["score"]) == ("AGPL3", ONE_OF_FIVE)
+
+
+def brute_force(text):
+    """matches per licence, straight from the full phrase table."""
+    kept = "".join(char for char in text if char not in dims.LICENSE_DELETED_CHARS)
+    normal = kept.strip(dims.WHITESPACE).lower()
+    return {name: sum(p in normal for p in phrases) for name, phrases in dims.LICENSE_FINGERPRINTS}
+
+
+def test_scores_agree_with_brute_force(spark, texts):
+    phrases = [p for _, ps in dims.LICENSE_FINGERPRINTS for p in ps]
+    rows = [(f"{i}", f"{phrases[i]} x {phrases[(i * 7 + 3) % len(phrases)].upper()} ") for i in range(len(phrases))]
+    samples = texts.where("text is not null").union(spark.createDataFrame(rows, "id string, text string"))
+    expected = {}
+    totals = {name: len(ps) for name, ps in dims.LICENSE_FINGERPRINTS}
+    for row in samples.collect():
+        for name, hits in brute_force(row["text"]).items():
+            score = min(1.0, (hits / totals[name]) * 1.5) if hits else 0.0
+            expected[row["id"], name] = (hits, totals[name], score)
+    found = {
+        (row["id"], row["license"]): (row["matches"], row["total"], row["score"])
+        for row in ct.license_scores(samples).collect()
+    }
+    assert found == expected
+
+
+def test_every_live_phrase_has_an_anchor():
+    for *_, phrase in dims.fingerprint_rows():
+        assert any(anchor in phrase for anchor in dims.LICENSE_ANCHORS), phrase
+
+
+def test_dimension_sizes(spark):
+    assert dims.languages(spark).count() == 54
+    assert dims.extensions(spark).count() == 105
+    assert dims.fingerprints(spark).count() == 31
+    assert sum(len(phrases) for _, phrases in dims.LICENSE_FINGERPRINTS) == 48
+    assert len(set(dims.LICENSE_FILENAMES)) == 22
+    assert len(dims.LANGUAGE_ALIASES) == 22
+
+
+NAMES = ["LICENSE", "LiCeNsE.Md", "COPYING", "MIT-LICENSE", "LICENSE.html", "sub/LICENSE", "copying.rst", "a.py"]
+
+
+@pytest.mark.parametrize("root, prefix", [("", ""), ("r", "r/"), ("r/", "r/"), ("/x/r", "/x/r/")])
+def test_license_files_are_in_the_root(spark, root, prefix):
+    files = spark.createDataFrame([(prefix + name,) for name in NAMES], "path string")
+    found = ct.license_files(files, root).orderBy("file").collect()
+    assert [row["file"] for row in found] == ["COPYING", "LICENSE", "LiCeNsE.Md", "MIT-LICENSE"]
+
+
+def test_license_report(spark):
+    rows = [
+        ("p", "p/LICENSE", bytearray(b"MIT License")),
+        ("p", "p/COPYING", bytearray(b"hello")),
+        ("p", "p/sub/LICENSE", bytearray(b"ISC License")),
+        ("q", "q/license.md", bytearray(b"\xff MIT License")),
+    ]
+    files = spark.createDataFrame(rows, "repo string, path string, content binary")
+    report = ct.license_report(files, root=F.col("repo"), by=["repo"]).orderBy("repo", "file").collect()
+    assert [(r["repo"], r["file"], r["license"], r["confidence_pct"], r["line"]) for r in report] == [
+        ("p", "COPYING", CUSTOM, "0%", f"{CUSTOM} (0% confidence) in COPYING"),
+        ("p", "LICENSE", "MIT", "100%", "MIT          (100% confidence) in LICENSE"),
+        ("q", "license.md", UNKNOWN, "0%", "Unknown      (0% confidence) in license.md"),
+    ]
