@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -26,19 +27,31 @@ def extension(path: Column) -> Column:
 
 
 def normalised(path: Column) -> Column:
-    """Drop ``.`` components and repeated slashes; ``..`` is kept."""
+    """Drop ``.`` components and repeated slashes; ``..`` is kept.
+
+    Almost every path is already normal, so the regular expressions are run only
+    on a path that shows a reason to.
+    """
     single_slashes = F.regexp_replace(path, "/{2,}", "/")
-    return F.regexp_replace(single_slashes, r"(^|/)(?:\./)+", "$1")
+    cleaned = F.regexp_replace(single_slashes, r"(^|/)(?:\./)+", "$1")
+    suspect = path.contains("//") | path.contains("./")
+    return F.when(suspect, cleaned).otherwise(path)
 
 
 def is_ignored(path: Column, fragments: list[str]) -> Column:
     """True when any fragment occurs anywhere in the normalised path.
 
     A plain substring test: ``dist`` also ignores ``distance.py`` and
-    ``redistribute/``, and an empty fragment ignores everything.
+    ``redistribute/``, and an empty fragment ignores everything. A fragment that
+    contains another one adds nothing and is left out.
     """
     clean = normalised(path)
-    return reduce(lambda hit, part: hit | clean.contains(part), fragments, F.lit(False))
+    needed = [
+        fragment
+        for fragment in dict.fromkeys(fragments)
+        if not any(other != fragment and other in fragment for other in fragments)
+    ]
+    return reduce(or_, [clean.contains(fragment) for fragment in needed], F.lit(False))
 
 
 def ancestors(directory: Column) -> Column:

@@ -72,13 +72,10 @@ def file_stats(files: DataFrame, **filters) -> DataFrame:
     ``path`` however many files there are.
     """
     keep = ["repo", "path", "language", "is_other"]
+    single = lines.marker_columns(F.col("single"))
+    trimmed = F.transform("pieces", lines.left_trimmed)
     kinds = F.transform(
-        "pieces",
-        lambda line: lines.line_kind(
-            lines.left_trimmed(line),
-            lines.marker_columns(F.col("single")),
-            F.col("multi_start"),
-        ),
+        trimmed, lambda line: lines.line_kind(line, single, F.col("multi_start"))
     )
 
     def tally(kind: str) -> Column:

@@ -49,12 +49,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(scan: DataFrame) -> DataFrame:
-    """Use all cores for a scan of very few splits, such as a single row group.
+    """Use all cores for a table of few splits.
 
-    A scan with enough splits, which is every large table, is left alone.
+    A small Parquet file may hold all its rows in one row group, hence in one
+    task. Fewer than two splits per core is at most a few hundred megabytes per
+    core to shuffle; any larger table is left as it is.
     """
     cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan.repartition(cores) if scan.rdd.getNumPartitions() * 4 <= cores else scan
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < 2 * cores else scan
 
 
 def _pick(items: list[str], index: Column) -> Column:
