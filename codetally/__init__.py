@@ -15,6 +15,7 @@ from codetally.operators.stats import (
     subtree_stats,
 )
 from codetally.plans.reports import license_report, summary_lines, summary_report
+from codetally.sources.files_table import read_files_table, write_files_table
 from codetally.sources.source_tree import read_source_tree, read_source_trees
 
 __all__ = [
@@ -30,9 +31,11 @@ __all__ = [
     "license_files",
     "license_report",
     "license_scores",
+    "read_files_table",
     "read_source_tree",
     "read_source_trees",
     "subtree_stats",
     "summary_lines",
     "summary_report",
+    "write_files_table",
 ]

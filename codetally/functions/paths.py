@@ -8,6 +8,8 @@ from operator import or_
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from codetally.sources.dimensions import LICENSE_FILENAMES
+
 
 def basename(path: Column) -> Column:
     return F.substring_index(path, "/", -1)
@@ -54,6 +56,11 @@ def is_ignored(path: Column, fragments: list[str]) -> Column:
     return reduce(or_, [clean.contains(fragment) for fragment in needed], F.lit(False))
 
 
+def is_license_name(path: Column) -> Column:
+    """True when the file name, in any case, is that of a licence file."""
+    return F.lower(basename(path)).isin(LICENSE_FILENAMES)
+
+
 def ancestors(directory: Column) -> Column:
     """The directory itself and all its parents, as an array of paths."""
     parts = F.split(directory, "/")

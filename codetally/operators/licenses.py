@@ -12,20 +12,25 @@ from pyspark.sql import functions as F
 from codetally.functions import licenses as lic
 from codetally.functions import paths
 from codetally.sources import dimensions as dims
+from codetally.sources.files_table import LICENSE_PARTITION
 
 
 def license_files(files: DataFrame, root: str | Column = "") -> DataFrame:
     """Files directly in ``root`` whose name, in any case, is a licence name.
 
     ``root`` is a path or a column (one root per repository); adds ``file``.
+    On a table from :func:`write_files_table` only the partition with licence
+    names is read.
     """
+    if LICENSE_PARTITION in files.columns:
+        files = files.where(LICENSE_PARTITION)
     root = F.lit(root) if isinstance(root, str) else root
     prefix = F.when((root == "") | F.endswith(root, F.lit("/")), root).otherwise(
         F.concat(root, F.lit("/"))
     )
-    name = paths.basename(F.col("path"))
+    path, name = F.col("path"), paths.basename(F.col("path"))
     return files.where(
-        F.lower(name).isin(dims.LICENSE_FILENAMES) & (F.col("path") == F.concat(prefix, name))
+        paths.is_license_name(path) & (path == F.concat(prefix, name))
     ).withColumn("file", name)
 
 

@@ -32,6 +32,7 @@ ENTRIES_PER_WALK = 50_000  # entries a task lists before it hands back directori
 BYTES_PER_READ = 128 << 20  # content one read task should see
 FILES_PER_READ = 10_000
 BYTES_PER_BATCH = 32 << 20  # content held in one Arrow batch
+MAX_FILE_BYTES = (2 << 30) - (64 << 20)  # content is one binary value of a row
 
 ENTRY_FIELDS = pa.schema([
     ("repo", pa.string()),
@@ -96,7 +97,7 @@ def _list_trees(roots: DataFrame, fragments: list[str]) -> DataFrame:
     round spreads over all tasks again, so a lopsided tree does not end up in one
     task. Every round is checkpointed: a lost executor repeats only its round.
     """
-    tasks = roots.sparkSession.sparkContext.defaultParallelism
+    cores = roots.sparkSession.sparkContext.defaultParallelism
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return _walk(batches, fragments)
@@ -106,13 +107,14 @@ def _list_trees(roots: DataFrame, fragments: list[str]) -> DataFrame:
         F.lit(0).cast("long").alias("size"),
     )
     found = None
-    while True:
+    while found is None or (pending := frontier.count()):
+        # The first round has only the roots, a table of unknown but modest size.
+        tasks = cores if found is None else min(pending, cores)
         listed = frontier.repartition(tasks).mapInArrow(walk, ENTRY_SCHEMA).checkpoint()
         files = listed.where(~F.col("pending"))
         found = files if found is None else found.unionByName(files)
         frontier = listed.where("pending")
-        if frontier.isEmpty():
-            return found.drop("pending")
+    return found.drop("pending")
 
 
 def _open_root(root: str) -> tuple[fs.FileSystem, str]:
@@ -192,25 +194,30 @@ def _read_files(
     rows, held = [], 0
     for batch in batches:
         for entry in batch.to_pylist():
-            system, base = _open_root(entry["root"])
+            path = _join(entry["root"], entry["name"])
             try:
-                with system.open_input_stream(
-                    _join(base, entry["name"]), compression=None
-                ) as stream:
-                    content = stream.read()
+                content = _read_whole(entry, path)
             except OSError:
                 if skip_errors:
                     continue
                 raise
-            rows.append((entry["repo"], _join(entry["root"], entry["name"]), content))
-            held += len(content)
-            if held >= BYTES_PER_BATCH:
+            if rows and held + len(content) > BYTES_PER_BATCH:
                 yield _files(rows)
                 rows, held = [], 0
+            rows.append((entry["repo"], path, content))
+            held += len(content)
     if rows:
         yield _files(rows)
 
 
+def _read_whole(entry: dict, path: str) -> bytes:
+    if entry["size"] > MAX_FILE_BYTES:
+        raise OSError(f"{path}: {entry['size']} bytes do not fit in one row")
+    system, base = _open_root(entry["root"])
+    with system.open_input_stream(_join(base, entry["name"]), compression=None) as stream:
+        return stream.read()
+
+
 def _files(rows: list[tuple]) -> pa.RecordBatch:
     columns = [pa.array(values, field.type) for values, field in zip(zip(*rows), FILE_FIELDS)]
     return pa.RecordBatch.from_arrays(columns, schema=FILE_FIELDS)

@@ -71,7 +71,7 @@ def _shape_cases() -> str:
 
 SOURCE_FILES = f"""files AS (
   SELECT source AS repo,
-    'r/' || source || '/' || {pick(t.DIRECTORIES, "(doc_id // 12)")}
+    'r/' || source || '/' || {pick(t.DIRECTORIES, "doc_id")}
       || '/f' || doc_id || {pick(t.EXTENSIONS, "doc_id")} AS path,
     doc_id % 97 <> 0 AND doc_id % 89 = 88 AS invalid,
     CASE WHEN doc_id % 97 = 0 THEN '' ELSE

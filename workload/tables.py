@@ -1,8 +1,9 @@
 """Files tables derived from the driver's tables.
 
 ``documents`` holds prose, so the source corpus gives its lines the shapes the
-line rules distinguish: every comment style, blank and indented lines, Unicode
-whitespace, CRLF, a byte-order mark. The same formula is in ``oracle.py``.
+line rules distinguish (every comment marker of every language, blank and
+indented lines, Unicode whitespace, CRLF, a byte-order mark) and its files every
+known extension. The same formula is in ``oracle.py``.
 """
 
 from __future__ import annotations
@@ -16,18 +17,25 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codetally.sources.checkpoints import ensure_checkpoint_dir
-from codetally.sources.dimensions import LICENSE_FINGERPRINTS
+from codetally.sources.dimensions import (
+    LANGUAGES,
+    LICENSE_FINGERPRINTS,
+    extension_rows,
+)
 
 DIRECTORIES = ["src", "lib", "dist", "node_modules", ".git", "redistribute", "a/b"]
-EXTENSIONS = [
-    ".py", ".hs", ".js", ".json", ".lua", ".sh", ".m", ".pl", ".vb", ".md", "", ".PY",
-]
+EXTENSIONS = [*(ext for ext, *_ in extension_rows()), ".md", ".PY", ".", ""]
 PAGE_EXTENSIONS = [".html", ".htm", ".xhtml", ".svg", ".HTML", ".php"]
 LICENSE_NAMES = ["LICENSE", "license.md", "Copying.TXT", "README.md", "LICENSE-MIT"]
 LICENSE_DIRECTORIES = ["", "", "sub/"]
 PHRASES = [phrase for _, phrases in LICENSE_FINGERPRINTS for phrase in phrases]
 
-# What becomes of line i of document d, by (i + d) % 12: (before, keep x, after).
+MARKERS = sorted(
+    {marker for _, _, single, opener, *_ in LANGUAGES for marker in [*single, opener] if marker}
+)
+
+# What becomes of line i of document d, by (i + d) modulo the number of shapes:
+# (before, keep the line, after).
 LINE_SHAPES = [
     ("# ", True, ""),
     ("// ", True, ""),
@@ -41,6 +49,7 @@ LINE_SHAPES = [
     ("\u0085", True, ""),
     ("\t# ", True, "\r"),
     ("\ufeff// ", True, ""),
+    *((marker, True, "") for marker in MARKERS),
 ]
 
 
@@ -59,17 +68,14 @@ def spread(scan: DataFrame) -> DataFrame:
     return scan.repartition(cores) if scan.rdd.getNumPartitions() < 2 * cores else scan
 
 
-def _pick(items: list[str], index: Column) -> Column:
-    return F.element_at(F.array(*map(F.lit, items)), (index % len(items) + 1).cast("int"))
+def _pick(items, index: Column) -> Column:
+    return F.element_at(F.lit(list(items)), (index % len(items) + 1).cast("int"))
 
 
 def _shaped(line: Column, index: Column) -> Column:
-    shape = None
-    for number, (before, keep, after) in enumerate(LINE_SHAPES):
-        text = F.concat(F.lit(before), line, F.lit(after)) if keep else F.lit(before)
-        hit = index % len(LINE_SHAPES) == number
-        shape = F.when(hit, text) if shape is None else shape.when(hit, text)
-    return shape
+    before, keep, after = zip(*LINE_SHAPES)
+    kept = F.when(_pick(keep, index), line).otherwise("")
+    return F.concat(_pick(before, index), kept, _pick(after, index))
 
 
 def file_paths(documents: DataFrame) -> DataFrame:
@@ -78,7 +84,7 @@ def file_paths(documents: DataFrame) -> DataFrame:
     return documents.withColumns({
         "repo": F.col("source"),
         "path": F.concat(
-            F.lit("r/"), "source", F.lit("/"), _pick(DIRECTORIES, F.floor(doc / 12)),
+            F.lit("r/"), "source", F.lit("/"), _pick(DIRECTORIES, doc),
             F.lit("/f"), doc, _pick(EXTENSIONS, doc),
         ),
     })
