@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 from operator import or_
 
@@ -25,15 +26,24 @@ def without_final_empty(pieces: Column) -> Column:
     return F.when(ends_empty, F.slice(pieces, 1, F.size(pieces) - 1)).otherwise(pieces)
 
 
-def left_trimmed(line: Column) -> Column:
-    """The line without leading Unicode whitespace.
-
-    Trailing whitespace decides neither blankness nor any marker test (no
-    marker ends in whitespace), so it is left alone. Most lines start with a
-    visible ASCII character and skip the trim.
-    """
-    starts_visible = (line >= "!") & (line < "\x7f")
-    return F.when(starts_visible, line).otherwise(F.ltrim(line, F.lit(WHITESPACE)))
+def _starts_visible(line: Column) -> Column:
+    return (line >= "!") & (line < "\x7f")
+
+
+# Left-trimming in two steps: the usual indentation of spaces and tabs, then any
+# Unicode whitespace, whose costlier search is left to the few lines that do not
+# start with a visible ASCII character by then. Apply the second step to the
+# finished result of the first (its own projection or array), since it mentions
+# its input more than once.
+#
+# Trailing whitespace decides neither blankness nor any marker test (no marker
+# ends in whitespace) and stays.
+LEFT_TRIM_STEPS: list[Callable[[Column], Column]] = [
+    lambda line: F.ltrim(F.ltrim(F.ltrim(line), F.lit("\t"))),
+    lambda line: F.when(_starts_visible(line), line).otherwise(
+        F.ltrim(line, F.lit(WHITESPACE))
+    ),
+]
 
 
 def marker_columns(markers: Column) -> list[Column]:

@@ -6,6 +6,8 @@ grouping columns of the files table, usually ``repo``.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,7 +22,7 @@ LANGUAGE_KEY = ["language", "ordinal", "is_other"]
 
 def _file_lines(files: DataFrame, keep: list[str], filters: dict) -> DataFrame:
     """One row per eligible file: ``keep``, its comment markers, and ``pieces``,
-    the left-trimmable lines (NULL when the file is not valid UTF-8)."""
+    its lines (NULL when the file is not valid UTF-8)."""
     # The markers are joined per file, before any line exists. The dimension has
     # 54 rows; other languages find no row and keep NULL markers.
     markers = F.broadcast(
@@ -40,29 +42,22 @@ def _line_rows(files: DataFrame, keep: list[str], filters: dict) -> DataFrame:
     ``pos`` and ``kind`` are NULL."""
     single = lines.marker_columns(F.col("single"))
     names = [f"single_{i}" for i in range(len(single))]
-    return (
-        _file_lines(files, keep, filters)
-        .select(
-            *keep,
-            *[marker.alias(name) for marker, name in zip(single, names)],
-            "multi_start",
-            F.posexplode_outer("pieces").alias("pos", "line"),
-        )
-        .withColumn("trimmed", lines.left_trimmed(F.col("line")))
-        .select(
-            *keep,
-            "pos",
-            lines.line_kind(
-                F.col("trimmed"), [F.col(name) for name in names], F.col("multi_start")
-            ).alias("kind"),
-        )
+    rows = _file_lines(files, keep, filters).select(
+        *keep,
+        *[marker.alias(name) for marker, name in zip(single, names)],
+        "multi_start",
+        F.posexplode_outer("pieces").alias("pos", "line"),
     )
+    for step in lines.LEFT_TRIM_STEPS:
+        rows = rows.withColumn("line", step(F.col("line")))
+    kind = lines.line_kind(F.col("line"), list(map(F.col, names)), F.col("multi_start"))
+    return rows.select(*keep, "pos", kind.alias("kind"))
 
 
 def classified_lines(files: DataFrame, **filters) -> DataFrame:
     """One row per line: ``repo, path, language, is_other, pos, kind``."""
     keep = ["repo", "path", "language", "is_other"]
-    return _line_rows(files, keep, filters).where(F.col("kind").isNotNull())
+    return _line_rows(files, keep, filters).where(F.col("pos").isNotNull())
 
 
 def file_stats(files: DataFrame, **filters) -> DataFrame:
@@ -73,7 +68,7 @@ def file_stats(files: DataFrame, **filters) -> DataFrame:
     """
     keep = ["repo", "path", "language", "is_other"]
     single = lines.marker_columns(F.col("single"))
-    trimmed = F.transform("pieces", lines.left_trimmed)
+    trimmed = reduce(F.transform, lines.LEFT_TRIM_STEPS, F.col("pieces"))
     kinds = F.transform(
         trimmed, lambda line: lines.line_kind(line, single, F.col("multi_start"))
     )
