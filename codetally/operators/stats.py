@@ -2,6 +2,10 @@
 
 Filters are the keyword arguments of :func:`eligible_files`; ``by`` lists extra
 grouping columns of the files table, usually ``repo``.
+
+A files table may have a ``first_line`` column: a large file is then several rows
+cut after line ends, each with the number of its first line (see
+:func:`read_source_trees`). Everything here counts such a file once.
 """
 
 from __future__ import annotations
@@ -14,9 +18,11 @@ from pyspark.sql import functions as F
 from codetally.functions import lines, paths
 from codetally.operators.languages import eligible_files
 from codetally.sources import dimensions as dims
+from codetally.sources.files_table import FIRST_LINE
 
 KINDS = ["blank", "code", "single", "multi"]
 COUNTS = ["files", *KINDS]
+FILE_KEY = ["repo", "path", "language", "is_other"]
 LANGUAGE_KEY = ["language", "ordinal", "is_other"]
 
 
@@ -40,33 +46,47 @@ def _file_lines(files: DataFrame, keep: list[str], filters: dict) -> DataFrame:
 def _line_rows(files: DataFrame, keep: list[str], filters: dict) -> DataFrame:
     """``keep, pos, kind`` per line; a file without lines keeps one row whose
     ``pos`` and ``kind`` are NULL."""
+    offset = [FIRST_LINE] if FIRST_LINE in files.columns else []
     single = lines.marker_columns(F.col("single"))
     names = [f"single_{i}" for i in range(len(single))]
-    rows = _file_lines(files, keep, filters).select(
+    rows = _file_lines(files, [*keep, *offset], filters).select(
         *keep,
+        *offset,
         *[marker.alias(name) for marker, name in zip(single, names)],
         "multi_start",
         F.posexplode_outer("pieces").alias("pos", "line"),
     )
     for step in lines.LEFT_TRIM_STEPS:
         rows = rows.withColumn("line", step(F.col("line")))
+    pos = F.col("pos")
+    if offset:
+        pos = (F.coalesce(FIRST_LINE, F.lit(0)) + pos).cast("int")
     kind = lines.line_kind(F.col("line"), list(map(F.col, names)), F.col("multi_start"))
-    return rows.select(*keep, "pos", kind.alias("kind"))
+    return rows.select(*keep, pos.alias("pos"), kind.alias("kind"))
 
 
 def classified_lines(files: DataFrame, **filters) -> DataFrame:
     """One row per line: ``repo, path, language, is_other, pos, kind``."""
-    keep = ["repo", "path", "language", "is_other"]
-    return _line_rows(files, keep, filters).where(F.col("pos").isNotNull())
+    return _line_rows(files, FILE_KEY, filters).where(F.col("pos").isNotNull())
 
 
 def file_stats(files: DataFrame, **filters) -> DataFrame:
     """Line counts per file.
 
     Counted inside the row, over the array of its lines: there is no shuffle on
-    ``path`` however many files there are.
+    ``path`` however many files there are. Only the rows of cut files are merged.
     """
-    keep = ["repo", "path", "language", "is_other"]
+    if FIRST_LINE not in files.columns:
+        return _row_stats(files, F.lit(1), filters)
+    whole = _row_stats(files.where(F.col(FIRST_LINE).isNull()), F.lit(1), filters)
+    is_first = F.when(F.col(FIRST_LINE) == 0, 1).otherwise(0)
+    parts = _row_stats(files.where(F.col(FIRST_LINE).isNotNull()), is_first, filters)
+    return whole.unionByName(_sum_counts(parts, FILE_KEY))
+
+
+def _row_stats(files: DataFrame, file_count: Column, filters: dict) -> DataFrame:
+    """``file_stats`` of each row by itself."""
+    offset = [FIRST_LINE] if FIRST_LINE in files.columns else []
     single = lines.marker_columns(F.col("single"))
     trimmed = reduce(F.transform, lines.LEFT_TRIM_STEPS, F.col("pieces"))
     kinds = F.transform(
@@ -78,9 +98,9 @@ def file_stats(files: DataFrame, **filters) -> DataFrame:
         return F.coalesce(F.size(found), F.lit(0)).cast("long").alias(kind)
 
     return (
-        _file_lines(files, keep, filters)
-        .select(*keep, kinds.alias("kinds"))
-        .select(*keep, F.lit(1).cast("long").alias("files"), *map(tally, KINDS))
+        _file_lines(files, [*FILE_KEY, *offset], filters)
+        .select(*FILE_KEY, *offset, kinds.alias("kinds"))
+        .select(*FILE_KEY, file_count.cast("long").alias("files"), *map(tally, KINDS))
     )
 
 

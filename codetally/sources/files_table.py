@@ -14,14 +14,26 @@ from codetally.functions.paths import is_license_name
 
 LICENSE_PARTITION = "license_name"
 
+# Optional column of a files table. A large file may be several rows, cut after
+# line ends; this is the number of a row's first line, NULL for a whole file.
+FIRST_LINE = "first_line"
+
 
 def write_files_table(files: DataFrame, location: str, mode: str = "errorifexists") -> None:
-    """Store ``repo, path, content``; ``mode="append"`` adds more repositories."""
-    files.select("repo", "path", "content").withColumn(
-        LICENSE_PARTITION, is_license_name(F.col("path"))
+    """Store a files table; ``mode="append"`` adds more repositories."""
+    first_line = F.col(FIRST_LINE) if FIRST_LINE in files.columns else F.lit(None)
+    files.select(
+        "repo",
+        "path",
+        "content",
+        first_line.cast("long").alias(FIRST_LINE),
+        is_license_name(F.col("path")).alias(LICENSE_PARTITION),
     ).write.partitionBy(LICENSE_PARTITION).mode(mode).parquet(location)
 
 
 def read_files_table(spark: SparkSession, location: str) -> DataFrame:
-    schema = f"repo string, path string, content binary, {LICENSE_PARTITION} boolean"
+    schema = (
+        f"repo string, path string, content binary, {FIRST_LINE} long, "
+        f"{LICENSE_PARTITION} boolean"
+    )
     return spark.read.schema(schema).parquet(location)

@@ -11,11 +11,12 @@ Any file system that ``pyarrow.fs`` opens on all executors will do.
 
 from __future__ import annotations
 
+import codecs
 import math
 import os
 import posixpath
 import sys
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyarrow import fs
@@ -24,15 +25,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codetally.sources.checkpoints import ensure_checkpoint_dir
+from codetally.sources.dimensions import LICENSE_FILENAMES as _LICENSE_NAMES
 
 # Ship the functions below with the tasks; executors need no copy of the package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
+LICENSE_FILENAMES = frozenset(_LICENSE_NAMES)
 ENTRIES_PER_WALK = 50_000  # entries a task lists before it hands back directories
 BYTES_PER_READ = 128 << 20  # content one read task should see
 FILES_PER_READ = 10_000
 BYTES_PER_BATCH = 32 << 20  # content held in one Arrow batch
-MAX_FILE_BYTES = (2 << 30) - (64 << 20)  # content is one binary value of a row
+BYTES_PER_PART = 64 << 20  # larger files become several rows
+MAX_ROW_BYTES = (2 << 30) - (64 << 20)  # what one binary value can hold
 
 ENTRY_FIELDS = pa.schema([
     ("repo", pa.string()),
@@ -47,8 +51,9 @@ FILE_FIELDS = pa.schema([
     ("repo", pa.string()),
     ("path", pa.string()),
     ("content", pa.binary()),
+    ("first_line", pa.int64()),
 ])
-FILE_SCHEMA = "repo string, path string, content binary"
+FILE_SCHEMA = "repo string, path string, content binary, first_line long"
 
 
 def read_source_tree(
@@ -70,13 +75,22 @@ def read_source_trees(roots: DataFrame, prune=(), on_error: str = "fail") -> Dat
     :func:`ignore_fragments`): directories they match are not descended into,
     and files below them are not read. Leaving it empty reads every file.
 
+    Where files exceed ``BYTES_PER_PART``, the table has a fourth column. Such a
+    file is several rows, cut after line ends, each with the number of its
+    ``first_line``; it is NULL for whole files. A file of that size that is not
+    UTF-8 is one row without content. Licence files are never cut.
+
     A file that cannot be read fails the job unless ``on_error="skip"``.
     """
     spark = roots.sparkSession
     ensure_checkpoint_dir(spark)
     found = _list_trees(roots, list(prune))
 
-    size = found.agg(F.count(F.lit(1)).alias("files"), F.sum("size").alias("bytes")).first()
+    size = found.agg(
+        F.count(F.lit(1)).alias("files"),
+        F.sum("size").alias("bytes"),
+        F.max("size").alias("largest"),
+    ).first()
     tasks = max(
         math.ceil((size["bytes"] or 0) / BYTES_PER_READ),
         math.ceil(size["files"] / FILES_PER_READ),
@@ -87,7 +101,8 @@ def read_source_trees(roots: DataFrame, prune=(), on_error: str = "fail") -> Dat
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return _read_files(batches, skip_errors=on_error == "skip")
 
-    return found.repartition(tasks).mapInArrow(read, FILE_SCHEMA)
+    files = found.repartition(tasks).mapInArrow(read, FILE_SCHEMA)
+    return files if (size["largest"] or 0) > BYTES_PER_PART else files.drop("first_line")
 
 
 def _list_trees(roots: DataFrame, fragments: list[str]) -> DataFrame:
@@ -190,32 +205,80 @@ def _entries(rows: list[tuple]) -> pa.RecordBatch:
 def _read_files(
     batches: Iterator[pa.RecordBatch], skip_errors: bool
 ) -> Iterator[pa.RecordBatch]:
-    """Whole files, in batches bounded by content size."""
+    """The rows of all listed files, in batches bounded by content size."""
     rows, held = [], 0
     for batch in batches:
         for entry in batch.to_pylist():
             path = _join(entry["root"], entry["name"])
             try:
-                content = _read_whole(entry, path)
+                pieces = _pieces(entry, path)
             except OSError:
                 if skip_errors:
                     continue
                 raise
-            if rows and held + len(content) > BYTES_PER_BATCH:
-                yield _files(rows)
-                rows, held = [], 0
-            rows.append((entry["repo"], path, content))
-            held += len(content)
+            for content, first_line in pieces:
+                length = len(content or b"")
+                if rows and held + length > BYTES_PER_BATCH:
+                    yield _files(rows)
+                    rows, held = [], 0
+                rows.append((entry["repo"], path, content, first_line))
+                held += length
     if rows:
         yield _files(rows)
 
 
-def _read_whole(entry: dict, path: str) -> bytes:
-    if entry["size"] > MAX_FILE_BYTES:
-        raise OSError(f"{path}: {entry['size']} bytes do not fit in one row")
+def _pieces(entry: dict, path: str) -> Iterable[tuple[bytes | None, int | None]]:
+    """``(content, first_line)`` of each row of a file. Large files are read once
+    to see that they are readable text, then again part by part."""
     system, base = _open_root(entry["root"])
-    with system.open_input_stream(_join(base, entry["name"]), compression=None) as stream:
-        return stream.read()
+    target = _join(base, entry["name"])
+
+    def open_file():
+        return system.open_input_stream(target, compression=None)
+
+    if entry["size"] <= BYTES_PER_PART or _has_license_name(path):
+        if entry["size"] > MAX_ROW_BYTES:
+            raise OSError(f"{path}: {entry['size']} bytes do not fit in one row")
+        with open_file() as stream:
+            return [(stream.read(), None)]
+    with open_file() as stream:
+        if not _is_text(stream):
+            return [(None, None)]
+    return _line_aligned(open_file(), path)
+
+
+def _has_license_name(path: str) -> bool:
+    return posixpath.basename(path).lower() in LICENSE_FILENAMES
+
+
+def _is_text(stream) -> bool:
+    decoder = codecs.getincrementaldecoder("utf-8")()
+    try:
+        while block := stream.read(BYTES_PER_PART):
+            decoder.decode(block)
+        decoder.decode(b"", final=True)
+    except UnicodeDecodeError:
+        return False
+    return True
+
+
+def _line_aligned(stream, path: str) -> Iterator[tuple[bytes, int]]:
+    """Parts that end with a line, and the number of lines before each."""
+    with stream:
+        first_line, open_line, held = 0, [], 0
+        while block := stream.read(BYTES_PER_PART):
+            cut = block.rfind(b"\n") + 1
+            if cut:
+                part = b"".join([*open_line, block[:cut]])
+                yield part, first_line
+                first_line += part.count(b"\n")
+                open_line, held = [], 0
+            open_line.append(block[cut:])
+            held += len(block) - cut
+            if held > MAX_ROW_BYTES - BYTES_PER_PART:
+                raise ValueError(f"{path}: a line does not fit in one row")
+        if held:
+            yield b"".join(open_line), first_line
 
 
 def _files(rows: list[tuple]) -> pa.RecordBatch:

@@ -49,7 +49,8 @@ def test_language_stats_shuffles_only_aggregates(table):
     assert names.count("HashAggregate") == 2
     assert names.count("BroadcastHashJoin LeftOuter BuildRight") == 2
     assert names.index("Exchange") < names.index("Generate")
-    assert read_columns(ct.language_stats(table)) == [{"path", "content"}]
+    assert read_columns(ct.language_stats(table)) == [{"path", "content", "first_line"}]
+    assert read_columns(ct.language_stats(table.drop("first_line"))) == [{"path", "content"}]
 
 
 def test_grouping_by_repo_is_the_same_single_shuffle(table):
@@ -58,7 +59,14 @@ def test_grouping_by_repo_is_the_same_single_shuffle(table):
 
 @pytest.mark.parametrize("make", [ct.file_stats, ct.classified_lines, ct.eligible_files, ct.detect_language])
 def test_per_row_operators_do_not_shuffle(table, make):
-    assert "Exchange" not in operators(make(table))
+    assert "Exchange" not in operators(make(table.drop("first_line")))
+
+
+def test_only_cut_files_are_merged(table):
+    frame = ct.file_stats(table)
+    assert operators(frame).count("Exchange") == 1
+    # Row groups without cut files are skipped by their statistics.
+    assert "IsNotNull(first_line)" in plan(frame)
 
 
 def test_licence_scoring_stays_in_the_row(spark):
@@ -72,8 +80,9 @@ def test_licence_scoring_stays_in_the_row(spark):
 
 
 def test_counting_and_detecting_read_no_content(table):
-    assert read_columns(ct.count_source_files(table)) == [{"path"}]
-    assert read_columns(ct.count_source_files(table, by=["repo"])) == [{"repo", "path"}]
+    assert read_columns(ct.count_source_files(table)) == [{"path", "first_line"}]
+    bare = table.drop("first_line")
+    assert read_columns(ct.count_source_files(bare, by=["repo"])) == [{"repo", "path"}]
     assert read_columns(ct.eligible_files(table).select("path", "language")) == [{"path"}]
 
 

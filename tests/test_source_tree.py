@@ -31,6 +31,9 @@ def tree(tmp_path):
     return str(root), contents
 
 
+STATS = [ct.language_stats, ct.file_stats, ct.classified_lines, ct.count_source_files, ct.subtree_stats]
+
+
 def as_dict(files, root):
     return {row["path"][len(root) + 1:]: bytes(row["content"]) for row in files.collect()}
 
@@ -65,6 +68,64 @@ def test_small_batches_hold_the_same(spark, tree, monkeypatch):
     assert as_dict(ct.read_source_tree(spark, root), root) == contents
 
 
+LARGE = b"# one\n\nx = 1\n  \"\"\" doc\n" * 9 + b"last"
+
+
+@pytest.fixture
+def large_tree(tree):
+    root, contents = tree
+    extra = {"large.py": LARGE, "large.bin": b"ok\n" * 20 + b"\xff", "LICENSE": b"MIT License, all of it"}
+    for name, content in extra.items():
+        with open(f"{root}/{name}", "wb") as handle:
+            handle.write(content)
+    return root, {**contents, **extra}
+
+
+@pytest.mark.parametrize("part", [5, 16, 40])
+def test_large_files_are_cut_at_line_ends(spark, large_tree, monkeypatch, part):
+    root, contents = large_tree
+    whole = ct.read_source_tree(spark, root)
+    assert whole.columns == ["repo", "path", "content"]
+    expected = {make: sorted(make(whole).collect()) for make in STATS}
+
+    monkeypatch.setattr(source_tree, "BYTES_PER_PART", part)
+    cut = ct.read_source_tree(spark, root)
+    rows = sorted(
+        (row["first_line"], bytes(row["content"]))
+        for row in cut.where("path like '%/large.py'").collect()
+    )
+    assert len(rows) > 1
+    assert b"".join(content for _, content in rows) == LARGE
+    for first_line, content in rows:
+        before = b"".join(c for line, c in rows if line < first_line)
+        assert first_line == before.count(b"\n")
+        assert content.endswith(b"\n") or content.endswith(b"last")
+    assert [row["content"] for row in cut.where("path like '%/large.bin'").collect()] == [None]
+    for make in STATS:
+        assert sorted(make(cut).collect()) == expected[make]
+    assert ct.license_report(cut, root).first()["license"] == "MIT"
+
+
+def test_cut_files_survive_the_stored_table(spark, large_tree, monkeypatch, tmp_path):
+    root, _ = large_tree
+    whole = ct.read_source_tree(spark, root)
+    monkeypatch.setattr(source_tree, "BYTES_PER_PART", 16)
+    ct.write_files_table(ct.read_source_tree(spark, root), str(tmp_path / "table"))
+    stored = ct.read_files_table(spark, str(tmp_path / "table"))
+    for make in STATS:
+        assert sorted(make(stored).collect()) == sorted(make(whole).collect())
+
+
+def test_a_line_longer_than_a_row_fails(spark, large_tree, monkeypatch):
+    root, _ = large_tree
+    with open(f"{root}/minified.js", "wb") as handle:
+        handle.write(b"x" * 100)
+    monkeypatch.setattr(source_tree, "BYTES_PER_PART", 16)
+    monkeypatch.setattr(source_tree, "MAX_ROW_BYTES", 64)
+    with pytest.raises(PythonException, match="minified.js: a line does not fit"):
+        ct.read_source_tree(spark, root).collect()
+
+
 def test_single_file(spark, tree):
     root, _ = tree
     files = ct.read_source_tree(spark, f"{root}/dist/y.py")
