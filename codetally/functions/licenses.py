@@ -19,7 +19,7 @@ from codetally.sources.dimensions import (
 MATCH_WEIGHT = 1.5
 MIN_SCORE = 0.3
 
-_DELETED_CLASS = "[" + "".join("\\" + char for char in LICENSE_DELETED_CHARS) + "]+"
+_DELETED_CLASS = "[" + "".join("\\" + char for char in LICENSE_DELETED_CHARS) + "]"
 
 
 def folded(text: Column) -> Column:

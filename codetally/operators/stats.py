@@ -20,6 +20,7 @@ from codetally.operators.languages import eligible_files
 from codetally.sources import dimensions as dims
 from codetally.sources.files_table import FIRST_LINE
 
+SINGLE_MARKERS = [f"single_{i}" for i in range(lines.MAX_SINGLE_MARKERS)]
 KINDS = ["blank", "code", "single", "multi"]
 COUNTS = ["files", *KINDS]
 FILE_KEY = ["repo", "path", "language", "is_other"]
@@ -34,35 +35,36 @@ def _file_lines(files: DataFrame, keep: list[str], filters: dict) -> DataFrame:
     markers = F.broadcast(
         dims.languages(files.sparkSession).select("ordinal", "single", "multi_start")
     )
+    single = [
+        marker.alias(name)
+        for marker, name in zip(lines.marker_columns(F.col("single")), SINGLE_MARKERS)
+    ]
     split = F.split(lines.decoded(F.col("content")), "\n", -1)
     return (
         eligible_files(files, **filters)
         .join(markers, "ordinal", "left")
-        .select(*keep, "single", "multi_start", split.alias("pieces"))
+        .select(*keep, *single, "multi_start", split.alias("pieces"))
         .withColumn("pieces", lines.without_final_empty(F.col("pieces")))
     )
 
 
+def _kind(line: Column) -> Column:
+    return lines.line_kind(line, list(map(F.col, SINGLE_MARKERS)), F.col("multi_start"))
+
+
 def _line_rows(files: DataFrame, keep: list[str], filters: dict) -> DataFrame:
     """``keep, pos, kind`` per line; a file without lines keeps one row whose
     ``pos`` and ``kind`` are NULL."""
     offset = [FIRST_LINE] if FIRST_LINE in files.columns else []
-    single = lines.marker_columns(F.col("single"))
-    names = [f"single_{i}" for i in range(len(single))]
     rows = _file_lines(files, [*keep, *offset], filters).select(
-        *keep,
-        *offset,
-        *[marker.alias(name) for marker, name in zip(single, names)],
-        "multi_start",
-        F.posexplode_outer("pieces").alias("pos", "line"),
+        "*", F.posexplode_outer("pieces").alias("pos", "line")
     )
     for step in lines.LEFT_TRIM_STEPS:
         rows = rows.withColumn("line", step(F.col("line")))
     pos = F.col("pos")
     if offset:
         pos = (F.coalesce(FIRST_LINE, F.lit(0)) + pos).cast("int")
-    kind = lines.line_kind(F.col("line"), list(map(F.col, names)), F.col("multi_start"))
-    return rows.select(*keep, pos.alias("pos"), kind.alias("kind"))
+    return rows.select(*keep, pos.alias("pos"), _kind(F.col("line")).alias("kind"))
 
 
 def classified_lines(files: DataFrame, **filters) -> DataFrame:
@@ -77,30 +79,25 @@ def file_stats(files: DataFrame, **filters) -> DataFrame:
     ``path`` however many files there are. Only the rows of cut files are merged.
     """
     if FIRST_LINE not in files.columns:
-        return _row_stats(files, F.lit(1), filters)
-    whole = _row_stats(files.where(F.col(FIRST_LINE).isNull()), F.lit(1), filters)
-    is_first = F.when(F.col(FIRST_LINE) == 0, 1).otherwise(0)
-    parts = _row_stats(files.where(F.col(FIRST_LINE).isNotNull()), is_first, filters)
-    return whole.unionByName(_sum_counts(parts, FILE_KEY))
+        return _whole_file_stats(files, filters)
+    cut = F.col(FIRST_LINE).isNotNull()
+    return _whole_file_stats(files.where(~cut), filters).unionByName(
+        _tally_lines(_line_rows(files.where(cut), FILE_KEY, filters), FILE_KEY)
+    )
 
 
-def _row_stats(files: DataFrame, file_count: Column, filters: dict) -> DataFrame:
-    """``file_stats`` of each row by itself."""
-    offset = [FIRST_LINE] if FIRST_LINE in files.columns else []
-    single = lines.marker_columns(F.col("single"))
+def _whole_file_stats(files: DataFrame, filters: dict) -> DataFrame:
     trimmed = reduce(F.transform, lines.LEFT_TRIM_STEPS, F.col("pieces"))
-    kinds = F.transform(
-        trimmed, lambda line: lines.line_kind(line, single, F.col("multi_start"))
-    )
+    kinds = F.transform(trimmed, _kind)
 
     def tally(kind: str) -> Column:
-        found = F.filter("kinds", lambda k: k == kind)
-        return F.coalesce(F.size(found), F.lit(0)).cast("long").alias(kind)
+        others = F.size(F.array_remove("kinds", kind))
+        return F.coalesce(F.size("kinds") - others, F.lit(0)).cast("long").alias(kind)
 
     return (
-        _file_lines(files, [*FILE_KEY, *offset], filters)
-        .select(*FILE_KEY, *offset, kinds.alias("kinds"))
-        .select(*FILE_KEY, file_count.cast("long").alias("files"), *map(tally, KINDS))
+        _file_lines(files, FILE_KEY, filters)
+        .select(*FILE_KEY, kinds.alias("kinds"))
+        .select(*FILE_KEY, F.lit(1).cast("long").alias("files"), *map(tally, KINDS))
     )
 
 

@@ -14,6 +14,19 @@ from codetally.functions.paths import is_license_name
 
 LICENSE_PARTITION = "license_name"
 
+# Rows are long. Parquet looks at its buffers every hundred rows at the earliest
+# unless told otherwise, and row groups of half the usual size leave readers, who
+# decompress them, some room.
+WRITE_OPTIONS = {
+    "parquet.block.size": str(64 << 20),
+    "parquet.block.size.row.check.min": "1",
+    "parquet.page.size.row.check.min": "1",
+}
+
+# For sessions that read files tables: Spark decodes this many rows at a time into
+# one buffer, by default 4096.
+READ_CONF = {"spark.sql.parquet.columnarReaderBatchSize": "128"}
+
 # Optional column of a files table. A large file may be several rows, cut after
 # line ends; this is the number of a row's first line, NULL for a whole file.
 FIRST_LINE = "first_line"
@@ -28,10 +41,11 @@ def write_files_table(files: DataFrame, location: str, mode: str = "errorifexist
         "content",
         first_line.cast("long").alias(FIRST_LINE),
         is_license_name(F.col("path")).alias(LICENSE_PARTITION),
-    ).write.partitionBy(LICENSE_PARTITION).mode(mode).parquet(location)
+    ).write.options(**WRITE_OPTIONS).partitionBy(LICENSE_PARTITION).mode(mode).parquet(location)
 
 
 def read_files_table(spark: SparkSession, location: str) -> DataFrame:
+    """The stored rows. Set ``READ_CONF`` in sessions that meet many large files."""
     schema = (
         f"repo string, path string, content binary, {FIRST_LINE} long, "
         f"{LICENSE_PARTITION} boolean"

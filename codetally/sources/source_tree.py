@@ -35,7 +35,7 @@ ENTRIES_PER_WALK = 50_000  # entries a task lists before it hands back directori
 BYTES_PER_READ = 128 << 20  # content one read task should see
 FILES_PER_READ = 10_000
 BYTES_PER_BATCH = 32 << 20  # content held in one Arrow batch
-BYTES_PER_PART = 64 << 20  # larger files become several rows
+BYTES_PER_PART = 1 << 20  # larger files become several rows
 MAX_ROW_BYTES = (2 << 30) - (64 << 20)  # what one binary value can hold
 
 ENTRY_FIELDS = pa.schema([
