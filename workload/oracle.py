@@ -297,4 +297,6 @@ ORACLE: dict[str, str] = {
     "classify_license_documents": classify_query(DOCUMENT_TEXTS),
     "license_report": LICENSE_REPORT,
     "source_tree_stats": stats_query(),
+    "files_table_stats": stats_query(by="repo, "),
+    "files_table_license_report": LICENSE_REPORT,
 }

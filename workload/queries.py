@@ -125,6 +125,20 @@ def source_tree_stats(spark, sf_dir):
     return ct.language_stats(files.withColumn("path", inside))
 
 
+def files_table_stats(spark, sf_dir):
+    """The source files stored as a files table and read back."""
+    location = t.new_folder(spark, "table")
+    ct.write_files_table(t.source_files(spark, sf_dir), location)
+    return ct.language_stats(ct.read_files_table(spark, location), by=["repo"])
+
+
+def files_table_license_report(spark, sf_dir):
+    location = t.new_folder(spark, "table")
+    ct.write_files_table(t.license_repos(spark, sf_dir), location)
+    files = ct.read_files_table(spark, location)
+    return ct.license_report(files, root=F.col("repo"), by=["repo"])
+
+
 QUERIES: dict[str, Query] = {
     query.__name__: query
     for query in [
@@ -151,5 +165,7 @@ QUERIES: dict[str, Query] = {
         classify_license_documents,
         license_report,
         source_tree_stats,
+        files_table_stats,
+        files_table_license_report,
     ]
 }

@@ -149,10 +149,14 @@ def license_repos(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def new_folder(spark: SparkSession, kind: str) -> str:
+    """A path in the shared folder that no run has used."""
+    return f"{ensure_checkpoint_dir(spark)}/{kind}-{uuid.uuid4().hex}"
+
+
 def write_tree(files: DataFrame) -> str:
     """Write a files table as real files below a new folder; returns the folder."""
-    shared = ensure_checkpoint_dir(files.sparkSession)
-    root = f"{shared}/tree-{uuid.uuid4().hex}"
+    root = new_folder(files.sparkSession, "tree")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if "://" in root or root.startswith("file:"):
