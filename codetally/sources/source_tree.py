@@ -32,6 +32,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 LICENSE_FILENAMES = frozenset(_LICENSE_NAMES)
 ENTRIES_PER_WALK = 50_000  # entries a task lists before it hands back directories
+ENTRIES_PER_BATCH = 10_000
 BYTES_PER_READ = 128 << 20  # content one read task should see
 FILES_PER_READ = 10_000
 BYTES_PER_BATCH = 32 << 20  # content held in one Arrow batch
@@ -159,19 +160,22 @@ def _is_loop(system: fs.FileSystem, directory: str) -> bool:
 def _walk(
     batches: Iterator[pa.RecordBatch], fragments: list[str]
 ) -> Iterator[pa.RecordBatch]:
-    budget = ENTRIES_PER_WALK
+    """The files below the given directories, and the directories left unlisted
+    once the task has seen its share of entries."""
+    budget, rows = ENTRIES_PER_WALK, []
     for batch in batches:
         stack = [(row["repo"], row["root"], row["name"]) for row in batch.to_pylist()]
-        while stack:
-            repo, root, name = stack.pop()
-            if budget <= 0:
-                yield _entries([(repo, root, name, True, 0)])
-                continue
-            rows, directories = _list_directory(repo, root, name, fragments)
-            budget -= len(rows) + len(directories)
+        while stack and budget > 0:
+            files, directories = _list_directory(*stack.pop(), fragments)
+            budget -= len(files) + len(directories)
             stack.extend(directories)
-            if rows:
+            rows.extend(files)
+            if len(rows) >= ENTRIES_PER_BATCH:
                 yield _entries(rows)
+                rows = []
+        rows.extend((*directory, True, 0) for directory in stack)
+    if rows:
+        yield _entries(rows)
 
 
 def _list_directory(repo: str, root: str, name: str, fragments: list[str]):
