@@ -1,6 +1,8 @@
 """Licence files, scores and classification."""
 
 import pytest
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 import codetally as ct
@@ -79,6 +81,31 @@ def test_scores_agree_with_brute_force(spark, texts):
     assert found == expected
 
 
+WORDS = sorted({word for _, phrases in dims.LICENSE_FINGERPRINTS for p in phrases for word in p.split(" ")})
+FRAGMENTS = [
+    *(phrase for _, phrases in dims.LICENSE_FINGERPRINTS for phrase in phrases),
+    *WORDS, *dims.LICENSE_DELETED_CHARS, *dims.WHITESPACE, " ", "é", "-", "2", "3",
+]
+piece = st.sampled_from(FRAGMENTS).flatmap(lambda text: st.sampled_from([text, text.upper(), text.title()]))
+sample = st.lists(piece, max_size=8).map("".join)
+
+
+@settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(sample, min_size=1, max_size=80))
+def test_random_texts_agree_with_brute_force(spark, texts):
+    totals = {name: len(phrases) for name, phrases in dims.LICENSE_FINGERPRINTS}
+    order = [name for name, _ in dims.LICENSE_FINGERPRINTS]
+    expected = {}
+    for number, text in enumerate(texts):
+        scores = [(min(1.0, hits / totals[name] * 1.5), order.index(name), name)
+                  for name, hits in brute_force(text).items() if hits]
+        best = max((s for s in scores if s[0] > 0.3), default=(0.0, None, CUSTOM if text else UNKNOWN))
+        expected[number] = (best[2], best[0])
+    rows = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    found = {r["id"]: (r["license"], r["score"]) for r in ct.classify_license(rows).collect()}
+    assert found == expected
+
+
 def test_every_live_phrase_has_an_anchor():
     for *_, phrase in dims.fingerprint_rows():
         assert any(anchor in phrase for anchor in dims.LICENSE_ANCHORS), phrase
