@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
-from operator import add, or_
+from operator import or_
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -33,9 +33,11 @@ def trimmed_candidate(folded_text: Column) -> Column:
     return F.when(has_anchor, F.trim(folded_text, F.lit(WHITESPACE)))
 
 
-def match_count(normalised: Column, phrases: list[str]) -> Column:
-    hits = [normalised.contains(phrase).cast("int") for phrase in phrases]
-    return F.coalesce(reduce(add, hits), F.lit(0))
+def match_count(normalised: str, phrases: list[str]) -> Column:
+    """How many phrases occur in the named column; 0 where it is NULL. A phrase
+    that can match has no quotes, which normalisation deletes."""
+    hits = " + ".join(f"int(contains({normalised}, '{phrase}'))" for phrase in phrases)
+    return F.expr(f"coalesce({hits}, 0)")
 
 
 def score(matches: Column, total: int) -> Column:

@@ -49,7 +49,7 @@ def _scored(texts: DataFrame, text: Column) -> DataFrame:
     """
     licences = _phrases()
     matches = {
-        f"_matches_{ordinal}": lic.match_count(F.col("_text"), phrases)
+        f"_matches_{ordinal}": lic.match_count("_text", phrases)
         for ordinal, _, _, phrases in licences
     }
     scores = [
@@ -96,10 +96,7 @@ def classify_license(texts: DataFrame, text_col: str = "text") -> DataFrame:
     licence, or unknown when it is empty.
     """
     keep = [name for name in texts.columns if name != text_col]
-    candidates = [F.get("_scores", F.lit(i)) for i in range(len(dims.LICENSE_FINGERPRINTS))]
-    passing = F.array(
-        *[F.when(entry["score"] > F.lit(lic.MIN_SCORE), entry) for entry in candidates]
-    )
+    passing = F.filter("_scores", lambda licence: licence["score"] > lic.MIN_SCORE)
     best = F.col("_best")
     fallback, fallback_ordinal = (
         F.when(F.col("_empty"), F.lit(unknown)).otherwise(F.lit(custom))
