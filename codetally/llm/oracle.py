@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from codetally.llm import license_rules
+
 # Shingles are sets of five consecutive words; the SQL looks up those of the items.
 OP9 = r"""
 WITH words AS (
@@ -32,4 +34,107 @@ FROM shared JOIN sizes USING (item_id)
 WHERE n_shared >= 0.8 * n_item
 """
 
-ORACLE: dict[str, str] = {"op9_decontamination": OP9}
+
+OP1 = r"""
+WITH parsed AS (
+  SELECT page_id,
+    translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path,
+    list_sort(list_filter(string_split(regexp_extract(coalesce(url, ''), '(?s)^.*?://[^?#]*\?([^#]*)', 1), '&'),
+      lambda p: p <> '' AND NOT regexp_matches(p, '^(utm_[a-z]+|ref|fbclid|gclid)(=|$)'))) AS kept,
+    regexp_matches(html, '\*\*\*|%%%|\$\$\$|!!|://[^/]*(casino-win|cheap-pills|free-bets|spam-farm)')
+      OR regexp_matches(url, '\*\*\*|%%%|\$\$\$|!!|://[^/]*(casino-win|cheap-pills|free-bets|spam-farm)') AS marked
+  FROM pages
+), canonical AS (
+  SELECT *, CASE WHEN host <> '' THEN regexp_replace(host, '^www\.', '') || regexp_replace(path, '/+$', '')
+    || CASE WHEN len(kept) > 0 THEN '?' || array_to_string(kept, '&') ELSE '' END END AS url
+  FROM parsed
+), ruled AS (
+  SELECT *, CASE
+    WHEN (host = 'example.com' OR suffix(host, '.example.com')) AND prefix(path, '/de/') THEN 'example.com/de/'
+    WHEN (host = 'example.net' OR suffix(host, '.example.net')) AND prefix(path, '/en/') THEN 'example.net/en/'
+    WHEN (host = 'org' OR suffix(host, '.org')) AND prefix(path, '/fr/') THEN 'org/fr/'
+    WHEN (host = 'net' OR suffix(host, '.net')) AND prefix(path, '/') THEN 'net/' END AS rule
+  FROM canonical
+)
+SELECT page_id, host, path, rule, CASE
+    WHEN rule IN ('example.com/de/', 'net/') THEN 'block'
+    WHEN rule IS NOT NULL THEN 'allow'
+    WHEN url IN (SELECT url FROM canonical WHERE marked AND url IS NOT NULL) THEN 'block'
+    ELSE 'allow' END AS verdict
+FROM ruled
+"""
+
+
+def _text(value: str) -> str:
+    return "'" + value.replace("'", "''") + "'"
+
+
+def _op4() -> str:
+    rules = ",\n  ".join(
+        f"({i}, {_text(r.label)}, {r.priority}, {_text(f' {r.keyword} ')}, {_text(r.regex)})"
+        for i, r in enumerate(license_rules.signature_rules())
+    )
+    phrases = ", ".join(
+        f"({_text(label)}, {_text(''.join(f' {w} ' for w in phrase.split()))})"
+        for phrase, label in license_rules.PHRASES
+    )
+    confidence = ", ".join(map(str, license_rules.CONFIDENCE))
+    words = "(length({0}) - length(replace({0}, ' ', ''))) // 2"
+    starts = (
+        "unnest(list_transform(range(1, len(hits) + 1), lambda j: struct_pack("
+        f"start := {words.format("array_to_string(gaps[1:j], '') || array_to_string(hits[1:j-1], '')")}, "
+        f"n := {words.format('hits[j]')})))"
+    )
+    return rf"""
+WITH rules(rule, label, priority, keyword, regex) AS (VALUES
+  {rules}
+), phrases(label, regex) AS (VALUES {phrases}
+), words AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents
+), spaced AS (
+  SELECT r, doc_id, len(w) AS n_words,
+    CASE WHEN len(w) > 0 THEN ' ' || array_to_string(w, '  ') || ' ' ELSE '' END AS s
+  FROM words
+), cut AS (
+  SELECT r, rule, label, priority, string_split_regex(s, regex) AS gaps, regexp_extract_all(s, regex) AS hits
+  FROM spaced, rules WHERE contains(s, keyword) AND regexp_matches(s, regex)
+), placed AS (
+  SELECT r, rule, label, priority, {starts} AS p FROM cut
+), found AS (
+  SELECT r, rule, label, priority, p.start AS a, p.start + p.n AS z FROM placed
+), kept AS (
+  SELECT * FROM found d WHERE NOT EXISTS (
+    SELECT 1 FROM found e WHERE e.r = d.r AND e.a <= d.a AND e.z >= d.z
+      AND (e.priority > d.priority OR e.priority = d.priority
+        AND (e.z - e.a > d.z - d.a OR e.z - e.a = d.z - d.a AND e.rule < d.rule)))
+), base_cut AS (
+  SELECT r, label, string_split_regex(s, regex) AS gaps, regexp_extract_all(s, regex) AS hits
+  FROM spaced, phrases WHERE contains(s, regex)
+), base AS (
+  SELECT r, label, {starts} AS p FROM base_cut
+), base_rows AS (
+  SELECT r, count(*) AS n_base, min(p.start) AS first_word, max(p.start) AS last_word,
+    string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels
+  FROM base GROUP BY r
+), all_labels AS (
+  SELECT r, string_agg(DISTINCT label, ',' ORDER BY label) AS labels
+  FROM (SELECT r, label FROM base UNION ALL SELECT r, label FROM kept) GROUP BY r
+), scores AS (
+  SELECT r, max(priority) AS best FROM kept GROUP BY r
+)
+SELECT doc_id, n_words, coalesce(n_base, 0) AS n_base, first_word, last_word,
+  coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels,
+  CASE WHEN best IS NULL THEN 0.0 ELSE [{confidence}][best] END::DOUBLE AS score
+FROM spaced LEFT JOIN base_rows USING (r) LEFT JOIN all_labels USING (r) LEFT JOIN scores USING (r)
+"""
+
+
+ORACLE: dict[str, str] = {
+    "op1_url_filter": OP1,
+    "op4_license_scan": _op4(),
+    "op9_decontamination": OP9,
+}

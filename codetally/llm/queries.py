@@ -7,13 +7,57 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codetally.llm import decontaminate, sentencepiece_codec, simhash, weak_label
+from codetally.llm import (
+    decontaminate,
+    license_rules,
+    sentencepiece_codec,
+    simhash,
+    url_filter,
+    weak_label,
+)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+URL_RULES = [
+    url_filter.Rule("net", "/", "block"),
+    url_filter.Rule("example.net", "/en/", "allow"),
+    url_filter.Rule("example.com", "/de/", "block"),
+    url_filter.Rule("org", "/fr/", "allow"),
+]
+# Marks of pages that put their URL on the list.
+LISTED_MARKS = r"\*\*\*|%%%|\$\$\$|!!|://[^/]*(casino-win|cheap-pills|free-bets|spam-farm)"
+
+
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A verdict on every page's URL; listed are the URLs of pages with marks of spam."""
+    pages = table(spark, sf_dir, "pages")
+    marked = F.col("html").rlike(LISTED_MARKS) | F.col("url").rlike(LISTED_MARKS)
+    judged = url_filter.judge_urls(pages.select("page_id", "url"), pages.where(marked), URL_RULES)
+    return judged.select("page_id", "host", "path", "rule", "verdict")
+
+
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence phrases and labels of every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scanned = license_rules.scan_licenses(docs)
+    starts = F.transform("base", lambda b: b["start"])
+    base = F.transform("base", lambda b: b["label"])
+    every = F.concat(base, F.transform("hits", lambda h: h["label"]))
+    return scanned.select(
+        "doc_id",
+        "n_words",
+        F.size("base").cast("long").alias("n_base"),
+        F.array_min(starts).alias("first_word"),
+        F.array_max(starts).alias("last_word"),
+        F.array_join(F.array_sort(F.array_distinct(base)), ",").alias("base_labels"),
+        F.array_join(F.array_sort(F.array_distinct(every)), ",").alias("labels"),
+        license_rules.confidence(F.col("hits")).alias("score"),
+    )
+
+
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every document, with round trip and parity."""
     return sentencepiece_codec.encode(table(spark, sf_dir, "documents"))
@@ -45,5 +89,12 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     query.__name__: query
-    for query in [op5_sentencepiece, op7_quality, op9_decontamination, op10_simhash]
+    for query in [
+        op1_url_filter,
+        op4_license_scan,
+        op5_sentencepiece,
+        op7_quality,
+        op9_decontamination,
+        op10_simhash,
+    ]
 }
