@@ -66,6 +66,43 @@ FROM ruled
 """
 
 
+OP3 = r"""
+WITH turns AS (
+  SELECT conv_id AS pair_id, role, text, row_number() OVER (
+    PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) - 1 AS position
+  FROM (SELECT DISTINCT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text
+        FROM conversations WHERE conv_id IS NOT NULL)
+), worse AS (
+  SELECT pair_id, position, role, text,
+    CASE WHEN role = 'assistant'
+      AND 2 * count(*) FILTER (role = 'assistant') OVER (PARTITION BY pair_id ORDER BY position)
+        > count(*) FILTER (role = 'assistant') OVER (PARTITION BY pair_id)
+      THEN coalesce(lag(text) OVER (PARTITION BY pair_id ORDER BY position), '') ELSE text END AS echo
+  FROM turns
+), prefixes AS (
+  SELECT pair_id, coalesce(min(position) FILTER (text <> echo), max(position) + 1) AS prefix
+  FROM worse GROUP BY pair_id
+), parts AS (
+  SELECT pair_id, 'prompt' AS part, position, role, text
+  FROM worse JOIN prefixes USING (pair_id) WHERE position < prefix
+  UNION ALL
+  SELECT pair_id, 'chosen', position, role, text
+  FROM worse JOIN prefixes USING (pair_id) WHERE position >= prefix
+  UNION ALL
+  SELECT pair_id, 'rejected', position, role, echo
+  FROM worse JOIN prefixes USING (pair_id) WHERE position >= prefix
+), rendered AS (
+  SELECT pair_id, part, position, role, '<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10) AS rendered
+  FROM parts
+), summed AS (
+  SELECT *, sum(length(rendered)) OVER (PARTITION BY pair_id, part ORDER BY position)::BIGINT AS stop FROM rendered
+)
+SELECT pair_id, part, position, role, rendered, part <> 'prompt' AND role = 'assistant' AS trained,
+  stop - length(rendered) AS start, stop
+FROM summed
+"""
+
+
 def _text(value: str) -> str:
     return "'" + value.replace("'", "''") + "'"
 
@@ -135,6 +172,7 @@ FROM spaced LEFT JOIN base_rows USING (r) LEFT JOIN all_labels USING (r) LEFT JO
 
 ORACLE: dict[str, str] = {
     "op1_url_filter": OP1,
+    "op3_preferences": OP3,
     "op4_license_scan": _op4(),
     "op9_decontamination": OP9,
 }

@@ -9,10 +9,14 @@ from pyspark.sql import functions as F
 
 from codetally.llm import (
     decontaminate,
+    hnsw,
+    html_content,
     license_rules,
+    preferences,
     sentencepiece_codec,
     simhash,
     url_filter,
+    warc,
     weak_label,
 )
 
@@ -39,6 +43,21 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written to WARC archives and read back through the capture index."""
+    pages = table(spark, sf_dir, "pages")
+    archive = warc.write_archive(pages)
+    return warc.read_back(spark, archive, warc.url_keys(pages))
+
+
+def op3_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation, paired with a worse version of itself, as prompt and completions."""
+    conversations = table(spark, sf_dir, "conversations")
+    return preferences.format_preferences(
+        conversations, preferences.echoing(conversations), id_col="conv_id"
+    )
+
+
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Licence phrases and labels of every document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -63,6 +82,11 @@ def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.encode(table(spark, sf_dir, "documents"))
 
 
+def op6_similar_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all embeddings."""
+    return hnsw.similar_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``doc_id, quality_score, kept`` for every document."""
     docs = table(spark, sf_dir, "documents")
@@ -72,6 +96,11 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "quality_score", kept.alias("kept"))
 
 
+def op8_html_content(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    return html_content.extract_main_text(table(spark, sf_dir, "pages"), ["page_id", "url"])
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The benchmark items that each document contains."""
     return decontaminate.contained_items(
@@ -91,9 +120,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     query.__name__: query
     for query in [
         op1_url_filter,
+        op2_warc,
+        op3_preferences,
         op4_license_scan,
         op5_sentencepiece,
+        op6_similar_vectors,
         op7_quality,
+        op8_html_content,
         op9_decontamination,
         op10_simhash,
     ]
