@@ -144,7 +144,8 @@ def scan_licenses(docs: DataFrame, text_col: str = "text") -> DataFrame:
     rule, label`` in text order. Of the detections of all rules, one is suppressed
     if its interval lies within that of another of higher priority, or of the same
     priority and a longer interval, or the same interval and an earlier rule. Null
-    texts are empty and have no words, ``base`` and ``hits`` of empty arrays.
+    texts are empty and have no words, ``base`` and ``hits`` of empty arrays. Columns
+    of ``docs`` with the names of the new ones are replaced.
 
     Everything is decided within the row by built-in functions: no shuffle, and
     repeated rows or ids do not matter. Texts without a keyword are only counted;
@@ -154,10 +155,12 @@ def scan_licenses(docs: DataFrame, text_col: str = "text") -> DataFrame:
     keywords = sorted({r.keyword for r in rules})
     gate = f"(?i)(?:^|{GAP})(?:{'|'.join(keywords)})(?:$|{GAP})"
     text = F.coalesce(F.col(text_col), F.lit(""))
-    gated = docs.withColumns({
-        "n_words": F.regexp_count(text, F.lit(f"{WORD}+")).cast("long"),
-        "spaced__": F.when(text.rlike(gate), spaced_words(text)),
-    })
+    other = [c for c in docs.columns if c not in ("n_words", "base", "hits")]
+    gated = docs.select(
+        F.struct(F.lit(0).alias("_"), *(F.col(c) for c in other)).alias("row__"),
+        F.regexp_count(text, F.lit(f"{WORD}+")).cast("long").alias("n_words"),
+        F.when(text.rlike(gate), spaced_words(text)).alias("spaced__"),
+    )
     table = F.array(*(
         F.struct(
             F.lit(i).alias("rule"), F.lit(r.label).alias("label"), F.lit(r.priority).alias("priority"),
@@ -196,7 +199,7 @@ def scan_licenses(docs: DataFrame, text_col: str = "text") -> DataFrame:
             "base": F.expr(f"if(spaced__ IS NULL, {none_base}, {base})"),
             "hits": F.expr(f"if(spaced__ IS NULL, {none_hits}, {kept})"),
         })
-        .drop("spaced__", "rules__")
+        .select(*(F.col("row__")[c].alias(c) for c in other), "n_words", "base", "hits")
     )
 
 

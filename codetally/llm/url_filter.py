@@ -112,7 +112,7 @@ def judge_urls(
     other = [c for c in pages.columns if c not in new]
     url = F.col(url_col)
     parsed = pages.select(
-        *(F.col(c) for c in other), host_of(url).alias("host"), path_of(url).alias("path"),
+        F.struct(F.lit(0).alias("_"), *(F.col(c) for c in other)).alias("row__"), host_of(url).alias("host"), path_of(url).alias("path"),
         canonical_url(url).alias("canonical"),
     )
     rule = verdict = F.lit(None).cast("string")
@@ -126,10 +126,11 @@ def judge_urls(
     maybe = F.coalesce(
         F.expr(" AND ".join(f"(w{i} & {_bits('h', i)}) <> 0" for i in range(BLOCK_WORDS))), F.lit(False)
     )
-    marked = found.withColumn("maybe", maybe).select(*other, *new, "maybe")
+    marked = found.withColumn("maybe", maybe).select("row__", *new, "maybe")
     clear = marked.where("NOT maybe").drop("maybe")
     hits = marked.where("maybe").drop("maybe", "verdict").join(
         exact.withColumn("listed", F.lit(True)), "canonical", "left"
     )
-    hits = hits.withColumn("verdict", F.when(F.col("listed"), F.lit("block"))).select(*other, *new)
-    return clear.unionByName(hits).withColumn("verdict", F.coalesce("verdict", F.lit("allow")))
+    hits = hits.withColumn("verdict", F.when(F.col("listed"), F.lit("block"))).select("row__", *new)
+    judged = clear.unionByName(hits).withColumn("verdict", F.coalesce("verdict", F.lit("allow")))
+    return judged.select(*(F.col("row__")[c].alias(c) for c in other), *new)

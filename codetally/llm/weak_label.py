@@ -21,9 +21,12 @@ HASH_BUCKETS = 1 << 12
 # everything else covers all rows.
 FIT_ROWS = 20_000
 # Scores below are rejected.
-THRESHOLD = 0.3
+THRESHOLD = 0.25
 EM_ROUNDS = 200
 FIT_ROUNDS = 300
+# A labeller calls no larger share of good texts junk; keeps EM from taking a rare
+# kind of junk, on which few labellers vote, for good text.
+FALSE_ALARMS = 0.03
 PENALTY = 1e-4
 SHORT_WORDS = 8
 
@@ -36,7 +39,7 @@ LABELLERS = [
     ("separators", 0.20, 0.02),
     ("repeats", 0.30, 0.05),
     ("few_distinct", 0.75, None),
-    ("shouted_or_marked", 0.35, 0.05),
+    ("shouted_or_marked", 0.35, None),
     ("sentence_ends", None, 0.97),
 ]
 
@@ -143,9 +146,9 @@ def fit_labellers(patterns: np.ndarray, weights: np.ndarray) -> tuple[float, np.
     """Expectation-maximisation over distinct vote patterns.
 
     Returns the share of good rows, the probability of each vote for each labeller
-    and class (labellers x classes x votes), and the posterior probability of good
+    and class (labellers x classes x votes) given that it votes, and the posterior probability of good
     for each pattern. It starts from the belief that a row with any junk vote is
-    junk, which also fixes which class is which.
+    junk, which also fixes which class is which. Abstaining says nothing about a row.
     """
     labellers = patterns.shape[1]
     good = np.where((patterns == JUNK).any(axis=1), 0.05, 0.95)
@@ -154,7 +157,11 @@ def fit_labellers(patterns: np.ndarray, weights: np.ndarray) -> tuple[float, np.
         mass = np.stack([weights * (1 - good), weights * good])
         prior = (mass[1].sum() + 1) / (mass.sum() + 2)
         table = np.einsum("cp,plv->lcv", mass, hits) + 0.5
+        table[:, :, ABSTAIN] = 0
         table /= table.sum(axis=2, keepdims=True)
+        table[:, 1, JUNK] = np.minimum(table[:, 1, JUNK], FALSE_ALARMS)
+        table[:, 1, GOOD] = 1 - table[:, 1, JUNK]
+        table[:, :, ABSTAIN] = 1
         odds = np.log(prior / (1 - prior)) + np.einsum(
             "plv,lv->p", hits, np.log(table[:, 1]) - np.log(table[:, 0])
         )
