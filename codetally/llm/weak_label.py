@@ -21,12 +21,15 @@ HASH_BUCKETS = 1 << 12
 # everything else covers all rows.
 FIT_ROWS = 20_000
 # Scores below are rejected.
-THRESHOLD = 0.25
+THRESHOLD = 0.15
 EM_ROUNDS = 200
 FIT_ROUNDS = 300
 # A labeller calls no larger share of good texts junk; keeps EM from taking a rare
 # kind of junk, on which few labellers vote, for good text.
 FALSE_ALARMS = 0.03
+# Junk has many kinds: the labeller of one finds others as harmless as good texts,
+# at least in this share of cases.
+UNNOTICED = 0.7
 PENALTY = 1e-4
 SHORT_WORDS = 8
 
@@ -142,13 +145,16 @@ def hashed_features(text: str | None) -> np.ndarray:
     return np.sqrt(counts / (n + SHORT_WORDS))
 
 
-def fit_labellers(patterns: np.ndarray, weights: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+def fit_labellers(
+    patterns: np.ndarray, weights: np.ndarray, unnoticed: float = UNNOTICED
+) -> tuple[float, np.ndarray, np.ndarray]:
     """Expectation-maximisation over distinct vote patterns.
 
     Returns the share of good rows, the probability of each vote for each labeller
-    and class (labellers x classes x votes) given that it votes, and the posterior probability of good
+    and class (labellers x classes x votes), and the posterior probability of good
     for each pattern. It starts from the belief that a row with any junk vote is
-    junk, which also fixes which class is which. Abstaining says nothing about a row.
+    junk, which also fixes which class is which. ``unnoticed`` bounds what a vote
+    other than junk can say for a row; 0 is plain EM.
     """
     labellers = patterns.shape[1]
     good = np.where((patterns == JUNK).any(axis=1), 0.05, 0.95)
@@ -157,11 +163,13 @@ def fit_labellers(patterns: np.ndarray, weights: np.ndarray) -> tuple[float, np.
         mass = np.stack([weights * (1 - good), weights * good])
         prior = (mass[1].sum() + 1) / (mass.sum() + 2)
         table = np.einsum("cp,plv->lcv", mass, hits) + 0.5
-        table[:, :, ABSTAIN] = 0
         table /= table.sum(axis=2, keepdims=True)
-        table[:, 1, JUNK] = np.minimum(table[:, 1, JUNK], FALSE_ALARMS)
-        table[:, 1, GOOD] = 1 - table[:, 1, JUNK]
-        table[:, :, ABSTAIN] = 1
+        over = np.maximum(table[:, 1, JUNK] - FALSE_ALARMS, 0)
+        table[:, 1, JUNK] -= over
+        table[:, 1, ABSTAIN] += over
+        for vote in (ABSTAIN, GOOD):
+            table[:, 0, vote] = np.maximum(table[:, 0, vote], unnoticed * table[:, 1, vote])
+        table[:, 0] /= table[:, 0].sum(axis=1, keepdims=True)
         odds = np.log(prior / (1 - prior)) + np.einsum(
             "plv,lv->p", hits, np.log(table[:, 1]) - np.log(table[:, 0])
         )

@@ -119,7 +119,7 @@ def test_expectation_maximisation_finds_accuracies():
     good = rng.random(4000) < 0.8
     junk_votes = np.where(good[:, None], 0.02, 0.6) > rng.random((4000, 4))
     patterns = np.where(junk_votes, weak_label.JUNK, weak_label.GOOD)
-    prior, table, posterior = weak_label.fit_labellers(patterns, np.ones(len(patterns)))
+    prior, table, posterior = weak_label.fit_labellers(patterns, np.ones(len(patterns)), unnoticed=0)
     assert abs(prior - 0.8) < 0.03
     assert np.abs(table[:, 0, weak_label.JUNK] - 0.6).max() < 0.1
     assert ((posterior > 0.5) == good).mean() > 0.95
