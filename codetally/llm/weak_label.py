@@ -50,7 +50,7 @@ LABELLERS = [
 KINDS = {"lower": 0, "title": 1, "capitals": 2, "punctuation": 3, "digits": 4, "repeated": 5}
 SYMBOL, SHOUT, SENTENCE = 8, 16, 32
 TAIL_SHIFT, TAIL_BUCKETS = 6, 1 << 10
-MEMO_WORDS = 1 << 19
+MEMO_WORDS = 1 << 16
 
 _LOWER = crc32(b"") % TAIL_BUCKETS << TAIL_SHIFT
 _SYMBOLS = "*$%&#@^~=+"
@@ -260,13 +260,16 @@ def fit_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(1).to_pylist()
-            dense = [hashed_features(t) for t in texts]
-            used = [np.flatnonzero(v) for v in dense]
+            used, shares = [], []
+            for text in texts:
+                vector = hashed_features(text)
+                used.append(np.flatnonzero(vector))
+                shares.append(vector[used[-1]])
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
                     pa.array(used, pa.list_(pa.int64())),
-                    pa.array([v[u] for v, u in zip(dense, used)], pa.list_(pa.float64())),
+                    pa.array(shares, pa.list_(pa.float64())),
                     pa.array([posterior[votes(t)] for t in texts], pa.float64()),
                 ],
                 names=["h", "buckets", "shares", "good"],
