@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from codetally.functions import paths
 from codetally.sources import dimensions as dims
-from codetally.sources.files_table import FIRST_LINE
+from codetally.sources.files_table import FIRST_LINE, first_rows
 
 def detect_language(files: DataFrame) -> DataFrame:
     """Add ``ext, language, ordinal, is_other`` to a table with a ``path``.
@@ -84,6 +84,6 @@ def count_source_files(
     """Number of eligible files, overall or per ``by`` columns. Unlike the line
     statistics, the count applies the path filter to single files too."""
     if FIRST_LINE in files.columns:
-        files = files.where(F.coalesce(FIRST_LINE, F.lit(0)) == 0)
+        files = files.where(first_rows())
     eligible = eligible_files(files, ignore_dirs, ignore_langs, ignore_hidden)
     return eligible.groupBy(*by).agg(F.count(F.lit(1)).alias("files"))

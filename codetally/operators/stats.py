@@ -5,7 +5,8 @@ grouping columns of the files table, usually ``repo``.
 
 A files table may have a ``first_line`` column: a large file is then several rows
 cut after line ends, each with the number of its first line (see
-:func:`read_source_trees`). Everything here counts such a file once.
+:func:`read_source_trees`). Everything here counts such a file once. ``repo`` and
+``path`` are then the key of a file.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 from codetally.functions import lines, paths
 from codetally.operators.languages import eligible_files
 from codetally.sources import dimensions as dims
-from codetally.sources.files_table import FIRST_LINE
+from codetally.sources.files_table import FIRST_LINE, first_rows, is_text_row, rows_to_count
 
 SINGLE_MARKERS = [f"single_{i}" for i in range(lines.MAX_SINGLE_MARKERS)]
 KINDS = ["blank", "code", "single", "multi"]
@@ -40,6 +41,9 @@ def _file_lines(files: DataFrame, keep: list[str], filters: dict) -> DataFrame:
         for marker, name in zip(lines.marker_columns(F.col("single")), SINGLE_MARKERS)
     ]
     split = F.split(lines.decoded(F.col("content")), "\n", -1)
+    if FIRST_LINE in files.columns:
+        files = rows_to_count(files)
+        split = F.when(is_text_row(), split)
     return (
         eligible_files(files, **filters)
         .join(markers, "ordinal", "left")
@@ -54,16 +58,17 @@ def _kind(line: Column) -> Column:
 
 def _line_rows(files: DataFrame, keep: list[str], filters: dict) -> DataFrame:
     """``keep, pos, kind`` per line; a file without lines keeps one row whose
-    ``pos`` and ``kind`` are NULL."""
+    ``pos`` and ``kind`` are NULL. A cut file may have more lines than an INT counts."""
     offset = [FIRST_LINE] if FIRST_LINE in files.columns else []
     rows = _file_lines(files, [*keep, *offset], filters).select(
         "*", F.posexplode_outer("pieces").alias("pos", "line")
     )
     for step in lines.LEFT_TRIM_STEPS:
         rows = rows.withColumn("line", step(F.col("line")))
-    pos = F.col("pos")
+    pos = F.col("pos").cast("long")
     if offset:
-        pos = (F.coalesce(FIRST_LINE, F.lit(0)) + pos).cast("int")
+        rows = rows.where(pos.isNotNull() | first_rows())
+        pos = F.coalesce(FIRST_LINE, F.lit(0)) + pos
     return rows.select(*keep, pos.alias("pos"), _kind(F.col("line")).alias("kind"))
 
 
@@ -76,17 +81,17 @@ def file_stats(files: DataFrame, **filters) -> DataFrame:
     """Line counts per file.
 
     Counted inside the row, over the array of its lines: there is no shuffle on
-    ``path`` however many files there are. Only the rows of cut files are merged.
+    ``path`` however many files there are. A table with ``first_line`` is read once
+    too; its count rows, without content, are then summed by file.
     """
     if FIRST_LINE not in files.columns:
-        return _whole_file_stats(files, filters)
-    cut = F.col(FIRST_LINE).isNotNull()
-    return _whole_file_stats(files.where(~cut), filters).unionByName(
-        _tally_lines(_line_rows(files.where(cut), FILE_KEY, filters), FILE_KEY)
-    )
+        return _row_stats(files, FILE_KEY, F.lit(1), filters)
+    is_first = first_rows().cast("int")
+    return _sum_counts(_row_stats(files, FILE_KEY, is_first, filters), FILE_KEY)
 
 
-def _whole_file_stats(files: DataFrame, filters: dict) -> DataFrame:
+def _row_stats(files: DataFrame, keys: list[str], counted: Column, filters: dict) -> DataFrame:
+    offset = [FIRST_LINE] if FIRST_LINE in files.columns else []
     trimmed = reduce(F.transform, lines.LEFT_TRIM_STEPS, F.col("pieces"))
     kinds = F.transform(trimmed, _kind)
 
@@ -95,9 +100,9 @@ def _whole_file_stats(files: DataFrame, filters: dict) -> DataFrame:
         return F.coalesce(F.size("kinds") - others, F.lit(0)).cast("long").alias(kind)
 
     return (
-        _file_lines(files, FILE_KEY, filters)
-        .select(*FILE_KEY, kinds.alias("kinds"))
-        .select(*FILE_KEY, F.lit(1).cast("long").alias("files"), *map(tally, KINDS))
+        _file_lines(files, [*keys, *offset], filters)
+        .select(*keys, *offset, kinds.alias("kinds"))
+        .select(*keys, counted.cast("long").alias("files"), *map(tally, KINDS))
     )
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -10,8 +12,9 @@ from pyspark.sql import SparkSession
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The folder the cluster names in ``spark.checkpoint.dir``.
 
-    Where none is named, a local-mode session gets a temporary one; on a cluster
-    that is an error, since a machine-local folder dies with its machine.
+    Where none is named, a local-mode session gets a temporary one, which goes with
+    the process; on a cluster that is an error, since a machine-local folder dies
+    with its machine.
     """
     context = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None)
@@ -21,6 +24,7 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         if not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
         configured = tempfile.mkdtemp(prefix="codetally-checkpoint-")
+        atexit.register(shutil.rmtree, configured, ignore_errors=True)
     if not context.getCheckpointDir():
         context.setCheckpointDir(configured)
     return configured

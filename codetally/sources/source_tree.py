@@ -1,12 +1,12 @@
-"""Scan of source trees on a file system into ``(repo, path, content)`` rows.
+"""Scan of source trees on a file system into ``(repo, path, content, first_line)`` rows.
 
 The built-in ``binaryFile`` and ``text`` readers skip hidden, underscore and
 empty files, all of which have to be counted, so the tree is listed and read by
 Python tasks: first the listing, which hands back directories until none is left
 and stays a distributed table throughout, then the reads, spread evenly over the
-files found. Neither passes through the driver.
+files found; large files are read by byte ranges. Neither passes through the driver.
 
-Any file system that ``pyarrow.fs`` opens on all executors will do.
+Local paths and any file system that ``pyarrow.fs`` opens on all executors will do.
 """
 
 from __future__ import annotations
@@ -16,37 +16,53 @@ import math
 import os
 import posixpath
 import sys
-from collections.abc import Iterable, Iterator
+import urllib.parse
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyarrow import fs
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from codetally.functions.paths import is_license_name
 from codetally.sources.checkpoints import ensure_checkpoint_dir
-from codetally.sources.dimensions import LICENSE_FILENAMES as _LICENSE_NAMES
 
 # Ship the functions below with the tasks; executors need no copy of the package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-LICENSE_FILENAMES = frozenset(_LICENSE_NAMES)
-ENTRIES_PER_WALK = 50_000  # entries a task lists before it hands back directories
+DIRECTORIES_PER_TASK = 1_000  # directories a listing task is given
+ENTRIES_PER_WALK = 50_000  # entries a task lists before it hands back subdirectories
 ENTRIES_PER_BATCH = 10_000
 BYTES_PER_READ = 128 << 20  # content one read task should see
 FILES_PER_READ = 10_000
+# Reads stream, so that more tasks per core than these only enlarge the shuffle.
+LISTINGS_PER_CORE, READS_PER_CORE = 4, 16
 BYTES_PER_BATCH = 32 << 20  # content held in one Arrow batch
 BYTES_PER_PART = 1 << 20  # larger files become several rows
+BYTES_PER_RANGE = 64 << 20  # what one task reads of such a file at a time
 MAX_ROW_BYTES = (2 << 30) - (64 << 20)  # what one binary value can hold
 
 ENTRY_FIELDS = pa.schema([
     ("repo", pa.string()),
     ("root", pa.string()),
     ("name", pa.string()),  # relative to root; empty for the root itself
+    ("raw", pa.binary()),  # the bytes of a local name, which need not be UTF-8
     ("pending", pa.bool_()),  # a directory still to be listed
     ("size", pa.int64()),
 ])
-ENTRY_SCHEMA = "repo string, root string, name string, pending boolean, size long"
+ENTRY_SCHEMA = "repo string, root string, name string, raw binary, pending boolean, size long"
+
+RANGE_FIELDS = pa.schema([
+    *(field for field in ENTRY_FIELDS if field.name != "pending"),
+    ("start", pa.int64()),
+    ("lines", pa.int64()),  # lines that start in the range
+    ("is_text", pa.bool_()),  # NULL where it cannot be read
+])
+RANGE_SCHEMA = (
+    "repo string, root string, name string, raw binary, size long, start long, lines long, "
+    "is_text boolean"
+)
 
 FILE_FIELDS = pa.schema([
     ("repo", pa.string()),
@@ -57,6 +73,10 @@ FILE_FIELDS = pa.schema([
 FILE_SCHEMA = "repo string, path string, content binary, first_line long"
 
 
+class TooLong(OSError):
+    """A line or licence file that does not fit in a row."""
+
+
 def read_source_tree(
     spark: SparkSession,
     root: str,
@@ -76,56 +96,77 @@ def read_source_trees(roots: DataFrame, prune=(), on_error: str = "fail") -> Dat
     :func:`ignore_fragments`): directories they match are not descended into,
     and files below them are not read. Leaving it empty reads every file.
 
-    Where files exceed ``BYTES_PER_PART``, the table has a fourth column. Such a
-    file is several rows, cut after line ends, each with the number of its
-    ``first_line``; it is NULL for whole files. A file of that size that is not
-    UTF-8 is one row without content. Licence files are never cut.
+    A file up to ``BYTES_PER_PART`` and any licence file is one row, whose
+    ``first_line`` is NULL. A larger file is several rows: text is cut after line
+    ends and ``first_line`` numbers the first line of each; what is not UTF-8 is
+    cut anywhere, and ``first_line`` is -1 minus the byte position of each.
+
+    What cannot be listed or read, and a licence file or a line that does not fit
+    in a row, fails the job. With ``on_error="skip"`` it is left out, and with
+    ``on_error="null"`` a file, or the part that the line would be, is a row without
+    content (counted as a file without lines); directories are left out.
 
-    A file that cannot be read fails the job unless ``on_error="skip"``.
+    Directory links are followed unless they lead to a directory they are below of.
+    Bytes of local names that are not UTF-8 appear as ``\\xff`` in ``path``.
     """
+    if on_error not in ("fail", "skip", "null"):
+        raise ValueError("on_error is one of fail, skip, null")
     spark = roots.sparkSession
     ensure_checkpoint_dir(spark)
-    found = _list_trees(roots, list(prune))
+    cores = spark.sparkContext.defaultParallelism
+    found = _list_trees(roots, list(prune), on_error)
 
+    is_large = (F.col("size") > BYTES_PER_PART) & ~is_license_name(
+        F.concat_ws("/", "root", "name")
+    )
     size = found.agg(
         F.count(F.lit(1)).alias("files"),
         F.sum("size").alias("bytes"),
-        F.max("size").alias("largest"),
+        F.count_if(is_large).alias("large"),
     ).first()
     tasks = max(
         math.ceil((size["bytes"] or 0) / BYTES_PER_READ),
         math.ceil(size["files"] / FILES_PER_READ),
-        min(size["files"], spark.sparkContext.defaultParallelism),
+        min(size["files"], cores),
         1,
     )
+    tasks = min(tasks, READS_PER_CORE * cores)
+
+    reads = found.select(
+        *found.columns, *(F.lit(None).cast(kind).alias(name) for name, kind in
+                          (("start", "long"), ("first_line", "long"), ("is_text", "boolean")))
+    )
+    if size["large"]:
+        ranges = _measured_ranges(found.where(is_large), tasks, on_error)
+        reads = reads.where(~is_large).unionByName(ranges)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _read_files(batches, skip_errors=on_error == "skip")
+        return _read_files(batches, on_error)
 
-    files = found.repartition(tasks).mapInArrow(read, FILE_SCHEMA)
-    return files if (size["largest"] or 0) > BYTES_PER_PART else files.drop("first_line")
+    listings = reads.coalesce(LISTINGS_PER_CORE * cores)
+    return listings.repartition(tasks).mapInArrow(read, FILE_SCHEMA)
 
 
-def _list_trees(roots: DataFrame, fragments: list[str]) -> DataFrame:
-    """All files as ``(repo, root, name, size)``; one job per round of listing.
+def _list_trees(roots: DataFrame, fragments: list[str], on_error: str) -> DataFrame:
+    """All files as ``(repo, root, name, raw, size)``; one job per round of listing.
 
-    A round ends with the directories its tasks did not get to, which the next
-    round spreads over all tasks again, so a lopsided tree does not end up in one
-    task. Every round is checkpointed: a lost executor repeats only its round.
+    A task lists every directory it is given, and their subdirectories up to its
+    share of entries; the next round spreads the rest over all tasks again. There
+    are thus at most as many rounds as levels, however many directories a level
+    has. Every round is checkpointed: a lost executor repeats only its round.
     """
     cores = roots.sparkSession.sparkContext.defaultParallelism
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _walk(batches, fragments)
+        return _walk(batches, fragments, on_error)
 
     frontier = roots.select(
-        "repo", "root", F.lit("").alias("name"), F.lit(True).alias("pending"),
-        F.lit(0).cast("long").alias("size"),
+        "repo", "root", F.lit("").alias("name"), F.lit("").cast("binary").alias("raw"),
+        F.lit(True).alias("pending"), F.lit(0).cast("long").alias("size"),
     )
     found = None
-    while found is None or (pending := frontier.count()):
-        # The first round has only the roots, a table of unknown but modest size.
-        tasks = cores if found is None else min(pending, cores)
+    while (pending := frontier.count()) or found is None:
+        tasks = max(min(pending, cores), math.ceil(pending / DIRECTORIES_PER_TASK), 1)
         listed = frontier.repartition(tasks).mapInArrow(walk, ENTRY_SCHEMA).checkpoint()
         files = listed.where(~F.col("pending"))
         found = files if found is None else found.unionByName(files)
@@ -133,158 +174,315 @@ def _list_trees(roots: DataFrame, fragments: list[str]) -> DataFrame:
     return found.drop("pending")
 
 
-def _open_root(root: str) -> tuple[fs.FileSystem, str]:
-    """A file system and the physical path of the root on it."""
-    if "://" in root or root.startswith("file:"):
-        return fs.FileSystem.from_uri(root)
-    return fs.LocalFileSystem(), os.path.abspath(root)
+def _measured_ranges(large: DataFrame, tasks: int, on_error: str) -> DataFrame:
+    """The byte ranges of large files, each with its first line and whether the
+    file is text. A first pass counts lines; only counts are shuffled by file."""
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _measure(batches, on_error)
+
+    starts = F.sequence(F.lit(0).cast("long"), F.col("size") - 1, F.lit(BYTES_PER_RANGE).cast("long"))
+    measured = (
+        large.withColumn("start", F.explode(starts))
+        .repartition(tasks)
+        .mapInArrow(measure, RANGE_SCHEMA)
+    )
+    file = Window.partitionBy("repo", "root", "name", "raw")
+    before = file.orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    return measured.select(
+        "repo", "root", "name", "raw", "size", "start",
+        F.coalesce(F.sum("lines").over(before), F.lit(0)).alias("first_line"),
+        F.when(F.count("is_text").over(file) == F.count("*").over(file),
+               F.bool_and("is_text").over(file)).alias("is_text"),
+    ).where(F.col("is_text").isNotNull() | (F.col("start") == 0)).checkpoint()
+
+
+class Systems:
+    """The file systems of the roots a task meets, each opened once."""
+
+    def __init__(self):
+        self.opened = {}
+
+    def __call__(self, root: str) -> tuple[fs.FileSystem | None, bytes | str]:
+        """A file system, None for the local one, and the place of the root on it."""
+        if root not in self.opened:
+            if root.startswith("file:"):
+                path = urllib.parse.unquote(root.removeprefix("file:").removeprefix("//"))
+                self.opened[root] = None, os.fsencode(os.path.abspath(path))
+            elif "://" in root:
+                quoted = urllib.parse.quote(root, safe="/:?&=%@+,;#~!$'()*[]")
+                self.opened[root] = fs.FileSystem.from_uri(quoted)
+            else:
+                self.opened[root] = None, os.fsencode(os.path.abspath(root))
+        return self.opened[root]
+
+    def open(self, entry: dict):
+        system, base = self(entry["root"])
+        if system is None:
+            return open(posixpath.join(base, entry["raw"]) if entry["raw"] else base, "rb")
+        return system.open_input_file(_join(base, entry["name"]))
 
 
 def _join(root: str, name: str) -> str:
     return posixpath.join(root, name) if name else root
 
 
+def _shown(raw: bytes) -> str:
+    return raw.decode("utf-8", "backslashreplace")
+
+
 def _normalised(path: str) -> str:
     kept = "/".join(part for part in path.split("/") if part not in ("", "."))
     return "/" + kept if path.startswith("/") else kept
 
 
-def _is_loop(system: fs.FileSystem, directory: str) -> bool:
-    """A link to one of its own parent directories."""
-    if not isinstance(system, fs.LocalFileSystem) or not os.path.islink(directory):
-        return False
-    target, parent = os.path.realpath(directory), os.path.realpath(posixpath.dirname(directory))
-    return (parent + "/").startswith(target.rstrip("/") + "/")
+def _is_loop(base: bytes, raw: bytes) -> bool:
+    """A link to a directory that the way to it, or that one's real way, goes through."""
+    target = os.path.realpath(posixpath.join(base, raw)).rstrip(b"/") + b"/"
+    parts = raw.split(b"/")[:-1]
+    above = (posixpath.join(base, *parts[:depth]) for depth in range(len(parts) + 1))
+    return any((os.path.realpath(place) + b"/").startswith(target) for place in above)
 
 
 def _walk(
-    batches: Iterator[pa.RecordBatch], fragments: list[str]
+    batches: Iterator[pa.RecordBatch], fragments: list[str], on_error: str
 ) -> Iterator[pa.RecordBatch]:
-    """The files below the given directories, and the directories left unlisted
-    once the task has seen its share of entries."""
-    budget, rows = ENTRIES_PER_WALK, []
-    for batch in batches:
-        stack = [(row["repo"], row["root"], row["name"]) for row in batch.to_pylist()]
-        while stack and budget > 0:
-            files, directories = _list_directory(*stack.pop(), fragments)
-            budget -= len(files) + len(directories)
-            stack.extend(directories)
-            rows.extend(files)
-            if len(rows) >= ENTRIES_PER_BATCH:
-                yield _entries(rows)
-                rows = []
-        rows.extend((*directory, True, 0) for directory in stack)
-    if rows:
-        yield _entries(rows)
+    """The files in the given directories and below, and the directories left
+    unlisted once the task has seen its share of entries."""
+    systems, rows, stack, budget = Systems(), [], [], ENTRIES_PER_WALK
+
+    def listed(directory: tuple) -> Iterator[None]:
+        nonlocal budget
+        try:
+            for entry in _list_directory(systems, *directory, fragments, on_error):
+                budget -= 1
+                pending = entry[4]
+                if pending and budget > 0:
+                    stack.append(entry[:4])
+                else:
+                    rows.append(entry)
+                    if len(rows) >= ENTRIES_PER_BATCH:
+                        yield
+        except OSError:
+            if on_error == "fail":
+                raise
 
+    def full() -> Iterator[pa.RecordBatch]:
+        if rows:
+            yield _batch(rows, ENTRY_FIELDS)
+            rows.clear()
 
-def _list_directory(repo: str, root: str, name: str, fragments: list[str]):
-    """The files in a directory, and its subdirectories that are not ignored."""
-    system, base = _open_root(root)
-    here = _join(base, name)
+    for batch in batches:
+        for row in batch.to_pylist():
+            for _ in listed((row["repo"], row["root"], row["name"], row["raw"])):
+                yield from full()
+    while stack and budget > 0:
+        for _ in listed(stack.pop()):
+            yield from full()
+    rows.extend((*directory, True, 0) for directory in stack)
+    yield from full()
+
+
+def _list_directory(
+    systems: Systems, repo: str, root: str, name: str, raw: bytes, fragments: list[str], on_error: str
+) -> Iterator[tuple]:
+    """The files in a directory, and its subdirectories that are not ignored, one by
+    one; a root that is a file is that file."""
+
+    def ignored(child: str) -> bool:
+        logical = _normalised(_join(root, child))
+        return any(fragment in logical for fragment in fragments)
+
+    system, base = systems(root)
+    if system is None:
+        if not name and not os.path.lexists(base):
+            raise FileNotFoundError(f"path does not exist: {root}")
+        if not name and os.path.isfile(base):
+            yield repo, root, "", b"", False, os.path.getsize(base)
+            return
+        with os.scandir(posixpath.join(base, raw) if raw else base) as entries:
+            for entry in entries:
+                inner = posixpath.join(raw, entry.name) if raw else entry.name
+                child = _shown(inner)
+                try:
+                    if entry.is_file():
+                        yield repo, root, child, inner, False, entry.stat().st_size
+                    elif entry.is_dir() and not ignored(child):
+                        if not entry.is_symlink() or not _is_loop(base, inner):
+                            yield repo, root, child, inner, True, 0
+                except OSError:
+                    if on_error == "fail":
+                        raise
+        return
     if not name:
         info = system.get_file_info(base)
         if info.type == fs.FileType.NotFound:
             raise FileNotFoundError(f"path does not exist: {root}")
         if info.type == fs.FileType.File:
-            return [(repo, root, "", False, info.size)], []
-    rows, directories = [], []
-    for info in system.get_file_info(fs.FileSelector(here)):
+            yield repo, root, "", None, False, info.size
+            return
+    for info in system.get_file_info(fs.FileSelector(_join(base, name))):
         child = _join(name, info.base_name) if name else info.base_name
         if info.type == fs.FileType.File:
-            rows.append((repo, root, child, False, info.size))
-        elif info.type == fs.FileType.Directory:
-            logical = _normalised(_join(root, child))
-            ignored = any(fragment in logical for fragment in fragments)
-            if not ignored and not _is_loop(system, info.path):
-                directories.append((repo, root, child))
-    return rows, directories
+            yield repo, root, child, None, False, info.size
+        elif info.type == fs.FileType.Directory and not ignored(child):
+            yield repo, root, child, None, True, 0
 
 
-def _entries(rows: list[tuple]) -> pa.RecordBatch:
-    columns = [pa.array(values, field.type) for values, field in zip(zip(*rows), ENTRY_FIELDS)]
-    return pa.RecordBatch.from_arrays(columns, schema=ENTRY_FIELDS)
+def _batch(rows: list[tuple], fields: pa.Schema) -> pa.RecordBatch:
+    columns = [pa.array(values, field.type) for values, field in zip(zip(*rows), fields)]
+    return pa.RecordBatch.from_arrays(columns, schema=fields)
 
 
-def _read_files(
-    batches: Iterator[pa.RecordBatch], skip_errors: bool
-) -> Iterator[pa.RecordBatch]:
-    """The rows of all listed files, in batches bounded by content size."""
-    rows, held = [], 0
+def _measure(batches: Iterator[pa.RecordBatch], on_error: str) -> Iterator[pa.RecordBatch]:
+    """The lines that start in each range, and whether its bytes are text."""
+    systems = Systems()
     for batch in batches:
+        rows = []
         for entry in batch.to_pylist():
-            path = _join(entry["root"], entry["name"])
             try:
-                pieces = _pieces(entry, path)
+                with systems.open(entry) as stream:
+                    measured = _line_starts_and_text(stream, entry["start"], entry["size"])
             except OSError:
-                if skip_errors:
-                    continue
-                raise
-            for content, first_line in pieces:
+                if on_error == "fail":
+                    raise
+                measured = (0, None)
+            place = (entry[key] for key in ("repo", "root", "name", "raw", "size", "start"))
+            rows.append((*place, *measured))
+        if rows:
+            yield _batch(rows, RANGE_FIELDS)
+
+
+def _is_continuation(byte: int) -> bool:
+    return byte & 0xC0 == 0x80
+
+
+def _line_starts_and_text(stream, start: int, size: int) -> tuple[int, bool]:
+    """A character across the edge of two ranges belongs to the first, which also
+    takes up to three continuation bytes that follow it; the second leaves them out."""
+    end = min(start + BYTES_PER_RANGE, size)
+    lines, is_text, decoder = int(start == 0), True, codecs.getincrementaldecoder("utf-8")()
+    if start:
+        stream.seek(start - 1)
+        lines += stream.read(1) == b"\n"
+    position, lead = start, 3 if start else 0
+    while position < end and (block := stream.read(min(BYTES_PER_PART, end - position))):
+        position += len(block)
+        # A line starts after a line end, unless that is the last byte of the range.
+        lines += block.count(b"\n") - (position == end and block.endswith(b"\n"))
+        while lead and block and _is_continuation(block[0]):
+            block, lead = block[1:], lead - 1
+        lead = 0 if block else lead
+        if is_text:
+            try:
+                decoder.decode(block)
+            except UnicodeDecodeError:
+                is_text = False
+    if is_text:
+        tail = stream.read(3) if end < size else b""
+        kept = 0
+        while kept < len(tail) and _is_continuation(tail[kept]):
+            kept += 1
+        try:
+            decoder.decode(tail[:kept], final=True)
+        except UnicodeDecodeError:
+            is_text = False
+    return lines, is_text
+
+
+def _read_files(batches: Iterator[pa.RecordBatch], on_error: str) -> Iterator[pa.RecordBatch]:
+    """The rows of all listed files and ranges, in batches bounded by content size."""
+    systems, rows, held = Systems(), [], 0
+    for batch in batches:
+        for entry in batch.to_pylist():
+            path = _join(entry["root"], entry["name"])
+            for content, first_line in _pieces(systems, entry, path, on_error):
                 length = len(content or b"")
                 if rows and held + length > BYTES_PER_BATCH:
-                    yield _files(rows)
+                    yield _batch(rows, FILE_FIELDS)
                     rows, held = [], 0
                 rows.append((entry["repo"], path, content, first_line))
                 held += length
     if rows:
-        yield _files(rows)
-
-
-def _pieces(entry: dict, path: str) -> Iterable[tuple[bytes | None, int | None]]:
-    """``(content, first_line)`` of each row of a file. Large files are read once
-    to see that they are readable text, then again part by part."""
-    system, base = _open_root(entry["root"])
-    target = _join(base, entry["name"])
-
-    def open_file():
-        return system.open_input_stream(target, compression=None)
-
-    if entry["size"] <= BYTES_PER_PART or _has_license_name(path):
-        if entry["size"] > MAX_ROW_BYTES:
-            raise OSError(f"{path}: {entry['size']} bytes do not fit in one row")
-        with open_file() as stream:
-            return [(stream.read(), None)]
-    with open_file() as stream:
-        if not _is_text(stream):
-            return [(None, None)]
-    return _line_aligned(open_file(), path)
-
-
-def _has_license_name(path: str) -> bool:
-    return posixpath.basename(path).lower() in LICENSE_FILENAMES
-
-
-def _is_text(stream) -> bool:
-    decoder = codecs.getincrementaldecoder("utf-8")()
+        yield _batch(rows, FILE_FIELDS)
+
+
+def _pieces(
+    systems: Systems, entry: dict, path: str, on_error: str
+) -> Iterator[tuple[bytes | None, int | None]]:
+    """``(content, first_line)`` of each row of a file or range."""
+    start, first_line = entry["start"], entry["first_line"]
+    if start is not None and entry["is_text"] is None:  # could not be measured
+        if on_error == "null":
+            yield None, None
+        return
     try:
-        while block := stream.read(BYTES_PER_PART):
-            decoder.decode(block)
-        decoder.decode(b"", final=True)
-    except UnicodeDecodeError:
-        return False
-    return True
-
-
-def _line_aligned(stream, path: str) -> Iterator[tuple[bytes, int]]:
-    """Parts that end with a line, and the number of lines before each."""
-    with stream:
-        first_line, open_line, held = 0, [], 0
-        while block := stream.read(BYTES_PER_PART):
-            cut = block.rfind(b"\n") + 1
-            if cut:
-                part = b"".join([*open_line, block[:cut]])
-                yield part, first_line
-                first_line += part.count(b"\n")
-                open_line, held = [], 0
+        with systems.open(entry) as stream:
+            if start is None:
+                if entry["size"] > MAX_ROW_BYTES:
+                    raise TooLong(f"{path}: {entry['size']} bytes do not fit in one row")
+                yield stream.read(), None
+            elif entry["is_text"]:
+                end = min(start + BYTES_PER_RANGE, entry["size"])
+                for content, first_line in _line_parts(stream, start, end, first_line):
+                    if content is None and on_error == "fail":
+                        raise TooLong(f"{path}: a line does not fit in one row")
+                    if content is not None or on_error == "null":
+                        yield content, first_line
+            else:
+                first_line = -1 - start
+                stream.seek(start)
+                end = min(start + BYTES_PER_RANGE, entry["size"])
+                while start < end and (block := stream.read(min(BYTES_PER_PART, end - start))):
+                    yield block, -1 - start
+                    start += len(block)
+                    first_line = -1 - start
+    except OSError:
+        if on_error == "fail":
+            raise
+        if on_error == "null":
+            yield None, first_line
+
+
+def _line_parts(
+    stream, start: int, end: int, first_line: int
+) -> Iterator[tuple[bytes | None, int]]:
+    """The lines that start in ``[start, end)``, in parts that end with a line, and
+    the number of the first line of each; None for a line that is too long."""
+    position = max(start - 1, 0)
+    stream.seek(position)
+    searching, done, too_long = start > 0, False, False
+    open_line, held = [], 0
+    while not done and (block := stream.read(BYTES_PER_PART)):
+        if searching:
+            found = block.find(b"\n", 0, max(end - 1 - position, 0))
+            if found < 0:
+                position += len(block)
+                if position >= end - 1:
+                    return
+                continue
+            block, searching = block[found + 1:], False
+            position += found + 1
+        last = block.find(b"\n", max(end - 1 - position, 0))
+        if last >= 0:
+            block, done = block[:last + 1], True
+        position += len(block)
+        if too_long:
+            ended = block.find(b"\n") + 1
+            if not ended:
+                continue
+            block, too_long, first_line = block[ended:], False, first_line + 1
+        cut = block.rfind(b"\n") + 1
+        if cut:
+            part = b"".join([*open_line, block[:cut]])
+            yield part, first_line
+            first_line += part.count(b"\n")
+            open_line, held = [], 0
+        if cut < len(block):
             open_line.append(block[cut:])
             held += len(block) - cut
-            if held > MAX_ROW_BYTES - BYTES_PER_PART:
-                raise ValueError(f"{path}: a line does not fit in one row")
-        if held:
-            yield b"".join(open_line), first_line
-
-
-def _files(rows: list[tuple]) -> pa.RecordBatch:
-    columns = [pa.array(values, field.type) for values, field in zip(zip(*rows), FILE_FIELDS)]
-    return pa.RecordBatch.from_arrays(columns, schema=FILE_FIELDS)
+        if held > MAX_ROW_BYTES - BYTES_PER_PART:
+            yield None, first_line
+            open_line, held, too_long = [], 0, True
+    if held:
+        yield b"".join(open_line), first_line

@@ -1,9 +1,11 @@
 """The physical plans: what is read, joined and shuffled."""
 
 import contextlib
+import glob
 import io
 import re
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -62,11 +64,33 @@ def test_per_row_operators_do_not_shuffle(table, make):
     assert "Exchange" not in operators(make(table.drop("first_line")))
 
 
-def test_only_cut_files_are_merged(table):
+def test_file_stats_read_once_and_shuffle_counts(spark, table, tmp_path):
     frame = ct.file_stats(table)
-    assert operators(frame).count("Exchange") == 1
-    # Row groups without cut files are skipped by their statistics.
-    assert "IsNotNull(first_line)" in plan(frame)
+    names = operators(frame)
+    assert names.count("Exchange") == 1
+    assert len(read_columns(frame)) == 1
+    assert names.count("HashAggregate") == 2
+    (tmp_path / "a.py").write_text("x\n")
+    tree = ct.file_stats(ct.read_source_tree(spark, str(tmp_path)))
+    assert operators(tree).count("MapInArrow") == 1
+
+
+def test_storing_sorts_nothing_and_bounds_row_groups(spark, tmp_path):
+    location = str(tmp_path / "table")
+    rows = spark.range(1000).selectExpr(
+        "'r' AS repo", "if(id % 7 = 0, 'LICENSE', 'a.py') AS path", "cast('x' AS binary) AS content"
+    ).coalesce(1)
+    execution = spark._jsparkSession.sharedState().statusStore()
+    before = execution.executionsCount()
+    ct.write_files_table(rows, location)
+    written = execution.executionsList().apply(before).physicalPlanDescription()
+    assert "Sort" not in written.split("\n\n")[0]
+    groups = [
+        pq.ParquetFile(file).metadata.row_group(i).num_rows
+        for file in glob.glob(f"{location}/*/*.parquet")
+        for i in range(pq.ParquetFile(file).metadata.num_row_groups)
+    ]
+    assert sum(groups) == 1000 and max(groups) <= 256
 
 
 def test_licence_scoring_stays_in_the_row(spark):

@@ -1,9 +1,12 @@
 """The file system scan."""
 
+import io
 import os
 
+import pyarrow as pa
 import pytest
 from pyspark.errors import PythonException
+from pyspark.sql import functions as F
 
 import codetally as ct
 from codetally.sources import source_tree
@@ -41,7 +44,7 @@ def as_dict(files, root):
 def test_every_file_is_a_row(spark, tree):
     root, contents = tree
     files = ct.read_source_tree(spark, root, repo="proj")
-    assert files.columns == ["repo", "path", "content"]
+    assert files.columns == ["repo", "path", "content", "first_line"]
     assert as_dict(files, root) == contents
     assert {row["repo"] for row in files.collect()} == {"proj"}
 
@@ -81,14 +84,16 @@ def large_tree(tree):
     return root, {**contents, **extra}
 
 
-@pytest.mark.parametrize("part", [5, 16, 40])
-def test_large_files_are_cut_at_line_ends(spark, large_tree, monkeypatch, part):
+@pytest.mark.parametrize("part, span", [(5, 7), (5, 1 << 20), (16, 40), (40, 64)])
+def test_large_files_are_cut_at_line_ends(spark, large_tree, monkeypatch, part, span):
     root, contents = large_tree
     whole = ct.read_source_tree(spark, root)
-    assert whole.columns == ["repo", "path", "content"]
+    assert whole.columns == ["repo", "path", "content", "first_line"]
+    assert whole.where("first_line is not null").count() == 0
     expected = {make: sorted(make(whole).collect()) for make in STATS}
 
     monkeypatch.setattr(source_tree, "BYTES_PER_PART", part)
+    monkeypatch.setattr(source_tree, "BYTES_PER_RANGE", span)
     cut = ct.read_source_tree(spark, root)
     rows = sorted(
         (row["first_line"], bytes(row["content"]))
@@ -100,7 +105,10 @@ def test_large_files_are_cut_at_line_ends(spark, large_tree, monkeypatch, part):
         before = b"".join(c for line, c in rows if line < first_line)
         assert first_line == before.count(b"\n")
         assert content.endswith(b"\n") or content.endswith(b"last")
-    assert [row["content"] for row in cut.where("path like '%/large.bin'").collect()] == [None]
+    parts = cut.where("path like '%/large.bin'").orderBy(F.desc("first_line")).collect()
+    assert b"".join(bytes(row["content"]) for row in parts) == contents["large.bin"]
+    places = [-1 - row["first_line"] for row in parts]
+    assert places == [sum(len(row["content"]) for row in parts[:i]) for i in range(len(parts))]
     for make in STATS:
         assert sorted(make(cut).collect()) == expected[make]
     assert ct.license_report(cut, root).first()["license"] == "MIT"
@@ -158,6 +166,91 @@ def test_links_are_followed_but_not_in_circles(spark, tree):
     assert as_dict(ct.read_source_tree(spark, root), root) == expected
 
 
+def linked(root, names):
+    """Directories with a file each, every one with links to all others."""
+    for name in names:
+        os.makedirs(f"{root}/{name}")
+        with open(f"{root}/{name}/{name}.py", "w") as handle:
+            handle.write("x\n")
+    for name in names:
+        for other in names:
+            if other != name:
+                os.symlink(f"{root}/{other}", f"{root}/{name}/to_{other}")
+
+
+def test_directories_that_link_to_each_other_end(spark, tmp_path):
+    root = str(tmp_path / "two")
+    linked(root, "ab")
+    assert as_dict(ct.read_source_tree(spark, root), root).keys() == {
+        "a/a.py", "a/to_b/b.py", "b/b.py", "b/to_a/a.py",
+    }
+    root = str(tmp_path / "three")
+    linked(root, "abc")
+    paths = [row["path"] for row in ct.read_source_tree(spark, root).collect()]
+    # Every way of one, two or three different directories, once.
+    assert len(paths) == len(set(paths)) == 3 + 6 + 6
+
+
+def test_rounds_follow_the_depth(spark, tmp_path, monkeypatch):
+    for i in range(300):
+        os.makedirs(tmp_path / f"d{i}" / "e")
+        (tmp_path / f"d{i}" / "e" / "f.py").write_text("x\n")
+    monkeypatch.setattr(source_tree, "ENTRIES_PER_WALK", 10)
+    monkeypatch.setattr(source_tree, "DIRECTORIES_PER_TASK", 20)
+    rounds = []
+    original = type(spark.range(1)).checkpoint
+    monkeypatch.setattr(
+        type(spark.range(1)), "checkpoint", lambda self, *a: rounds.append(1) or original(self, *a)
+    )
+    files = ct.read_source_tree(spark, str(tmp_path))
+    assert len(rounds) <= 4
+    assert files.count() == 300
+    assert files.rdd.getNumPartitions() <= source_tree.READS_PER_CORE * 8
+
+
+def test_names_that_are_not_utf8(spark, tmp_path):
+    root = os.fsencode(str(tmp_path))
+    os.mkdir(root + b"/d\xff")
+    with open(root + b"/d\xff/\xfe.py", "wb") as handle:
+        handle.write(b"x\n")
+    files = ct.read_source_tree(spark, str(tmp_path))
+    assert as_dict(files, str(tmp_path)) == {r"d\xff/\xfe.py": b"x\n"}
+    assert ct.language_stats(files).first()["code"] == 1
+
+
+def test_a_root_uri_with_a_space(spark, tmp_path):
+    root = tmp_path / "with space"
+    root.mkdir()
+    (root / "a.py").write_text("x\n")
+    for uri in (f"file://{root}", f"file://{root}".replace(" ", "%20")):
+        assert as_dict(ct.read_source_tree(spark, uri), uri) == {"a.py": b"x\n"}
+
+
+def test_an_unreadable_directory(tree, monkeypatch):
+    root, _ = tree
+    scandir = os.scandir
+
+    def refuse(path):
+        if path.endswith(b"/src"):
+            raise PermissionError(path)
+        return scandir(path)
+
+    monkeypatch.setattr(os, "scandir", refuse)
+
+    def names(on_error):
+        given = pa.RecordBatch.from_pylist(
+            [{"repo": "r", "root": root, "name": "", "raw": b"", "pending": True, "size": 0}],
+            source_tree.ENTRY_FIELDS,
+        )
+        batches = source_tree._walk(iter([given]), [], on_error)
+        return {name for batch in batches for name in batch["name"].to_pylist()}
+
+    with pytest.raises(PermissionError):
+        names("fail")
+    assert "dist/y.py" in names("skip") and "src/bad.py" not in names("skip")
+    assert names("skip") == names("null")
+
+
 def test_missing_root_fails(spark, tmp_path):
     with pytest.raises(PythonException, match="path does not exist"):
         ct.read_source_tree(spark, str(tmp_path / "none")).collect()
@@ -179,6 +272,83 @@ def test_unreadable_file_can_be_skipped(spark, tree):
     assert as_dict(files, root) == contents
 
 
+def test_unreadable_file_can_be_a_row(spark, large_tree, monkeypatch):
+    root, contents = large_tree
+    monkeypatch.setattr(source_tree, "BYTES_PER_PART", 16)
+    before = ct.read_source_tree(spark, root, on_error="null")
+    os.remove(f"{root}/Makefile")
+    os.remove(f"{root}/large.py")
+    gone = before.where("content is null").select("path").distinct().collect()
+    assert {row["path"] for row in gone} == {f"{root}/Makefile", f"{root}/large.py"}
+    row = ct.file_stats(before).where("path like '%/large.py'").first()
+    assert (row["files"], row["code"]) == (1, 0)
+    skipped = ct.read_source_tree(spark, root, on_error="skip")
+    assert skipped.where("content is null").count() == 0
+
+
+def test_what_does_not_fit_in_a_row(spark, large_tree, monkeypatch):
+    root, _ = large_tree
+    with open(f"{root}/minified.js", "wb") as handle:
+        handle.write(b"// a\n" + b"x" * 100 + b"\n// b\nc\n")
+    with open(f"{root}/COPYING", "wb") as handle:
+        handle.write(b"y" * 100)
+    monkeypatch.setattr(source_tree, "BYTES_PER_PART", 16)
+    monkeypatch.setattr(source_tree, "MAX_ROW_BYTES", 64)
+    with pytest.raises(PythonException, match="COPYING: 100 bytes|minified.js: a line"):
+        ct.read_source_tree(spark, root).collect()
+    rows = ct.read_source_tree(spark, root, on_error="null")
+    lost = rows.where("content is null").orderBy("path").collect()
+    assert [(row["path"], row["first_line"]) for row in lost] == [
+        (f"{root}/COPYING", None), (f"{root}/minified.js", 1),
+    ]
+    row = ct.file_stats(rows).where("path like '%/minified.js'").first()
+    assert (row["files"], row["single"], row["code"]) == (1, 2, 1)
+    found = ct.classified_lines(rows).where("path like '%/minified.js'").orderBy("pos").collect()
+    assert [row["pos"] for row in found] == [0, 2, 3]
+    skipped = ct.read_source_tree(spark, root, on_error="skip")
+    assert ct.file_stats(skipped).where("path like '%/minified.js'").first()["code"] == 1
+    assert skipped.where("path like '%/COPYING'").count() == 0
+
+
+def test_lines_beyond_an_int(spark):
+    files = spark.createDataFrame(
+        [("r", "r/a.py", bytearray(b"# a\nb\n"), 2**31 - 1)],
+        "repo string, path string, content binary, first_line long",
+    )
+    found = ct.classified_lines(files).orderBy("pos").collect()
+    assert [(row["pos"], row["kind"]) for row in found] == [(2**31 - 1, "single"), (2**31, "code")]
+    assert ct.language_stats(files).first()["code"] == 1
+
+
+@pytest.mark.parametrize("text", ["aé€😀\n" * 9, "😀" * 20, "\n" * 9, "é\n\nx"])
+def test_text_is_seen_whatever_the_ranges(text, monkeypatch):
+    monkeypatch.setattr(source_tree, "BYTES_PER_PART", 3)
+    content = text.encode()
+    broken = [content[:i] + b"\x80" + content[i:] for i in range(len(content) + 1)]
+    cut = [content[:i] + content[i + 1:] for i in range(len(content))]
+    for data in [content, *broken, *cut]:
+        for span in (4, 5, 7, 1000):
+            monkeypatch.setattr(source_tree, "BYTES_PER_RANGE", span)
+            measured = [
+                source_tree._line_starts_and_text(io.BytesIO(data), start, len(data))
+                for start in range(0, len(data), span)
+            ]
+            pieces = data.split(b"\n")
+            assert sum(lines for lines, _ in measured) == len(pieces) - (pieces[-1] == b"")
+            try:
+                data.decode()
+                expected = True
+            except UnicodeDecodeError:
+                expected = False
+            assert all(is_text for _, is_text in measured) == expected
+            parts = [
+                part for start in range(0, len(data), span)
+                for part, _ in source_tree._line_parts(
+                    io.BytesIO(data), start, min(start + span, len(data)), 0)
+            ]
+            assert b"".join(parts) == data
+
+
 def test_license_report_of_a_tree(spark, tree):
     root, _ = tree
     with open(f"{root}/COPYING", "w") as handle:

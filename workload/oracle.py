@@ -123,7 +123,7 @@ LINES = f"""pieces AS (
   FROM eligible),
 numbered AS (
   SELECT pieces.*, trim(u.piece, {text(dims.WHITESPACE)}) AS line,
-    CAST(u.i - 1 AS INTEGER) AS pos
+    CAST(u.i - 1 AS BIGINT) AS pos
   FROM pieces, LATERAL (SELECT unnest(split) AS piece, unnest(range(1, len(split) + 1)) AS i) u
   WHERE NOT (u.i = len(split) AND u.piece = '')),
 lines AS (
