@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from codetally.sources import dimensions as dims
 from workload import tables as t
-from workload.queries import IGNORE_DIRS, IGNORE_LANGS
+from workload.queries import ALL_ALIASES, IGNORE_DIRS, IGNORE_LANGS
 
 
 def text(value: str) -> str:
@@ -63,23 +63,32 @@ FINGERPRINTS = "fingerprints(ordinal, license, total, phrase) AS (VALUES " + ",\
 
 def _shape_cases() -> str:
     cases = []
-    for number, (before, keep, after) in enumerate(t.LINE_SHAPES):
-        value = f"{text(before)} || x || {text(after)}" if keep else text(before)
-        cases.append(f"WHEN {number} THEN {value}")
+    for number, (before, after) in enumerate(t.LINE_SHAPES):
+        cases.append(f"WHEN {number} THEN {text(before)} || x || {text(after)}")
     return " ".join(cases)
 
 
+SHAPED = f"""array_to_string(list_transform(string_split(text, chr(10)),
+        lambda x, i: CASE (i - 1 + doc_id) % {len(t.LINE_SHAPES)} {_shape_cases()} END), chr(10))"""
+
+
 SOURCE_FILES = f"""files AS (
   SELECT source AS repo,
     'r/' || source || '/' || {pick(t.DIRECTORIES, "doc_id")}
-      || '/f' || doc_id || {pick(t.EXTENSIONS, "doc_id")} AS path,
-    doc_id % 97 <> 0 AND doc_id % 89 = 88 AS invalid,
-    CASE WHEN doc_id % 97 = 0 THEN '' ELSE
-      array_to_string(list_transform(string_split(text, chr(10)),
-        lambda x, i: CASE (i - 1 + doc_id) % {len(t.LINE_SHAPES)} {_shape_cases()} END), chr(10))
-      || CASE WHEN doc_id % 2 = 0 THEN chr(10) ELSE '' END
+      || CASE WHEN extra THEN '/e' ELSE '/f' END || doc_id || {pick(t.EXTENSIONS, "doc_id")} AS path,
+    NOT extra AND doc_id % 89 = 88 AS invalid,
+    CASE WHEN extra THEN '' ELSE
+      {SHAPED} || CASE WHEN doc_id % 2 = 0 THEN chr(10) ELSE '' END
     END AS content
-  FROM documents)"""
+  FROM (SELECT *, false AS extra FROM documents
+    UNION ALL SELECT *, true FROM documents WHERE doc_id % 97 = 0))"""
+
+LARGE_FILES = f"""files AS (
+  SELECT 'large' AS repo, 'r/large/f' || number || {pick(t.EXTENSIONS, "number")} AS path,
+    number % 2 = 1 AS invalid, string_agg(shaped || chr(10), '' ORDER BY doc_id) AS content
+  FROM (SELECT doc_id, doc_id // {t.DOCUMENTS_PER_LARGE_FILE} AS number, {SHAPED} AS shaped
+    FROM documents)
+  GROUP BY number)"""
 
 PAGE_FILES = f"""files AS (
   SELECT string_split(url, '/')[3] AS repo,
@@ -195,6 +204,11 @@ def summary_query(by: str = "") -> str:
     SELECT {by}'Total', CAST(sum(files) + 1 AS BIGINT), {measures} FROM file_stats {group}"""
 
 
+_NAMES = ", ".join(f"({i}, {text(name)})" for i, (name, *_) in enumerate(dims.LANGUAGES))
+SUMMARY_POSITIONS = f"""SELECT s.*, row_number() OVER (ORDER BY
+    CASE s.language WHEN 'Other' THEN 1 WHEN 'Total' THEN 2 ELSE 0 END, n.ordinal) - 1 AS position
+FROM ({summary_query()}) s LEFT JOIN (VALUES {_NAMES}) n(ordinal, name) ON n.name = s.language"""
+
 SUMMARY_LINES = f"""SELECT printf('%-12s %7d %8d %9d %8d', language, files, blank, comment, code) AS line
 FROM ({summary_query()})"""
 
@@ -208,13 +222,14 @@ LICENSE_TEXTS = f"""texts AS (
 DOCUMENT_TEXTS = "texts AS (SELECT doc_id, text FROM documents)"
 
 LICENSE_REPOS = f"""repos AS (
-  SELECT doc_id, 'p/' || doc_id AS repo,
-    'p/' || doc_id || '/' || {pick(t.LICENSE_DIRECTORIES, "doc_id")}
+  SELECT kind || doc_id AS repo,
+    kind || doc_id || '/' || {pick(t.LICENSE_DIRECTORIES, "doc_id")}
       || {pick(t.LICENSE_NAMES, "doc_id")} AS path,
-    CASE WHEN doc_id % 97 = 0 THEN '' ELSE text END AS content
-  FROM texts),
+    CASE WHEN kind = 'p/e' THEN '' ELSE text END AS content
+  FROM (SELECT *, 'p/' AS kind FROM texts
+    UNION ALL SELECT *, 'p/e' FROM texts WHERE doc_id % 97 = 0)),
 candidates AS (
-  SELECT doc_id, repo, path, regexp_extract(path, '[^/]*$') AS file, content AS text FROM repos
+  SELECT repo AS doc_id, repo, path, regexp_extract(path, '[^/]*$') AS file, content AS text FROM repos
   WHERE regexp_extract(path, '^(.*)/[^/]*$', 1) = repo
     AND lower(regexp_extract(path, '[^/]*$')) IN ({", ".join(map(text, dims.LICENSE_FILENAMES))}))"""
 
@@ -274,6 +289,9 @@ ORACLE: dict[str, str] = {
         [*DEFAULTS, *IGNORE_DIRS, *dims.HIDDEN_IGNORE_DIRS]
     ),
     "ignore_lang_alias": located_query(DEFAULTS, IGNORE_LANGS),
+    "ignore_lang_all_aliases": located_query(DEFAULTS, ALL_ALIASES),
+    "count_source_files_none": with_clause(KNOWN, SOURCE_FILES, LOCATED, eligible([""]))
+    + "SELECT count(*) AS files FROM eligible",
     "count_source_files": with_clause(KNOWN, SOURCE_FILES, LOCATED, eligible(DEFAULTS))
     + "SELECT count(*) AS files FROM eligible",
     "classified_lines": with_clause(KNOWN, SOURCE_FILES, LOCATED, eligible(DEFAULTS), LINES)
@@ -288,6 +306,7 @@ ORACLE: dict[str, str] = {
     "combine_stats": COMBINED,
     "summary_report": summary_query(),
     "summary_report_by_repo": summary_query("repo, "),
+    "summary_report_positions": SUMMARY_POSITIONS,
     "summary_lines": SUMMARY_LINES,
     "license_files": with_clause(LICENSE_TEXTS, LICENSE_REPOS)
     + "SELECT repo, path, file FROM candidates",
@@ -297,6 +316,15 @@ ORACLE: dict[str, str] = {
     "classify_license_documents": classify_query(DOCUMENT_TEXTS),
     "license_report": LICENSE_REPORT,
     "source_tree_stats": stats_query(),
+    "source_tree_pruned": stats_query(
+        fragments=[*DEFAULTS, *IGNORE_DIRS, *dims.HIDDEN_IGNORE_DIRS]
+    ),
+    "source_tree_single_file": stats_query(fragments=[]),
+    "source_tree_large": with_clause(*stats_ctes(LARGE_FILES))
+    + "SELECT * EXCLUDE (ordinal) FROM file_stats",
+    "source_tree_license_report": LICENSE_REPORT,
+    "files_table_file_stats": with_clause(*stats_ctes(SOURCE_FILES))
+    + "SELECT * EXCLUDE (ordinal) FROM file_stats",
     "files_table_stats": stats_query(by="repo, "),
     "files_table_license_report": LICENSE_REPORT,
 }

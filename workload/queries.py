@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import codetally as ct
+from codetally.sources.dimensions import LANGUAGE_ALIASES
 from workload import tables as t
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -15,6 +16,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 # Parameters shared with the SQL side.
 IGNORE_LANGS = ["py", "md", "kt", "bash", "js,py"]
 IGNORE_DIRS = ["a/b", "src1/"]
+ALL_ALIASES = list(LANGUAGE_ALIASES)
 
 LOCATED = ["repo", "path", "ext", "language", "ordinal", "is_other"]
 
@@ -39,6 +41,17 @@ def ignore_lang_alias(spark, sf_dir):
     ).select(*LOCATED)
 
 
+def ignore_lang_all_aliases(spark, sf_dir):
+    return ct.eligible_files(
+        t.source_paths(spark, sf_dir), ignore_langs=ALL_ALIASES
+    ).select(*LOCATED)
+
+
+def count_source_files_none(spark, sf_dir):
+    """An empty fragment ignores every file."""
+    return ct.count_source_files(t.source_paths(spark, sf_dir), ignore_dirs=[""])
+
+
 def count_source_files(spark, sf_dir):
     return ct.count_source_files(t.source_paths(spark, sf_dir))
 
@@ -86,6 +99,12 @@ def summary_report_by_repo(spark, sf_dir):
     return ct.summary_report(language_stats_by_repo(spark, sf_dir), by=["repo"])
 
 
+def summary_report_positions(spark, sf_dir):
+    """The report with the place of each row; one partition numbers from zero."""
+    report = summary_report(spark, sf_dir).coalesce(1)
+    return report.withColumn("position", F.monotonically_increasing_id())
+
+
 def summary_lines(spark, sf_dir):
     return ct.summary_lines(language_stats(spark, sf_dir))
 
@@ -117,12 +136,51 @@ def license_report(spark, sf_dir):
     return ct.license_report(t.license_repos(spark, sf_dir), root=F.col("repo"), by=["repo"])
 
 
+def _inside(files, root):
+    return files.withColumn("path", F.substring("path", len(root) + 2, 2**31 - 1))
+
+
 def source_tree_stats(spark, sf_dir):
     """The source files written out as a real tree and scanned from there."""
     root = t.write_tree(t.source_files(spark, sf_dir))
-    files = ct.read_source_tree(spark, root)
-    inside = F.substring("path", len(root) + 2, 2**31 - 1)
-    return ct.language_stats(files.withColumn("path", inside))
+    return ct.language_stats(_inside(ct.read_source_tree(spark, root), root))
+
+
+def source_tree_pruned(spark, sf_dir):
+    """Ignored directories are not even listed."""
+    root = t.write_tree(t.source_files(spark, sf_dir))
+    fragments = ct.ignore_fragments(IGNORE_DIRS, ignore_hidden=True)
+    files = _inside(ct.read_source_tree(spark, root, prune=fragments), root)
+    return ct.language_stats(files, ignore_dirs=IGNORE_DIRS, ignore_hidden=True)
+
+
+def source_tree_single_file(spark, sf_dir):
+    """Every file is the root of a scan of its own."""
+    root = t.write_tree(t.source_files(spark, sf_dir))
+    roots = t.source_paths(spark, sf_dir).select(
+        "repo", F.concat(F.lit(f"{root}/"), "path").alias("root")
+    )
+    return ct.language_stats(ct.read_source_trees(roots), single_file=True)
+
+
+def source_tree_large(spark, sf_dir):
+    """Files that are cut when read, some of them not text."""
+    root = t.write_tree(t.large_files(spark, sf_dir))
+    return ct.file_stats(_inside(ct.read_source_tree(spark, root, repo="large"), root))
+
+
+def source_tree_license_report(spark, sf_dir):
+    """Licences of scanned repositories, some with a directory named ``license``."""
+    root = t.write_tree(t.license_repos(spark, sf_dir))
+    files = _inside(ct.read_source_tree(spark, root), root)
+    located = files.withColumn("repo", F.regexp_extract("path", "^(p/[^/]*)/", 1))
+    return ct.license_report(located, root=F.col("repo"), by=["repo"])
+
+
+def files_table_file_stats(spark, sf_dir):
+    location = t.new_folder(spark, "table")
+    ct.write_files_table(t.source_files(spark, sf_dir), location)
+    return ct.file_stats(ct.read_files_table(spark, location))
 
 
 def files_table_stats(spark, sf_dir):
@@ -146,7 +204,9 @@ QUERIES: dict[str, Query] = {
         eligible_files,
         eligible_files_hidden,
         ignore_lang_alias,
+        ignore_lang_all_aliases,
         count_source_files,
+        count_source_files_none,
         classified_lines,
         file_stats,
         language_stats,
@@ -157,6 +217,7 @@ QUERIES: dict[str, Query] = {
         combine_stats,
         summary_report,
         summary_report_by_repo,
+        summary_report_positions,
         summary_lines,
         license_files,
         license_scores,
@@ -165,7 +226,12 @@ QUERIES: dict[str, Query] = {
         classify_license_documents,
         license_report,
         source_tree_stats,
+        source_tree_pruned,
+        source_tree_single_file,
+        source_tree_large,
+        source_tree_license_report,
         files_table_stats,
+        files_table_file_stats,
         files_table_license_report,
     ]
 }

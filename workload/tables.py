@@ -19,37 +19,45 @@ from pyspark.sql import functions as F
 from codetally.sources.checkpoints import ensure_checkpoint_dir
 from codetally.sources.dimensions import (
     LANGUAGES,
+    LICENSE_FILENAMES,
     LICENSE_FINGERPRINTS,
     extension_rows,
 )
 
-DIRECTORIES = ["src", "lib", "dist", "node_modules", ".git", "redistribute", "a/b"]
+DIRECTORIES = [
+    "src", "lib", "dist", "node_modules", ".git", "redistribute", "a/b", "./src", "a/./b", "a//b",
+]
 EXTENSIONS = [*(ext for ext, *_ in extension_rows()), ".md", ".PY", ".", ""]
 PAGE_EXTENSIONS = [".html", ".htm", ".xhtml", ".svg", ".HTML", ".php"]
-LICENSE_NAMES = ["LICENSE", "license.md", "Copying.TXT", "README.md", "LICENSE-MIT"]
-LICENSE_DIRECTORIES = ["", "", "sub/"]
+LICENSE_NAMES = [
+    "LICENSE", "license.md", "Copying.TXT", "README.md", "LICENSE-MIT", "LICENSE.html", "COPYING.rst",
+    *map(str.capitalize, LICENSE_FILENAMES),
+]
+LICENSE_DIRECTORIES = ["", "", "sub/", "license/"]
+DOCUMENTS_PER_LARGE_FILE = 500
+# Setting of the caller's session: partitions for tables stored as few splits.
+PARTITIONS = "codetally.workload.partitions"
 PHRASES = [phrase for _, phrases in LICENSE_FINGERPRINTS for phrase in phrases]
 
 MARKERS = sorted(
     {marker for _, _, single, opener, *_ in LANGUAGES for marker in [*single, opener] if marker}
 )
 
-# What becomes of line i of document d, by (i + d) modulo the number of shapes:
-# (before, keep the line, after).
+# What goes before and after line i of document d, by (i + d) modulo the number of shapes.
 LINE_SHAPES = [
-    ("# ", True, ""),
-    ("// ", True, ""),
-    ("-- ", True, ""),
-    ("/* ", True, ""),
-    ("", False, ""),
-    ("  \t{- ", True, ""),
-    ("", True, ""),
-    ('"""', True, ""),
-    ("\u00a0\u3000", False, ""),
-    ("\u0085", True, ""),
-    ("\t# ", True, "\r"),
-    ("\ufeff// ", True, ""),
-    *((marker, True, "") for marker in MARKERS),
+    ("# ", ""),
+    ("// ", ""),
+    ("-- ", ""),
+    ("/* ", ""),
+    ("\n", ""),
+    ("  \t{- ", ""),
+    ("", ""),
+    ('"""', ""),
+    ("\u00a0\u3000\n", ""),
+    ("\u0085", ""),
+    ("\t# ", "\r"),
+    ("\ufeff// ", ""),
+    *((marker, "") for marker in MARKERS),
 ]
 
 
@@ -58,14 +66,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(scan: DataFrame) -> DataFrame:
-    """Use all cores for a table of few splits.
-
-    A small Parquet file may hold all its rows in one row group, hence in one
-    task. Fewer than two splits per core is at most a few hundred megabytes per
-    core to shuffle; any larger table is left as it is.
-    """
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan.repartition(cores) if scan.rdd.getNumPartitions() < 2 * cores else scan
+    """The scan, or as many partitions as the caller's session asks for: a small
+    Parquet file may hold all its rows in one row group, hence in one task."""
+    partitions = scan.sparkSession.conf.get(PARTITIONS, None)
+    return scan.repartition(int(partitions)) if partitions else scan
 
 
 def _pick(items, index: Column) -> Column:
@@ -73,34 +77,40 @@ def _pick(items, index: Column) -> Column:
 
 
 def _shaped(line: Column, index: Column) -> Column:
-    before, keep, after = zip(*LINE_SHAPES)
-    kept = F.when(_pick(keep, index), line).otherwise("")
-    return F.concat(_pick(before, index), kept, _pick(after, index))
+    before, after = zip(*LINE_SHAPES)
+    return F.concat(_pick(before, index), line, _pick(after, index))
+
+
+def _shaped_text() -> Column:
+    doc = F.col("doc_id")
+    lines = F.transform(F.split("text", "\n", -1), lambda x, i: _shaped(x, i + doc))
+    return F.array_join(lines, "\n")
 
 
 def file_paths(documents: DataFrame) -> DataFrame:
-    """``repo, path`` for each document; needs no text."""
+    """``repo, path`` for each document, and for an empty file beside every 97th of
+    them (``is_extra``); needs no text."""
     doc = F.col("doc_id")
-    return documents.withColumns({
+    extras = F.when(doc % 97 == 0, F.array(F.lit(False), F.lit(True))).otherwise(
+        F.array(F.lit(False))
+    )
+    return documents.withColumn("is_extra", F.explode(extras)).withColumns({
         "repo": F.col("source"),
         "path": F.concat(
             F.lit("r/"), "source", F.lit("/"), _pick(DIRECTORIES, doc),
-            F.lit("/f"), doc, _pick(EXTENSIONS, doc),
+            F.when(F.col("is_extra"), "/e").otherwise("/f"), doc, _pick(EXTENSIONS, doc),
         ),
     })
 
 
 def source_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``repo, path, content``: one source file per document. Every 97th is empty
-    and every 89th is not valid UTF-8."""
+    """``repo, path, content``: one source file per document, and some empty ones.
+    Every 89th is not valid UTF-8."""
     doc = F.col("doc_id")
-    lines = F.transform(F.split("text", "\n", -1), lambda x, i: _shaped(x, i + doc))
-    body = F.concat(
-        F.array_join(lines, "\n"), F.when(doc % 2 == 0, "\n").otherwise("")
-    ).cast("binary")
+    body = F.concat(_shaped_text(), F.when(doc % 2 == 0, "\n").otherwise("")).cast("binary")
     surrogate = F.unhex(F.lit("EDA080"))
     content = (
-        F.when(doc % 97 == 0, F.lit("").cast("binary"))
+        F.when(F.col("is_extra"), F.lit("").cast("binary"))
         .when(doc % 89 == 88, F.concat(surrogate, body))
         .otherwise(body)
     )
@@ -108,6 +118,26 @@ def source_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return file_paths(documents).select("repo", "path", content.alias("content"))
 
 
+def large_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``repo, path, content``: the shaped texts of five hundred documents in a row
+    make a file; every second one is not valid UTF-8."""
+    number = F.floor(F.col("doc_id") / DOCUMENTS_PER_LARGE_FILE)
+    documents = spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    texts = documents.select(
+        number.alias("number"), F.struct("doc_id", _shaped_text().alias("text")).alias("part")
+    )
+    parts = F.sort_array(F.collect_list("part"))
+    joined = texts.groupBy("number").agg(
+        F.concat(F.array_join(parts["text"], "\n"), F.lit("\n")).cast("binary").alias("body")
+    )
+    broken = F.concat("body", F.unhex(F.lit("EDA080")))
+    return joined.select(
+        F.lit("large").alias("repo"),
+        F.concat(F.lit("r/large/f"), "number", _pick(EXTENSIONS, F.col("number"))).alias("path"),
+        F.when(F.col("number") % 2 == 1, broken).otherwise(F.col("body")).alias("content"),
+    )
+
+
 def source_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``repo, path`` of the source files, read without their content."""
     documents = table(spark, sf_dir, "documents").select("doc_id", "source")
@@ -137,15 +167,20 @@ def license_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def license_repos(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``repo, path, content``: a repository per document with one candidate
-    licence file, a third of them not in its root."""
+    licence file, half of them not in its root, and one with an empty file beside
+    every 97th."""
     doc = F.col("doc_id")
-    repo = F.concat(F.lit("p/"), doc)
-    return license_texts(spark, sf_dir).select(
+    kinds = F.when(doc % 97 == 0, F.array(F.lit("p/"), F.lit("p/e"))).otherwise(
+        F.array(F.lit("p/"))
+    )
+    repo = F.concat("kind", doc)
+    return license_texts(spark, sf_dir).withColumn("kind", F.explode(kinds)).select(
         repo.alias("repo"),
         F.concat(
             repo, F.lit("/"), _pick(LICENSE_DIRECTORIES, doc), _pick(LICENSE_NAMES, doc)
         ).alias("path"),
-        F.when(doc % 97 == 0, F.lit("")).otherwise(F.col("text")).cast("binary").alias("content"),
+        F.when(F.col("kind") == "p/e", F.lit("")).otherwise(F.col("text"))
+        .cast("binary").alias("content"),
     )
 
 
