@@ -73,7 +73,7 @@ def test_golden_language_stats(golden_files):
 
 def test_schemas(golden_files):
     assert [f.simpleString() for f in ct.classified_lines(golden_files).schema] == [
-        "repo:string", "path:string", "language:string", "is_other:boolean", "pos:int", "kind:string",
+        "repo:string", "path:string", "language:string", "is_other:boolean", "pos:bigint", "kind:string",
     ]
     assert [f.simpleString() for f in ct.file_stats(golden_files).schema] == [
         "repo:string", "path:string", "language:string", "is_other:boolean",
