@@ -152,6 +152,20 @@ def test_token_ids_are_those_of_the_library(spark):
     assert sentencepiece_codec.encode(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_words_kept_over_a_change_of_the_memo(monkeypatch):
+    import sentencepiece
+
+    data = open(sentencepiece_codec.MODEL_FILE, "rb").read()
+    library = sentencepiece.SentencePieceProcessor(model_proto=data)
+    monkeypatch.setattr(sentencepiece_codec, "MEMO_WORDS", 4)
+    codec = sentencepiece_codec.Codec(data, 1, True)
+    for batch in (["the cat sat on the mat"], ["the dog"], ["a cat", ""], ["one two three four five the cat"], ["sat"]):
+        ids, same = codec.encode_batch(batch)
+        assert ids == library.encode(batch)
+        assert all(same)
+    assert len(codec.memo) + len(codec.old) < 20
+
+
 def test_whole_texts_give_the_same_ids_as_words():
     data = open(sentencepiece_codec.MODEL_FILE, "rb").read()
     words, whole = sentencepiece_codec.Codec(data, 1), sentencepiece_codec.Codec(data, 1)
