@@ -2,6 +2,7 @@
 
 import random
 import re
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -236,3 +237,17 @@ def test_license_scan_matches_brute_force(spark):
 def test_there_are_hundreds_of_rules():
     rules = license_rules.signature_rules()
     assert len(rules) > 300 and len({r.priority for r in rules}) == 4
+
+
+def test_runs_of_words_have_the_ids_of_the_words_and_long_words_are_not_kept():
+    data = Path(sentencepiece_codec.MODEL_FILE).read_bytes()
+    runs, single = (sentencepiece_codec.Codec(data) for _ in range(2))
+    single.in_runs = False
+    draw = random.Random(5)
+    signs = [" ", "  ", "a", "b", "▁", "é", "中", "\n", "\0", "😀", "<s>", "<unk>", "the", "　"]
+    texts = ["".join(draw.choices(signs, k=draw.randrange(40))) for _ in range(3000)]
+    texts += ["", " ", "a " * 600, "中" * 5000, "x" * 200 + " y"]
+    ids, same = runs.encode_batch(texts)
+    assert (ids, same) == single.encode_batch(texts)
+    assert ids == runs.library.encode(texts) and all(same)
+    assert max(map(len, runs.memo)) <= sentencepiece_codec.LONG_WORD
