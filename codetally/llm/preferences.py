@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 
 # Rows of one key are summed in buckets of that many order values.
 BUCKET = 256
+PLACE = ["pair_id", "b__"]
+
+
+def _bucket(number: str) -> Column:
+    return F.floor(F.col(number) / BUCKET)
 
 
 def render(role: Column, text: Column) -> Column:
@@ -70,36 +75,52 @@ def format_preferences(
     and one completion. See :func:`turns_in_order` for nulls, ties and repeated rows.
     Empty tables give an empty table, other columns are not read.
 
-    Turns meet by id and position, and sums go by buckets, so that a conversation
-    with very many turns is spread over tasks.
+    Turns of both sides meet in one exchange by id and bucket of positions; windows
+    and sums stay within a bucket, and what goes from bucket to bucket (prefix,
+    offsets) is joined as a row for each. So a conversation with very many turns is
+    spread over tasks, and texts are not shuffled again.
     """
     sides = [
-        turns_in_order(side, id_col, turn_col, role_col, text_col).select(
-            "pair_id", "position", F.struct("role", "text").alias(name)
-        )
+        turns_in_order(side, id_col, turn_col, role_col, text_col).withColumn("side", F.lit(name))
         for side, name in ((chosen, "chosen"), (rejected, "rejected"))
     ]
-    both = sides[0].join(sides[1], ["pair_id", "position"], "full")
-    differs = ~F.col("chosen").eqNullSafe(F.col("rejected"))
-    prefix = both.groupBy("pair_id").agg(
-        F.coalesce(F.min(F.when(differs, F.col("position"))), F.max("position") + 1).alias("prefix")
+    both = sides[0].unionByName(sides[1]).withColumn("b__", _bucket("position"))
+    # Of turns at the same position "chosen" comes first.
+    near = W.partitionBy(*PLACE).orderBy("position", "side")
+    turn = F.struct("position", "role", "text")
+    other = F.when(F.col("side") == "chosen", F.lead(turn).over(near)).otherwise(F.lag(turn).over(near))
+    paired = both.withColumn("same__", turn.eqNullSafe(other))
+    ends = paired.groupBy(*PLACE).agg(
+        F.min(F.when(~F.col("same__"), F.col("position"))).alias("differs"), F.max("position").alias("last")
     )
-    marked = both.join(prefix, "pair_id")
-    common = F.col("position") < F.col("prefix")
-    parts = F.when(common, F.array(F.struct(F.lit("prompt").alias("part"), F.col("chosen").alias("t")))).otherwise(
-        F.array(*(F.struct(F.lit(n).alias("part"), F.col(n).alias("t")) for n in ("chosen", "rejected")))
+    pair = W.partitionBy("pair_id")
+    prefixes = ends.select(
+        *PLACE, F.coalesce(F.min("differs").over(pair), F.max("last").over(pair) + 1).alias("prefix")
     )
-    turns = (
-        marked.select("pair_id", "position", F.explode(parts).alias("p"))
-        .where("p.t IS NOT NULL")
-        .select("pair_id", "p.part", "position", "p.t.role", "p.t.text")
+    common = F.col("position") < F.col("prefix")
+    rendered = (
+        paired.join(prefixes, PLACE)
+        .where(~common | (F.col("side") == "chosen"))
+        .select(
+            *PLACE, F.when(common, F.lit("prompt")).otherwise(F.col("side")).alias("part"), "position", "role",
+            render(F.col("role"), F.col("text")).alias("rendered"),
+            (~common & (F.col("role") == trained_role)).alias("trained"),
+        )
     )
-    rendered = turns.select(
-        "pair_id", "part", "position", "role", render(F.col("role"), F.col("text")).alias("rendered"),
-        ((F.col("part") != "prompt") & (F.col("role") == trained_role)).alias("trained"),
+    size = F.length("rendered").cast("long")
+    sizes = rendered.groupBy(*PLACE, "part").agg(F.sum(size).alias("size"))
+    earlier = W.partitionBy("pair_id", "part").orderBy("b__").rowsBetween(W.unboundedPreceding, -1)
+    # At most three parts in a bucket.
+    offsets = (
+        sizes.select(*PLACE, "part", F.coalesce(F.sum("size").over(earlier), F.lit(0)).alias("o"))
+        .groupBy(*PLACE)
+        .agg(F.map_from_entries(F.collect_list(F.struct("part", "o"))).alias("offsets"))
     )
-    summed = running_sum(
-        rendered, ["pair_id", "part"], ["position"], F.length("rendered").cast("long"), "stop"
+    so_far = W.partitionBy(*PLACE, "part").orderBy("position").rowsBetween(W.unboundedPreceding, W.currentRow)
+    summed = (
+        rendered.withColumn("within", F.sum(size).over(so_far))
+        .join(offsets, PLACE)
+        .withColumn("stop", F.col("within") + F.col("offsets")[F.col("part")])
     )
     return summed.select(
         "pair_id", "part", "position", "role", "rendered", "trained",
@@ -124,19 +145,30 @@ def echoing(conversations: DataFrame) -> DataFrame:
 
     From its middle reply on, each ``assistant`` turn repeats the turn before it.
     """
-    turns = turns_in_order(conversations, "conv_id", "turn", "role", "text")
+    turns = turns_in_order(conversations, "conv_id", "turn", "role", "text").withColumn("b__", _bucket("position"))
     reply = (F.col("role") == "assistant").cast("long")
-    counted = running_sum(turns, ["pair_id"], ["position"], reply, "replies")
-    totals = turns.groupBy("pair_id").agg(F.sum(reply).alias("total"))
-    before = turns.select(
-        "pair_id", (F.col("position") + 1).alias("position"), F.col("text").alias("said_before")
+    within = W.partitionBy(*PLACE).orderBy("position")
+    counted = turns.select(
+        "*", F.sum(reply).over(within.rowsBetween(W.unboundedPreceding, W.currentRow)).alias("here"),
+        F.lag("text").over(within).alias("said"),
+    )
+    replies = turns.groupBy(*PLACE).agg(F.sum(reply).alias("n"))
+    pair = W.partitionBy("pair_id")
+    earlier = pair.orderBy("b__").rowsBetween(W.unboundedPreceding, -1)
+    totals = replies.select(
+        *PLACE, F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"), F.sum("n").over(pair).alias("total")
+    )
+    # The turn before the first one of a bucket is the last one of the bucket before.
+    last = turns.where((F.col("position") + 1) % BUCKET == 0).select(
+        "pair_id", (F.col("b__") + 1).alias("b__"), F.col("text").alias("said_in_last")
     )
-    late = (F.col("role") == "assistant") & (F.col("replies") * 2 > F.col("total"))
+    late = (F.col("role") == "assistant") & ((F.col("here") + F.col("before")) * 2 > F.col("total"))
+    said = F.coalesce("said", "said_in_last", F.lit(""))
     return (
-        counted.join(totals, "pair_id")
-        .join(before, ["pair_id", "position"], "left")
+        counted.join(totals, PLACE)
+        .join(last, PLACE, "left")
         .select(
             F.col("pair_id").alias("conv_id"), F.col("position").alias("turn"), "role",
-            F.when(late, F.coalesce("said_before", F.lit(""))).otherwise(F.col("text")).alias("text"),
+            F.when(late, said).otherwise(F.col("text")).alias("text"),
         )
     )
