@@ -206,3 +206,14 @@ def test_a_very_long_conversation(spark):
     assert counts == {"prompt": 2000, "chosen": 1000, "rejected": 1000}
     ends = {r.part: r.stop for r in parts.groupBy("part").agg({"stop": "max"}).withColumnRenamed("max(stop)", "stop").collect()}
     assert ends["prompt"] == sum(len(f"<|user|>\n{i}<|end|>\n") for i in range(2000))
+
+
+def test_worse_versions_over_buckets(spark):
+    said = {(c, i): ("assistant" if i % 3 == 1 else "user", f"{c} says {i}") for c, n in ((1, 700), (2, 257), (3, 1)) for i in range(n)}
+    turns = spark.createDataFrame([(c, i, *t) for (c, i), t in said.items()], "conv_id long, turn long, role string, text string")
+    replies = {c: sorted(i for (k, i), t in said.items() if k == c and t[0] == "assistant") for c in (1, 2, 3)}
+    late = {(c, i) for c, at in replies.items() for n, i in enumerate(at, 1) if 2 * n > len(at)}
+    worse = {k: (t[0], said[k[0], k[1] - 1][1] if k in late else t[1]) for k, t in said.items()}
+    assert any(i % preferences.BUCKET == 0 for _, i in late)
+    got = {(r.conv_id, r.turn): (r.role, r.text) for r in preferences.echoing(turns.repartition(7)).collect()}
+    assert got == worse
