@@ -24,12 +24,18 @@ NOISE = set(
     "head script style noscript template nav header footer aside form button select textarea iframe svg canvas"
     " object audio video menu dialog title noframes noembed map".split()
 )
-# Words of class, id and role that mark such elements.
+# Whole values of class, id and role that mark such elements, article and main excepted.
 NOISE_WORDS = set(
     "ad ads adv advert advertisement advertising banner breadcrumb breadcrumbs byline-share comment comments"
     " commentlist consent cookie cookies disqus footer header masthead menu modal nav navbar navigation newsletter"
     " notice notices notification alert popup promo promoted promotion related share sharing sidebar signup social"
-    " sponsor sponsored subscribe toolbar widget reply replies respond contentinfo complementary search".split()
+    " sponsor sponsored subscribe toolbar widget reply replies respond contentinfo complementary search"
+    " ad-banner ad-box ad-container ad-slot ad-unit ad-wrapper adsbygoogle google-ad comment-form comment-list"
+    " comment-respond comments-area cookie-banner cookie-consent cookie-notice email-signup left-sidebar main-menu"
+    " main-nav main-navigation nav-bar nav-links nav-menu newsletter-signup page-footer popup-overlay post-navigation"
+    " promo-box related-articles related-links related-posts right-sidebar search-bar search-box search-form"
+    " share-bar share-buttons side-bar sidebar-left sidebar-right site-footer site-header site-nav site-navigation"
+    " social-icons social-links social-media social-share widget-area".split()
 )
 # Elements that a search for the main part may enter.
 CONTAINERS = set("html body div main article section table tbody tr td center".split())
@@ -53,6 +59,8 @@ LEFT_OPEN = {"nav", "header", "footer", "aside", "form", "menu"}
 SMOOTHING = np.exp(-0.5 * np.arange(-2, 3) ** 2)
 # A node is content if its fused ratio is at least this share of the standard deviation.
 THRESHOLD = 0.3
+# A name does not make noise of an element with more than this share of the content.
+MARK_SHARE = 0.5
 # The search enters a container with at least this share of the content.
 MAIN_SHARE = 0.9
 
@@ -70,6 +78,7 @@ class Element:
     parent: Element | None
     path: int
     noise: bool
+    marked: bool = False
     mass: float = 0.0
     inside: bool = False
     children: list[Element] = field(default_factory=list)
@@ -87,7 +96,7 @@ class Node:
 def parse(html: str) -> tuple[list[Element], list[Node]]:
     """The block elements, root first, and the text nodes, both in page order; noise included.
 
-    An element's path is the number of its chain of tags with class, id and role. Tags inside a text run do not end it. Unknown and unclosed tags are accepted.
+    ``noise`` is that of tags only; names stand in ``marked``. An element's path is the number of its chain of tags with class, id and role. Tags inside a text run do not end it. Unknown and unclosed tags are accepted.
     """
     root = Element("", None, 0, False)
     elements = [root]
@@ -147,11 +156,11 @@ def parse(html: str) -> tuple[list[Element], list[Node]]:
         if name in VOID:
             continue
         marks = " ".join(a or b or c for a, b, c in _MARKS.findall(tag[3] or tag[6] or "")).lower()
-        noise = here.noise or name in NOISE or not NOISE_WORDS.isdisjoint(re.split(r"[\s_-]+", marks))
-        if name in ("html", "body"):
-            noise = False
+        noise = name not in ("html", "body") and (here.noise or name in NOISE)
+        named = name not in ("html", "body", "article", "main")
+        marked = named and not NOISE_WORDS.isdisjoint(marks.replace("_", "-").split())
         path = paths.setdefault((here.path, name, marks), len(paths) + 1)
-        here = Element(name, here, path, noise)
+        here = Element(name, here, path, noise, marked)
         here.parent.children.append(here)
         elements.append(here)
         opened[name] += 1
@@ -184,6 +193,36 @@ def fused_ratios(nodes: list[Node]) -> np.ndarray:
     return np.sqrt(by_node * smooth)
 
 
+def weigh(elements: list[Element], nodes: list[Node]) -> np.ndarray:
+    """Which nodes are content; gives each element the length of the content within."""
+    ratios = fused_ratios(nodes)
+    content = (ratios > 0) & (ratios >= THRESHOLD * ratios.std())
+    for element in elements:
+        element.mass = 0.0
+    for node, chosen in zip(nodes, content):
+        node.element.mass += len(node.text) * chosen
+    for element in reversed(elements[1:]):
+        element.parent.mass += element.mass
+    return content
+
+
+def apply_marks(elements: list[Element]) -> None:
+    """Make noise of marked elements and all below them, by the masses without marks.
+
+    A mark does not count on an element with most of the content of the page, unless an
+    article or main element with content stands outside of it and of other marks.
+    """
+    root = elements[0]
+    under, told = {id(root): False}, False
+    for element in elements[1:]:
+        inside = under[id(element)] = under[id(element.parent)] or element.marked
+        told |= element.name in ("article", "main") and element.mass > 0 and not inside
+    for element in elements[1:]:
+        if element.marked and (told or element.mass <= MARK_SHARE * root.mass):
+            element.noise = True
+        element.noise |= element.parent.noise and element.name not in ("html", "body")
+
+
 def main_text(html: str | None) -> str:
     """The main text of a page, its blocks in page order with an empty line between.
 
@@ -192,18 +231,17 @@ def main_text(html: str | None) -> str:
     its text counts, short blocks too, but for noise within. In a page without an
     article or main element, a block of such a part must also have a path with
     content or be a heading. Character references are decoded, white space becomes
-    one space. Null and empty pages, and pages of noise only, give an empty text.
+    one space. Null and empty pages, and pages of noise only, give an empty text; see
+    :func:`apply_marks` for names of noise.
     """
     elements, nodes = parse(html or "")
     root = elements[0]
     if not nodes:
         return ""
-    ratios = fused_ratios(nodes)
-    content = (ratios > 0) & (ratios >= THRESHOLD * ratios.std())
-    for node, chosen in zip(nodes, content):
-        node.element.mass += len(node.text) * chosen
-    for element in reversed(elements[1:]):
-        element.parent.mass += element.mass
+    content = weigh(elements, nodes)
+    if any(e.marked for e in elements):
+        apply_marks(elements)
+        content = weigh(elements, nodes)
     if not root.mass:
         return ""
     part = root

@@ -117,6 +117,28 @@ def test_main_text(html, text):
     assert html_content.main_text(html) == text
 
 
+@pytest.mark.parametrize(
+    "before, after",
+    [
+        ('<article class="post has-sidebar">', "</article>"),
+        ('<main class="with-sidebar" id="search">', "</main>"),
+        ('<main><section class="related-work">', "</section></main>"),
+        ('<div class="social"><div id="page_header">', "</div></div>"),
+        ('<div class="widget"><article>', "</article></div>"),
+    ],
+)
+def test_names_of_noise_on_main_parts(before, after):
+    body = "Long text, with points. " * 20
+    page = f'<body><div class="sidebar">Side, note.</div>{before}<div class="section-header"><h2>Head</h2></div><p>{body}</p>'
+    page += f'<div class="share-buttons">Share, now.</div>{after}<div class="site-footer">Site, end.</div></body>'
+    assert html_content.main_text(page) == "Head\n\n" + body.strip()
+
+
+def test_long_comments_beside_an_article_are_noise():
+    page = "<article><p>Short text, this.</p></article><div class='comments'>" + "<p>I say, more. And more.</p>" * 30 + "</div>"
+    assert html_content.main_text(page) == "Short text, this."
+
+
 def test_deep_and_odd_pages():
     assert html_content.main_text("<div>" * 20_000 + "deep, text." + "</div>" * 20_000) == "deep, text."
     assert html_content.main_text("</p></x><<a < b, c. <p title='") is not None
