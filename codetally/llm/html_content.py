@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections import defaultdict
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from html import unescape
 
 import numpy as np
@@ -37,7 +37,7 @@ NOISE_WORDS = set(
     " share-bar share-buttons side-bar sidebar-left sidebar-right site-footer site-header site-nav site-navigation"
     " social-icons social-links social-media social-share widget-area".split()
 )
-# Elements that a search for the main part may enter.
+# Elements that can be a main part.
 CONTAINERS = set("html body div main article section table tbody tr td center".split())
 # An open element of the first kind ends when one of the second kind begins.
 CLOSED_BY = {
@@ -61,8 +61,6 @@ SMOOTHING = np.exp(-0.5 * np.arange(-2, 3) ** 2)
 THRESHOLD = 0.3
 # A name does not make noise of an element with more than this share of the content.
 MARK_SHARE = 0.5
-# The search enters a container with at least this share of the content.
-MAIN_SHARE = 0.9
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>",
@@ -81,7 +79,8 @@ class Element:
     marked: bool = False
     mass: float = 0.0
     inside: bool = False
-    children: list[Element] = field(default_factory=list)
+    sure: bool = False
+    wanted: int = 0
 
 
 @dataclass
@@ -161,7 +160,6 @@ def parse(html: str) -> tuple[list[Element], list[Node]]:
         marked = named and not NOISE_WORDS.isdisjoint(marks.replace("_", "-").split())
         path = paths.setdefault((here.path, name, marks), len(paths) + 1)
         here = Element(name, here, path, noise, marked)
-        here.parent.children.append(here)
         elements.append(here)
         opened[name] += 1
         if name in RAW:
@@ -227,10 +225,10 @@ def main_text(html: str | None) -> str:
     """The main text of a page, its blocks in page order with an empty line between.
 
     Nodes whose fused ratio passes the threshold are content. The main part is the
-    innermost article, main element or other container with nearly all content; all
-    its text counts, short blocks too, but for noise within. In a page without an
-    article or main element, a block of such a part must also have a path with
-    content or be a heading. Character references are decoded, white space becomes
+    innermost container of all nodes on paths with content, or the article or main
+    element around it. Within, all text of article and main elements with content
+    counts, short blocks too, and other blocks that have a path with content or are
+    headings, but for noise. Character references are decoded, white space becomes
     one space. Null and empty pages, and pages of noise only, give an empty text; see
     :func:`apply_marks` for names of noise.
     """
@@ -244,22 +242,27 @@ def main_text(html: str | None) -> str:
         content = weigh(elements, nodes)
     if not root.mass:
         return ""
-    part = root
-    while part.name not in ("article", "main"):
-        inner = max((c for c in part.children if c.name in CONTAINERS), key=lambda c: c.mass, default=None)
-        if inner is None or inner.mass < MAIN_SHARE * root.mass:
-            break
-        part = inner
     good = {n.element.path for n, chosen in zip(nodes, content) if chosen}
-    sure = part.name in ("article", "main")
+    for node in nodes:
+        node.element.wanted += node.element.path in good and not node.element.noise
+    for element in reversed(elements[1:]):
+        element.parent.wanted += element.wanted
+    # Elements with all content are a chain; the last is the innermost.
+    part = [e for e in elements if e.wanted == root.wanted][-1]
+    while part.parent and part.name not in CONTAINERS:
+        part = part.parent
+    for element in elements[1:]:
+        main = element.name in ("article", "main") and element.mass > 0
+        element.sure = element.parent.sure or main
+    while part.sure and part.parent.sure:
+        part = part.parent
+    blocks = []
     for element in elements:
         element.inside = element is part or bool(element.parent and element.parent.inside)
-    blocks = []
     for node in nodes:
         element = node.element
-        if element.noise or not (sure or element.path in good or re.fullmatch(r"h[1-6]", element.name)):
-            continue
-        if element.inside:
+        known = element.sure or element.path in good or re.fullmatch(r"h[1-6]", element.name)
+        if element.inside and known and not element.noise:
             blocks.append(node.text)
     return "\n\n".join(blocks)
 

@@ -139,6 +139,18 @@ def test_long_comments_beside_an_article_are_noise():
     assert html_content.main_text(page) == "Short text, this."
 
 
+@pytest.mark.parametrize(
+    "first, last, end",
+    [("<section>", "<section>", "</section>"), ("<div id=a>", "<div id=b>", "</div>"), ("<article>", "<article>", "</article>")],
+)
+def test_short_parts_beside_a_long_one(first, last, end):
+    texts = [f"Part {i}, with long text. " * 8 for i in range(20)] + ["Last part, shorter, but text. " * 9]
+    page = f"<body><nav>Home, About.</nav>{first}" + "".join(f"<p>{t}</p>" for t in texts[:-1]) + f"{end}{last}<p>{texts[-1]}</p>{end}</body>"
+    assert html_content.main_text(page) == "\n\n".join(t.strip() for t in texts)
+    page = page.replace("<body>", "<body><main>").replace("<nav>", "<p>Hm.</p><nav>")
+    assert html_content.main_text(page) == "\n\n".join(["Hm.", *(t.strip() for t in texts)])
+
+
 def test_deep_and_odd_pages():
     assert html_content.main_text("<div>" * 20_000 + "deep, text." + "</div>" * 20_000) == "deep, text."
     assert html_content.main_text("</p></x><<a < b, c. <p title='") is not None
