@@ -22,8 +22,15 @@ QUERY_ROWS = 4_096
 # A node's links: half are its own choice, half come from later nodes.
 LINKS = 32
 FIRST_BEAM = 32
-AUDIT_QUERIES = 256
-AUDIT_MARGIN = 0.1
+# A query that this does not do for is compared with all nodes.
+LAST_BEAM = 512
+# In a graph of fewer nodes than this for an entry of the beam, comparing all is cheaper.
+BEAM_NODES = 16
+# A beam whose entries are all within this of the limit is widened.
+NEAR_MARGIN = 0.1
+AUDIT_QUERIES = 1024
+# A sample with fewer vectors of a length is filled up with nodes of the shard.
+AUDIT_LEAST = 256
 AUDIT_RECALL = 0.99
 # The search is in single precision: what is below the limit by less is looked at.
 SLACK = 1e-4
@@ -194,14 +201,17 @@ class Graph:
     def links_of(self, queries: np.ndarray, width: int, limit: float) -> tuple[np.ndarray, np.ndarray]:
         """Pairs (query, node) with a cosine of ``limit`` or more in double precision.
 
-        A beam that holds nothing but links may have missed some: such queries are
-        searched again with twice the width, and at last compared with all nodes.
+        A beam that holds nothing but links and near links may have missed some: such
+        queries are searched again with twice the width. If links alone fill the last
+        beam, or the width is more than that or too much for the graph, the query is
+        compared with all nodes.
         """
         rows, nodes = [], []
         left = np.arange(len(queries))
-        while len(left) and width <= min(512, len(self.x)):
+        while len(left) and width <= min(LAST_BEAM, len(self.x) // BEAM_NODES):
             ids, sims = self.search(queries[left], width)
-            full = sims.min(axis=1) >= limit - SLACK
+            margin = NEAR_MARGIN if width * 2 <= LAST_BEAM else SLACK
+            full = sims.min(axis=1) >= limit - margin
             r, c = np.nonzero((sims >= limit - SLACK) & ~full[:, None])
             rows.append(left[r])
             nodes.append(ids[r, c])
@@ -219,26 +229,43 @@ class Graph:
             sure[part] = np.einsum("ij,ij->i", queries[r[part]], self.exact[c[part]]) >= limit
         return r[sure], c[sure]
 
-    def audited_width(self, limit: float) -> int:
-        """The beam width at which a sample of nodes finds itself, its links and near links.
-
-        Nodes whose links fill a beam are left out, as their beams are widened anyway. Doubled from ``FIRST_BEAM`` until the share found of what a full comparison
-        gives passes ``AUDIT_RECALL``.
+    def audited_width(
+        self, limit: float, queries: np.ndarray | None = None, own: np.ndarray | None = None
+    ) -> int:
+        """The beam width at which :meth:`links_of` finds the links of sampled vectors.
+
+        ``own`` is the node that each query is, or -1: a query finding itself does not
+        count. If queries are few, nodes of the graph are added. The width is doubled
+        from ``FIRST_BEAM`` until the share found of the links that a full comparison
+        gives passes ``AUDIT_RECALL``, both of all links and on average over the queries
+        with links, so that those with very many do not hide the others. If no
+        beam does, the width is one that compares all.
         """
         n = len(self.x)
-        sample = np.unique(np.linspace(0, n - 1, min(n, AUDIT_QUERIES)).astype(int))
-        sims = self.x[sample] @ self.x.T
-        near = sims >= limit - AUDIT_MARGIN
-        near &= near.sum(axis=1, keepdims=True) <= FIRST_BEAM
-        wanted = {(int(i), int(j)) for i, j in zip(*np.nonzero(near))}
+        if queries is None or len(queries) < AUDIT_LEAST:
+            nodes = np.unique(np.linspace(0, n - 1, min(n, AUDIT_LEAST)).astype(int))
+            if queries is not None:
+                nodes = np.setdiff1d(nodes, own)
+            added = self.exact[nodes]
+            queries = added if queries is None else np.vstack([queries, added])
+            own = nodes if own is None else np.concatenate([own, nodes])
+
+        def links(width: int) -> np.ndarray:
+            r, c = self.links_of(queries, width, limit)
+            other = own[r] != c
+            return np.unique(r[other] * n + c[other])
+
         width = FIRST_BEAM
-        while width < n:
-            ids, _ = self.search(self.exact[sample], width)
-            found = {(i, int(j)) for i, row in enumerate(ids) for j in row}
-            if len(wanted & found) >= AUDIT_RECALL * len(wanted):
-                break
+        wanted = links(n + LAST_BEAM)
+        of = wanted // n
+        each = np.bincount(of, minlength=len(queries))
+        while width <= min(LAST_BEAM, n // BEAM_NODES):
+            hit = np.isin(wanted, links(width))
+            per_query = np.bincount(of, hit, len(queries))[each > 0] / each[each > 0]
+            if not len(wanted) or min(hit.mean(), per_query.mean()) >= AUDIT_RECALL:
+                return width
             width *= 2
-        return width
+        return n + LAST_BEAM
 
 
 _GRAPHS: dict[str, dict] = {}
@@ -291,9 +318,10 @@ def similar_vectors(
 
     Equal vectors are one node with a number of copies. Distinct ones are dealt to
     shards of bounded size; a task builds each shard's graph, audits the beam width
-    and stores the graph in the shared folder. Every vector then queries every
+    with vectors drawn from all shards and stores the graph in the shared folder. Every vector then queries every
     shard, in blocks, and pairs found from either side are joined to components. A
-    vector whose links fill the widest beam is compared with the whole shard.
+    vector whose links fill the widest beam, or all if the audit fails with every
+    beam, are compared with the whole shard.
     """
     spark = vectors.sparkSession
     usable = vectors.where(F.col(id_col).isNotNull()).select(
@@ -309,6 +337,9 @@ def similar_vectors(
     shards = max(MIN_SHARDS, -(-n // SHARD_ROWS))
     blocks = -(-n // QUERY_ROWS) or 1
     folder = new_path(spark, "graphs")
+    plain = nodes.select(F.col("node").alias("id"), "vector")
+    drawn = plain.orderBy(F.xxhash64(F.lit(2), "id")).limit(AUDIT_QUERIES).toPandas()
+    audits = {dim: (ids, x) for dim, ids, x in _by_dimension(drawn)}
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
         stored = {"dims": []}
@@ -317,7 +348,10 @@ def similar_vectors(
             stored["dims"].append(dim)
             stored |= {f"{dim}-ids": ids, f"{dim}-exact": x, f"{dim}-sizes": np.array(graph.sizes)}
             stored |= {f"{dim}-links-{i}": links for i, links in enumerate(graph.links)}
-            stored[f"{dim}-width"] = np.array(graph.audited_width(limit))
+            drawn_ids, queries = audits.get(dim, (ids[:0], x[:0]))
+            node_of = {i: k for k, i in enumerate(ids.tolist())}
+            own = np.array([node_of.get(i, -1) for i in drawn_ids.tolist()], np.int64)
+            stored[f"{dim}-width"] = np.array(graph.audited_width(limit, queries, own))
         out = io.BytesIO()
         np.savez(out, **{k: np.asarray(v) for k, v in stored.items()})
         system, base = file_system(folder)
@@ -327,7 +361,6 @@ def similar_vectors(
             target.write(out.getvalue())
         return pd.DataFrame({"shard": [int(pdf["shard"].iloc[0])], "file": [f"{folder}/{name}"]})
 
-    plain = nodes.select(F.col("node").alias("id"), "vector")
     home = F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int").alias("shard")
     built = plain.select("id", "vector", home).groupBy("shard").applyInPandas(build, "shard int, file string")
     files = {r[0]: r[1] for r in stage(built, "graph-files").collect()}

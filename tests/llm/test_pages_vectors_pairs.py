@@ -209,6 +209,34 @@ def test_recall_of_a_graph():
     assert not (found & ~wanted).any() and (found & wanted).sum() >= 0.98 * wanted.sum()
 
 
+def test_audit_of_dense_groups(monkeypatch):
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(4, 64))
+    centres /= np.linalg.norm(centres, axis=1, keepdims=True)
+    pairs = np.repeat(np.repeat(centres, 1000, axis=0) + 0.0525 * rng.normal(size=(4000, 64)), 2, axis=0)
+    x = hnsw.unit_vectors(pairs + 0.025 * rng.normal(size=pairs.shape))[rng.permutation(8000)]
+    n, sample = 2000, np.arange(0, 8000, 8)
+    graph = hnsw.Graph(x[:n])
+    own = np.where(np.arange(8000) < n, np.arange(8000), -1)
+    wanted = x @ x[:n].T >= 0.9
+    wanted[np.arange(n), np.arange(n)] = False
+    assert np.median((x @ x[:n].T >= 0.8).sum(axis=1)) > 100 and 0.5 < wanted.sum(axis=1).mean() < 5
+
+    def recall():
+        rows, nodes = graph.links_of(x, graph.audited_width(0.9, x[sample], own[sample]), 0.9)
+        found = np.zeros_like(wanted)
+        found[rows, nodes] = True
+        return (found & wanted).sum() / wanted.sum()
+
+    assert recall() >= 0.998
+    # A search that finds each vector itself and nothing else fails the audit at every width.
+    monkeypatch.setattr(
+        graph, "search",
+        lambda q, width: (np.argmax(q @ x[:n].T, axis=1)[:, None], (q @ x[:n].T).max(axis=1, keepdims=True) * [[1.0]] - 0.5),
+    )
+    assert recall() == 1
+
+
 def test_preferences(spark):
     schema = "pair_id long, turn long, role string, text string, part string, position int, chosen int"
     chosen = [(1, 0, "user", "q"), (1, 1, "assistant", "a"), (1, 2, "user", "r"), (1, 3, "assistant", "good")]
