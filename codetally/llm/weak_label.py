@@ -16,7 +16,9 @@ from pyspark.sql import functions as F
 from codetally.llm.storage import drop_staged, stage
 
 ABSTAIN, JUNK, GOOD = 0, 1, 2
-HASH_BUCKETS = 1 << 12
+# Buckets of word shapes, of words and pairs of words, then two for each labeller's statistic.
+SHAPE_BUCKETS = 1 << 12
+WORD_BUCKETS = 1 << 12
 # The scorer is fitted on that many rows at most, those with the smallest hashes;
 # everything else covers all rows.
 FIT_ROWS = 20_000
@@ -24,6 +26,8 @@ FIT_ROWS = 20_000
 THRESHOLD = 0.15
 EM_ROUNDS = 200
 FIT_ROUNDS = 300
+# Rows whose products are held at once in a round.
+FIT_PART = 1_000
 # A labeller calls no larger share of good texts junk; keeps EM from taking a rare
 # kind of junk, on which few labellers vote, for good text.
 FALSE_ALARMS = 0.03
@@ -44,13 +48,19 @@ LABELLERS = [
     ("few_distinct", 0.75, None),
     ("shouted_or_marked", 0.35, None),
     ("sentence_ends", None, 0.97),
+    ("repeated_phrases", 0.50, 0.05),
+    ("repeated_lines", 0.60, None),
 ]
+HASH_BUCKETS = SHAPE_BUCKETS + WORD_BUCKETS + 2 * len(LABELLERS)
 
 # A word's code: its kind, flags, and a hash of the punctuation at its end.
 KINDS = {"lower": 0, "title": 1, "capitals": 2, "punctuation": 3, "digits": 4, "repeated": 5}
 SYMBOL, SHOUT, SENTENCE = 8, 16, 32
 TAIL_SHIFT, TAIL_BUCKETS = 6, 1 << 10
 MEMO_WORDS = 1 << 16
+# Repetition is measured in windows of that many words, so that length does not matter.
+WINDOW_WORDS = 256
+PHRASE_WORDS = 4
 
 _LOWER = crc32(b"") % TAIL_BUCKETS << TAIL_SHIFT
 _SYMBOLS = "*$%&#@^~=+"
@@ -96,30 +106,69 @@ def word_codes(words: list[str]) -> np.ndarray:
     return codes
 
 
-def statistics(words: list[str], codes: np.ndarray) -> dict[str, float]:
-    """Shares of words, between 0 and 1; there must be a word."""
+class _WordHashes(dict):
+    """A memo of hashes of words, lower case and without punctuation around; it is emptied when full."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= MEMO_WORDS:
+            self.clear()
+        code = self[word] = crc32((word.lower().strip(string.punctuation) or word).encode("utf-8", "replace"))
+        return code
+
+
+_HASHES = _WordHashes()
+
+
+def word_hashes(words: list[str]) -> np.ndarray:
+    return np.fromiter(map(_HASHES.__getitem__, words), np.int64, len(words))
+
+
+def repeated(values: np.ndarray, least: int = 20) -> float:
+    """The share of values that stand in the same window a second time or more; 0 for fewer than ``least``."""
+    n = len(values)
+    if n < least:
+        return 0.0
+    distinct = len(np.unique(values % (1 << 40) + (np.arange(n) // WINDOW_WORDS << 40)))
+    return 1 - distinct / n
+
+
+def statistics(text: str, words: list[str], codes: np.ndarray, hashes: np.ndarray) -> dict[str, float]:
+    """Shares of words, phrases and lines, between 0 and 1; there must be a word."""
     n = len(words)
     kinds = np.bincount(codes & 7, minlength=8)
     symbol, shout, sentence = (int(np.count_nonzero(codes & flag)) for flag in (SYMBOL, SHOUT, SENTENCE))
     bars = int(kinds[KINDS["punctuation"]])
+    distinct = sum(len(set(words[i : i + WINDOW_WORDS])) for i in range(0, n, WINDOW_WORDS))
+    lines = np.array([crc32(x.encode("utf-8", "replace")) for x in map(str.strip, text.splitlines()) if x], np.int64)
     return {
         "symbol_tails": symbol / n,
         "capitals": kinds[KINDS["capitals"]] / n,
         "exclamations": shout / n,
         "separators": bars / n,
         "repeats": kinds[KINDS["repeated"]] / n,
-        "few_distinct": 1 - len(set(words)) / n if n >= 20 else 0.0,
+        "few_distinct": 1 - distinct / n if n >= 20 else 0.0,
         "shouted_or_marked": (symbol + max(shout, bars)) / n,
         "sentence_ends": 1 - sentence / n,
+        "repeated_phrases": repeated(_phrases(hashes)),
+        "repeated_lines": repeated(lines, 3),
     }
 
 
+def _phrases(hashes: np.ndarray) -> np.ndarray:
+    """A hash of every run of ``PHRASE_WORDS`` words."""
+    n = max(0, len(hashes) - PHRASE_WORDS + 1)
+    mixed = np.zeros(n, np.int64)
+    for i in range(PHRASE_WORDS):
+        mixed = (mixed * 1_000_003 + hashes[i : i + n]) % 1_099_511_627_689
+    return mixed
+
+
 def votes(text: str | None) -> bytes:
     """A vote of each labeller; a text that is null or has no words gets none."""
     words = (text or "").split()
     if not words:
         return bytes(len(LABELLERS))
-    stats = statistics(words, word_codes(words))
+    stats = statistics(text, words, word_codes(words), word_hashes(words))
     return bytes(
         JUNK if junk is not None and stats[name] >= junk
         else GOOD if good is not None and stats[name] <= good
@@ -129,20 +178,31 @@ def votes(text: str | None) -> bytes:
 
 
 def hashed_features(text: str | None) -> np.ndarray:
-    """A vector over hash buckets: square roots of the shares of word codes and pairs of them.
+    """Square roots of the shares of word shapes, words and pairs of either, by hash bucket; then statistics.
 
-    Texts of few words are drawn to zero, since their shares say little.
+    Each statistic stands twice, the second time as what is above the labeller's limit
+    for junk, or above a half. Texts of few words are drawn to zero, since their shares say little.
     """
     words = (text or "").split()
     n = len(words)
     if not n:
         return np.zeros(HASH_BUCKETS)
-    codes = word_codes(words)
-    pairs = (codes[:-1] * 1_000_003 + codes[1:] * 8_191 + 1) % 2_147_483_647
-    counts = np.bincount(
-        np.concatenate([codes * 2_654_435_761 % 4_294_967_291, pairs]) % HASH_BUCKETS, minlength=HASH_BUCKETS
-    )
-    return np.sqrt(counts / (n + SHORT_WORDS))
+    codes, hashes = word_codes(words), word_hashes(words)
+    counts = [
+        np.bincount(
+            np.concatenate([
+                of * 2_654_435_761 % 4_294_967_291,
+                (of[:-1] * 1_000_003 + of[1:] * 8_191 + 1) % 2_147_483_647,
+            ]) % buckets,
+            minlength=buckets,
+        )
+        for of, buckets in ((codes, SHAPE_BUCKETS), (hashes % (1 << 31), WORD_BUCKETS))
+    ]
+    stats = statistics(text, words, codes, hashes)
+    plain = np.array([stats[name] for name, *_ in LABELLERS])
+    limits = np.array([0.5 if junk is None else junk for _, junk, _ in LABELLERS])
+    values = np.concatenate([plain, np.maximum(0, plain - limits) / (1 - limits)])
+    return np.concatenate([np.sqrt(np.concatenate(counts) / (n + SHORT_WORDS)), values * n / (n + SHORT_WORDS)])
 
 
 def fit_labellers(
@@ -200,23 +260,33 @@ def fit_scorer(rows: list[tuple[list[int], list[float], float]]) -> Scorer:
     """
     if not rows:
         return Scorer(np.zeros(HASH_BUCKETS), 1.0)
-    lengths = np.array([len(r[0]) for r in rows])
-    row = np.repeat(np.arange(len(rows)), lengths)
-    column = np.concatenate([np.asarray(r[0], np.int64) for r in rows])
-    value = np.concatenate([np.asarray(r[1], float) for r in rows])
+    parts = []
+    for start in range(0, len(rows), FIT_PART):
+        part = rows[start : start + FIT_PART]
+        parts.append((
+            slice(start, start + len(part)),
+            np.array([len(r[0]) for r in part]),
+            np.concatenate([np.asarray(r[0], np.uint16) for r in part]),
+            np.concatenate([np.asarray(r[1], np.float32) for r in part]),
+        ))
     target = np.array([r[2] for r in rows])
     share = np.array([(1 - target).mean(), target.mean()]) + 1e-3
     weight = ((1 - target) / share[0] + target / share[1]) / (2 * len(rows))
+    # The loss bends at most by a quarter of the squared length of the rows.
+    squares = np.concatenate([np.bincount(np.repeat(np.arange(len(n)), n), v * v, len(n)) for _, n, _, v in parts])
+    rate = 4.0 / max(1.0, float(weight @ (squares + 1)))
     w = np.zeros(HASH_BUCKETS + 1)
     velocity = np.zeros_like(w)
-    rate = 4.0
     for step in range(FIT_ROUNDS):
         ahead = w + step / (step + 3) * velocity
-        z = np.bincount(row, value * ahead[column], len(rows)) + ahead[-1]
-        error = weight * (1 / (1 + np.exp(-np.clip(z, -60, 60))) - target)
-        slope = np.append(
-            np.bincount(column, value * error[row], HASH_BUCKETS) + PENALTY * ahead[:-1], error.sum()
-        )
+        slope = PENALTY * ahead
+        slope[-1] = 0
+        for at, lengths, column, value in parts:
+            row = np.repeat(np.arange(len(lengths)), lengths)
+            z = np.bincount(row, value * ahead[column], len(lengths)) + ahead[-1]
+            error = weight[at] * (1 / (1 + np.exp(-np.clip(z, -60, 60))) - target[at])
+            slope[:-1] += np.bincount(column, value * error[row], HASH_BUCKETS)
+            slope[-1] += error.sum()
         velocity = ahead - rate * slope - w
         w = w + velocity
     return Scorer(w[:-1], float(w[-1]))
@@ -263,22 +333,24 @@ def fit_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             used, shares = [], []
             for text in texts:
                 vector = hashed_features(text)
-                used.append(np.flatnonzero(vector))
-                shares.append(vector[used[-1]])
+                at = np.flatnonzero(vector)
+                used.append(at.astype(np.uint16).tobytes())
+                shares.append(vector[at].astype(np.float32).tobytes())
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
-                    pa.array(used, pa.list_(pa.int64())),
-                    pa.array(shares, pa.list_(pa.float64())),
+                    pa.array(used, pa.binary()),
+                    pa.array(shares, pa.binary()),
                     pa.array([posterior[votes(t)] for t in texts], pa.float64()),
                 ],
                 names=["h", "buckets", "shares", "good"],
             )
 
     fitted = hashed.where(F.col("h") <= bound).mapInArrow(
-        features, "h long, buckets array<long>, shares array<double>, good double"
+        features, "h long, buckets binary, shares binary, good double"
     )
-    rows = [(r[1], r[2], r[3]) for r in fitted.orderBy("h", "good").limit(FIT_ROWS).collect()]
+    first = fitted.orderBy("h", "good").limit(FIT_ROWS).collect()
+    rows = [(np.frombuffer(r[1], np.uint16), np.frombuffer(r[2], np.float32), r[3]) for r in first]
     return QualityModel(prior, table, posterior, fit_scorer(rows))
 
 

@@ -105,6 +105,32 @@ def test_quality_on_planted_junk(spark):
     assert sum((r[0] in ids) != r[2] for r in train) <= 8
 
 
+def repeated_and_keyword_junk(rng, vocabulary):
+    keywords = "buy cheap pills casino bonus free win online".split()
+
+    def sentences(n):
+        words = [rng.choice(vocabulary) for _ in range(n)]
+        return " ".join(w + "." * (k % 9 == 8) for k, w in enumerate(words))
+
+    rows = [(sentences(rng.randrange(30, 300)), 1) for _ in range(240)]
+    for i in range(60):
+        kind = (
+            (sentences(rng.randrange(10, 30)) + " ") * rng.randrange(10, 100),
+            "\n".join([sentences(9), sentences(9), sentences(9)] * rng.randrange(10, 60)),
+            " ".join(rng.choices(keywords, k=120)),
+        )
+        rows.append((kind[i % 3], 0))
+    return rows + [(sentences(20_000), 1) for _ in range(3)]
+
+
+def test_quality_on_repeated_and_keyword_junk(spark):
+    vocabulary = [f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(600)]
+    train, held = (repeated_and_keyword_junk(random.Random(i), vocabulary) for i in (1, 2))
+    model = weak_label.fit_quality(docs_frame(spark, [(i, t) for i, (t, _) in enumerate(train)]))
+    wrong = [(t[:60], good) for t, good in held if (model.scorer.score(t) >= weak_label.THRESHOLD) != good]
+    assert len(wrong) <= 2
+
+
 def test_labels_on_given_table(spark):
     d = "/root/testdata/sf0.01"
     docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
