@@ -103,6 +103,29 @@ FROM summed
 """
 
 
+OP11 = r"""
+WITH words AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), windows AS (
+  SELECT doc_id, unnest(range(1, len(w) - 11)) AS i,
+    unnest(list_transform(range(1, len(w) - 11), lambda i: array_to_string(w[i:i+12], ' '))) AS words
+  FROM words WHERE len(w) >= 13
+), firsts AS (
+  SELECT words, min(doc_id) AS least FROM windows GROUP BY words
+), covered AS (
+  SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS i
+  FROM windows JOIN firsts USING (words) WHERE least < doc_id
+), kept AS (
+  SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS text FROM (
+    SELECT doc_id, unnest(range(1, len(w) + 1)) AS i, unnest(w) AS word FROM words)
+  ANTI JOIN covered USING (doc_id, i) GROUP BY doc_id
+)
+SELECT doc_id, len(w) AS n_words, coalesce(n, 0) AS n_removed, sha256(coalesce(text, '')) AS kept_sha256
+FROM words LEFT JOIN kept USING (doc_id)
+  LEFT JOIN (SELECT doc_id, count(*) AS n FROM covered GROUP BY doc_id) USING (doc_id)
+"""
+
+
 def _text(value: str) -> str:
     return "'" + value.replace("'", "''") + "'"
 
@@ -175,4 +198,5 @@ ORACLE: dict[str, str] = {
     "op3_preferences": OP3,
     "op4_license_scan": _op4(),
     "op9_decontamination": OP9,
+    "op11_substring_dedup": OP11,
 }

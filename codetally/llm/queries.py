@@ -15,6 +15,7 @@ from codetally.llm import (
     preferences,
     sentencepiece_codec,
     simhash,
+    substring_dedup,
     url_filter,
     warc,
     weak_label,
@@ -116,6 +117,17 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the passages that documents before it have."""
+    cut = substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    return cut.select(
+        "doc_id",
+        "n_words",
+        F.expr("aggregate(removed, 0L, (n, span) -> n + span.stop - span.start)").alias("n_removed"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     query.__name__: query
     for query in [
@@ -129,5 +141,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_html_content,
         op9_decontamination,
         op10_simhash,
+        op11_substring_dedup,
     ]
 }
