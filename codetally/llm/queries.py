@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from codetally.llm import (
     decontaminate,
+    gnat,
     hnsw,
     html_content,
     license_rules,
@@ -128,6 +129,13 @@ def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of the embeddings whose id is divisible by 50, some labels moved on by one."""
+    moved = F.expr("if(vec_id % 7 = 0, (label + 1) % 10, label)")
+    vectors = table(spark, sf_dir, "embeddings").withColumn("label", moved)
+    return gnat.mine_hard_negatives(vectors, F.col("vec_id") % 50 == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     query.__name__: query
     for query in [
@@ -142,5 +150,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_decontamination,
         op10_simhash,
         op11_substring_dedup,
+        op12_hard_negatives,
     ]
 }
