@@ -17,6 +17,7 @@ from codetally.llm import (
     sentencepiece_codec,
     simhash,
     substring_dedup,
+    token_alignment,
     url_filter,
     warc,
     weak_label,
@@ -136,6 +137,11 @@ def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gnat.mine_hard_negatives(vectors, F.col("vec_id") % 50 == 0)
 
 
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens, groups and links of two tokenizers for every document, with corpus-wide counts of links."""
+    return token_alignment.align_tokens(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     query.__name__: query
     for query in [
@@ -151,5 +157,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op10_simhash,
         op11_substring_dedup,
         op12_hard_negatives,
+        op13_token_alignment,
     ]
 }
