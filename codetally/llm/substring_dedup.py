@@ -13,17 +13,17 @@ from pyspark.sql import functions as F
 
 WINDOW_WORDS = 13
 # Windows that a task sorts at once before it hands them on.
-LOT_WINDOWS = 1 << 22
-# Text whose windows are compared in one group.
-BUCKET_BYTES = 16 << 20
+LOT_WINDOWS = 1 << 21
+# Text whose windows are compared in one group, and groups at least, so that all cores have some.
+BUCKET_BYTES, MIN_BUCKETS = 16 << 20, 64
 # Words whose codes a worker remembers; longer ones than LONG_WORD it does not.
 MEMO_WORDS, LONG_WORD = 1 << 19, 64
 # Odd bases of the two rolling hashes, and a mixer.
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 MIXER = 0xD6E8FEB86659FD93
 
-ROUTED = pa.schema([("bucket", pa.int32()), ("id", pa.int64()), ("fp", pa.int64()), ("payload", pa.binary())])
-HITS = pa.schema([("id", pa.int64()), ("fp", pa.int64()), ("payload", pa.binary())])
+ROUTED = pa.schema([("bucket", pa.int32()), ("id", pa.int64()), ("salt", pa.int32()), ("payload", pa.binary())])
+HITS = pa.schema([("id", pa.int64()), ("salt", pa.int32()), ("payload", pa.binary())])
 
 
 class WordCodes(dict):
@@ -41,8 +41,13 @@ class WordCodes(dict):
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
+def salt_of(text: bytes) -> int:
+    """Tells most texts of one id apart, so that no id makes one large group."""
+    return xxhash.xxh32_intdigest(text) & 0xFFFF
+
+
 def window_hashes(codes: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Rolling hashes of all runs of ``size`` codes: one of 64 bits, one of 32 bits more."""
+    """Rolling hashes of all runs of ``size`` codes: one of 64 bits, one of 24 bits more."""
     n = max(0, len(codes) - size + 1)
     out = []
     for base in BASES:
@@ -53,7 +58,7 @@ def window_hashes(codes: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]
         h ^= h >> np.uint64(32)
         h *= np.uint64(MIXER)
         out.append(h ^ (h >> np.uint64(29)))
-    return out[0], (out[1] >> np.uint64(32)).astype(np.uint32)
+    return out[0], (out[1] >> np.uint64(40)).astype(np.uint32)
 
 
 def _planes(values: np.ndarray) -> bytes:
@@ -66,49 +71,55 @@ def _from_planes(data: memoryview, dtype, n: int) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, n).T).reshape(-1).view(dtype)
 
 
-def pack_windows(h: np.ndarray, check: np.ndarray, doc: np.ndarray, ids: np.ndarray, fps: np.ndarray) -> bytes:
+def pack_windows(h: np.ndarray, check: np.ndarray, doc: np.ndarray, ids: np.ndarray, salts: np.ndarray) -> bytes:
     """Windows in the order of ``h`` with the documents they stand in."""
     used, index = np.unique(doc, return_inverse=True)
-    step = np.diff(h, prepend=np.uint64(0))
+    parts = [
+        np.diff(h, prepend=np.uint64(0)), check, index.astype(np.uint32),
+        np.diff(ids[used], prepend=0), salts[used].astype(np.int32),
+    ]
     head = np.array([len(h), len(used)], np.int64).tobytes()
-    body = (
-        head + ids[used].tobytes() + fps[used].tobytes() + _planes(step) + _planes(check)
-        + _planes(index.astype(np.uint32))
-    )
-    return zstandard.ZstdCompressor(level=1).compress(body)
+    return zstandard.ZstdCompressor(level=1).compress(head + b"".join(map(_planes, parts)))
 
 
 def unpack_windows(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, check, id and fingerprint of each window that :func:`pack_windows` packed."""
+    """Hash, check, id and salt of each window that :func:`pack_windows` packed."""
     body = memoryview(zstandard.ZstdDecompressor().decompress(data))
     n, docs = np.frombuffer(body[:16], np.int64).tolist()
-    at = 16 + 16 * docs
-    ids, fps = np.frombuffer(body[16:at], np.int64).reshape(2, docs)
-    h = np.cumsum(_from_planes(body[at : at + 8 * n], np.uint64, n), dtype=np.uint64)
-    check = _from_planes(body[at + 8 * n : at + 12 * n], np.uint32, n)
-    index = _from_planes(body[at + 12 * n :], np.uint32, n)
-    return h, check, ids[index], fps[index]
+    parts, at = [], 16
+    for dtype, count in ((np.uint64, n), (np.uint32, n), (np.uint32, n), (np.int64, docs), (np.int32, docs)):
+        size = count * np.dtype(dtype).itemsize
+        parts.append(_from_planes(body[at : at + size], dtype, count))
+        at += size
+    step, check, index, id_step, salts = parts
+    return np.cumsum(step, dtype=np.uint64), check, np.cumsum(id_step)[index], salts[index]
 
 
 def split_first(
     h: np.ndarray, check: np.ndarray, ids: np.ndarray
 ) -> tuple[np.ndarray, np.ndarray]:
     """Positions of windows in the order of their hashes, and which have a smaller id elsewhere."""
-    order = np.lexsort((ids, check, h))
-    h, check, ids = h[order], check[order], ids[order]
-    new = np.ones(len(h), bool)
-    new[1:] = (h[1:] != h[:-1]) | (check[1:] != check[:-1])
-    first = ids[np.maximum.accumulate(np.where(new, np.arange(len(h)), 0))] if len(h) else ids
-    return order, ids > first
-
-
-def _hit_rows(h: np.ndarray, ids: np.ndarray, fps: np.ndarray) -> Iterator[tuple[int, int, bytes]]:
-    """``id, fp, hashes`` for each document of the given windows."""
-    order = np.lexsort((h, fps, ids))
-    h, ids, fps = h[order], ids[order], fps[order]
-    new = np.flatnonzero(np.r_[True, (ids[1:] != ids[:-1]) | (fps[1:] != fps[:-1])]) if len(h) else []
+    order = np.argsort(h, kind="stable")
+    same = h[order[1:]] == h[order[:-1]]
+    later = np.zeros(len(h), bool)
+    tied = np.flatnonzero(np.r_[same, False] | np.r_[False, same]) if len(h) else np.zeros(0, np.int64)
+    if len(tied):
+        of = order[tied]
+        of = of[np.lexsort((ids[of], check[of], h[of]))]
+        order[tied] = of
+        new = np.r_[True, (h[of[1:]] != h[of[:-1]]) | (check[of[1:]] != check[of[:-1]])]
+        first = np.maximum.accumulate(np.where(new, np.arange(len(of)), 0))
+        later[tied] = ids[of] > ids[of][first]
+    return order, later
+
+
+def _hit_rows(h: np.ndarray, ids: np.ndarray, salts: np.ndarray) -> Iterator[tuple[int, int, bytes]]:
+    """``id, salt, hashes`` for each document of the given windows."""
+    order = np.lexsort((h, salts, ids))
+    h, ids, salts = h[order], ids[order], salts[order]
+    new = np.flatnonzero(np.r_[True, (ids[1:] != ids[:-1]) | (salts[1:] != salts[:-1])]) if len(h) else []
     for start, stop in zip(new, np.r_[new[1:], len(h)] if len(h) else []):
-        yield int(ids[start]), int(fps[start]), h[start:stop].tobytes()
+        yield int(ids[start]), int(salts[start]), h[start:stop].tobytes()
 
 
 class Lots:
@@ -119,7 +130,7 @@ class Lots:
         self.clear()
 
     def clear(self) -> None:
-        self.windows, self.parts, self.ids, self.fps = 0, [], [], []
+        self.windows, self.parts, self.ids, self.salts = 0, [], [], []
 
     def add(self, row_id: int, text: bytes) -> None:
         words = text.split()
@@ -129,29 +140,29 @@ class Lots:
         h, first = np.unique(h, return_index=True)
         self.parts.append((h, check[first]))
         self.ids.append(row_id)
-        self.fps.append(xxhash.xxh64_intdigest(text) - (1 << 63))
+        self.salts.append(salt_of(text))
         self.windows += len(h)
 
     def rows(self) -> Iterator[pa.RecordBatch]:
         """What is known to be repeated already, and one packed row for each bucket."""
         if not self.parts:
             return
-        ids, fps = np.array(self.ids, np.int64), np.array(self.fps, np.int64)
+        ids, salts = np.array(self.ids, np.int64), np.array(self.salts, np.int32)
         doc = np.repeat(np.arange(len(ids), dtype=np.uint32), [len(h) for h, _ in self.parts])
         h, check = (np.concatenate(part) for part in zip(*self.parts))
         self.clear()
         order, later = split_first(h, check, ids[doc])
         h, check, doc = h[order], check[order], doc[order]
         rows = [
-            (fp % self.buckets, row_id, fp, hits)
-            for row_id, fp, hits in _hit_rows(h[later], ids[doc[later]], fps[doc[later]])
+            (salt % self.buckets, row_id, salt, hits)
+            for row_id, salt, hits in _hit_rows(h[later], ids[doc[later]], salts[doc[later]])
         ]
         h, check, doc = h[~later], check[~later], doc[~later]
         width = (1 << 64) // self.buckets + 1
         edges = np.searchsorted(h, np.array([b * width for b in range(1, self.buckets)], np.uint64))
         for bucket, (start, stop) in enumerate(zip(np.r_[0, edges], np.r_[edges, len(h)])):
             if start < stop:
-                packed = pack_windows(h[start:stop], check[start:stop], doc[start:stop], ids, fps)
+                packed = pack_windows(h[start:stop], check[start:stop], doc[start:stop], ids, salts)
                 rows.append((bucket, None, None, packed))
         yield from _batches(rows, ROUTED)
 
@@ -165,10 +176,11 @@ def _batches(rows: list[tuple], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
 def repeated_windows(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = WINDOW_WORDS, lot: int = LOT_WINDOWS
 ) -> DataFrame:
-    """``id, fp, payload``: windows of a row that also start in a row with a smaller id.
+    """``id, salt, payload``: windows of a row that also start in a row with a smaller id.
 
-    ``fp`` is the hash of the row's text, ``payload`` packs 64-bit window hashes; a
-    row's windows may be spread over several result rows.
+    ``salt`` comes from the row's text, ``payload`` packs 64-bit window hashes; a
+    row's windows may be spread over several result rows, which hold for all rows of
+    their id.
 
     A task sorts the hashes of ``lot`` windows at a time. Where several of
     them have a window, all but those with the smallest id are settled there, so
@@ -178,7 +190,7 @@ def repeated_windows(
     with them: both must come from the same evaluation of ``docs``.
     """
     total = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
-    buckets = max(1, -(-total // BUCKET_BYTES))
+    buckets = max(MIN_BUCKETS, -(-total // BUCKET_BYTES))
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lots = Lots(buckets, size)
@@ -195,17 +207,17 @@ def repeated_windows(
         if not len(packed):
             return settled
         parts = zip(*(unpack_windows(p.as_py()) for p in packed))
-        h, check, ids, fps = (np.concatenate(part) for part in parts)
+        h, check, ids, salts = (np.concatenate(part) for part in parts)
         order, later = split_first(h, check, ids)
         hit = order[later]
-        rows = list(_hit_rows(h[hit], ids[hit], fps[hit]))
+        rows = list(_hit_rows(h[hit], ids[hit], salts[hit]))
         return pa.Table.from_batches([*settled.to_batches(), *_batches(rows, HITS)], HITS)
 
     read = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(
         F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text")
     )
-    routed = read.mapInArrow(route, "bucket int, id long, fp long, payload binary")
-    return routed.groupBy("bucket").applyInArrow(compare, "id long, fp long, payload binary")
+    routed = read.mapInArrow(route, "bucket int, id long, salt int, payload binary")
+    return routed.groupBy("bucket").applyInArrow(compare, "id long, salt int, payload binary")
 
 
 def removal_intervals(words: list[bytes], hits: np.ndarray, size: int, memo: WordCodes) -> np.ndarray:
@@ -232,22 +244,22 @@ def remove_repeats(
     A null text has no words. Empty tables give an empty table, other columns are
     not read.
 
-    Windows are told apart by rolling hashes of 96 bits: of 10^13 windows, less than
-    one in a thousand runs takes any two different ones for equal.
+    Windows are told apart by rolling hashes of 88 bits: among 10^13 different
+    windows less than one pair is expected to be taken for equal.
     """
     hits = (
         repeated_windows(docs, id_col, text_col, size, lot)
-        .groupBy("id", "fp").agg(F.collect_list("payload").alias("hits"))
+        .groupBy("id", "salt").agg(F.collect_list("payload").alias("hits"))
     )
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compressor = zstandard.ZstdCompressor(level=1)
         for batch in batches:
             texts = [t.as_py() or b"" for t in batch.column(1)]
-            fps = [xxhash.xxh64_intdigest(t) - (1 << 63) for t in texts]
+            salts = [salt_of(t) for t in texts]
             packed = [compressor.compress(t) for t in texts]
-            arrays = [batch.column(0), pa.array(fps, pa.int64()), pa.array(packed, pa.binary())]
-            yield pa.RecordBatch.from_arrays(arrays, names=["id", "fp", "packed"])
+            arrays = [batch.column(0), pa.array(salts, pa.int32()), pa.array(packed, pa.binary())]
+            yield pa.RecordBatch.from_arrays(arrays, names=["id", "salt", "packed"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decompressor, memo = zstandard.ZstdDecompressor(), WordCodes()
@@ -272,8 +284,8 @@ def remove_repeats(
     types = [pa.int64(), pa.int64(), span, pa.binary()]
     texts = docs.select(
         F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("binary").alias("text")
-    ).mapInArrow(pack, "id long, fp long, packed binary")
-    joined = texts.join(hits, ["id", "fp"], "left").select("id", "packed", "hits")
+    ).mapInArrow(pack, "id long, salt int, packed binary")
+    joined = texts.join(hits, ["id", "salt"], "left").select("id", "packed", "hits")
     result = joined.mapInArrow(
         cut, "id long, n_words long, removed array<struct<start:long,stop:long>>, kept binary"
     )

@@ -7,7 +7,7 @@ import pytest
 
 from codetally.llm import substring_dedup
 
-SCHEMA = "doc_id long, text string, id int, fp int, payload string, bucket int, hits int, removed int, kept int"
+SCHEMA = "doc_id long, text string, id int, salt int, payload string, bucket int, hits int, removed int, kept int"
 
 
 def frame(spark, rows, parts=3):
@@ -51,6 +51,7 @@ def test_random_texts(spark, monkeypatch, lot, bucket):
     rows += [rows[155], rows[155], (202, "other text " * 9), (1 << 62, passage), (-(1 << 62), "a b c " * 9)]
     expected = brute_force(rows, 5)
     monkeypatch.setattr(substring_dedup, "BUCKET_BYTES", bucket)
+    monkeypatch.setattr(substring_dedup, "MIN_BUCKETS", 3)
     assert results(substring_dedup.remove_repeats(frame(spark, rows, 7), size=5, lot=lot)) == expected
 
 
@@ -79,7 +80,7 @@ def test_packed_windows_come_back():
     h = np.sort(rng.integers(0, 1 << 63, 500).astype(np.uint64) * np.uint64(2))
     check = rng.integers(0, 1 << 32, 500).astype(np.uint32)
     doc = rng.integers(0, 9, 500).astype(np.uint32)
-    ids, fps = rng.integers(-(1 << 62), 1 << 62, (2, 9))
-    back = substring_dedup.unpack_windows(substring_dedup.pack_windows(h, check, doc, ids, fps))
-    for a, b in zip(back, (h, check, ids[doc], fps[doc])):
+    ids, salts = rng.integers(-(1 << 62), 1 << 62, 9), rng.integers(0, 1 << 16, 9)
+    back = substring_dedup.unpack_windows(substring_dedup.pack_windows(h, check, doc, ids, salts))
+    for a, b in zip(back, (h, check, ids[doc], salts[doc])):
         assert (a == b).all()
