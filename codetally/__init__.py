@@ -16,7 +16,13 @@ from codetally.operators.stats import (
 )
 from codetally.plans.reports import license_report, summary_lines, summary_report
 from codetally.sources.files_table import read_files_table, write_files_table
-from codetally.sources.source_tree import read_source_tree, read_source_trees
+from codetally.sources.source_tree import (
+    list_source_tree,
+    list_source_trees,
+    read_listed_files,
+    read_source_tree,
+    read_source_trees,
+)
 
 __all__ = [
     "classified_lines",
@@ -31,7 +37,10 @@ __all__ = [
     "license_files",
     "license_report",
     "license_scores",
+    "list_source_tree",
+    "list_source_trees",
     "read_files_table",
+    "read_listed_files",
     "read_source_tree",
     "read_source_trees",
     "subtree_stats",

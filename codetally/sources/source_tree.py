@@ -2,9 +2,11 @@
 
 The built-in ``binaryFile`` and ``text`` readers skip hidden, underscore and
 empty files, all of which have to be counted, so the tree is listed and read by
-Python tasks: first the listing, which hands back directories until none is left
-and stays a distributed table throughout, then the reads, spread evenly over the
-files found; large files are read by byte ranges. Neither passes through the driver.
+Python tasks. The listing is a relation of its own, ``(repo, path, size, place)``
+without content: it hands back directories until none is left, stays a distributed
+table throughout and can be filtered and counted. The reads then fetch the files
+that are left, packed into tasks by size; large files are read by byte ranges.
+Neither passes through the driver.
 
 Local paths and any file system that ``pyarrow.fs`` opens on all executors will do.
 """
@@ -18,11 +20,13 @@ import posixpath
 import sys
 import urllib.parse
 from collections.abc import Iterator
+from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
 from pyarrow import fs
-from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark import TaskContext, cloudpickle
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from codetally.functions.paths import is_license_name
@@ -50,18 +54,38 @@ ENTRY_FIELDS = pa.schema([
     ("raw", pa.binary()),  # the bytes of a local name, which need not be UTF-8
     ("pending", pa.bool_()),  # a directory still to be listed
     ("size", pa.int64()),
+    ("link", pa.string()),  # the directory that a link leads to, where it is still to be listed
 ])
-ENTRY_SCHEMA = "repo string, root string, name string, raw binary, pending boolean, size long"
+ENTRY_SCHEMA = (
+    "repo string, root string, name string, raw binary, pending boolean, size long, link string"
+)
 
+# What reading needs of a listed file.
+PLACE = "struct<root:string,name:string,raw:binary>"
 RANGE_FIELDS = pa.schema([
-    *(field for field in ENTRY_FIELDS if field.name != "pending"),
+    ("repo", pa.string()),
+    ("path", pa.string()),
+    ("root", pa.string()),
+    ("name", pa.string()),
+    ("raw", pa.binary()),
+    ("size", pa.int64()),
     ("start", pa.int64()),
     ("lines", pa.int64()),  # lines that start in the range
     ("is_text", pa.bool_()),  # NULL where it cannot be read
 ])
 RANGE_SCHEMA = (
-    "repo string, root string, name string, raw binary, size long, start long, lines long, "
-    "is_text boolean"
+    "repo string, path string, root string, name string, raw binary, size long, start long, "
+    "lines long, is_text boolean"
+)
+READ_FIELDS = pa.schema([
+    *(field for field in RANGE_FIELDS if field.name not in ("lines", "is_text")),
+    ("first_line", pa.int64()),
+    ("is_text", pa.bool_()),
+    ("split", pa.int32()),  # the task that reads it
+])
+READ_SCHEMA = (
+    "repo string, path string, root string, name string, raw binary, size long, start long, "
+    "first_line long, is_text boolean, split int"
 )
 
 FILE_FIELDS = pa.schema([
@@ -89,108 +113,221 @@ def read_source_tree(
     return read_source_trees(spark.createDataFrame(row), prune, on_error)
 
 
-def read_source_trees(roots: DataFrame, prune=(), on_error: str = "fail") -> DataFrame:
+def read_source_trees(roots: DataFrame, prune=(), on_error: str = "fail", links: str = "new") -> DataFrame:
     """The files of many checkouts, given as a table ``(repo, root)``.
 
-    ``prune`` takes the fragments :func:`eligible_files` will ignore (see
-    :func:`ignore_fragments`): directories they match are not descended into,
-    and files below them are not read. Leaving it empty reads every file.
+    :func:`list_source_trees` and :func:`read_listed_files` in one; every file that
+    is listed is read. To read only files that are counted, filter in between.
+    """
+    return read_listed_files(list_source_trees(roots, prune, on_error, links=links), on_error)
+
+
+def list_source_tree(spark: SparkSession, root: str, repo: str | None = None, **options) -> DataFrame:
+    """The files under one directory, or one single file, without their content."""
+    row = pa.table({"repo": [repo if repo is not None else root], "root": [root]})
+    return list_source_trees(spark.createDataFrame(row), **options)
+
+
+def list_source_trees(
+    roots: DataFrame,
+    prune=(),
+    on_error: str = "fail",
+    max_depth: int | None = None,
+    names=None,
+    links: str = "new",
+) -> DataFrame:
+    """The files of many checkouts, ``(repo, root)``, as ``repo, path, size, place``.
+
+    No file is opened. ``prune`` takes the fragments :func:`eligible_files` will
+    ignore (see :func:`ignore_fragments`): directories they match are not descended
+    into. Files at most ``max_depth`` levels below their root are listed, and
+    directories below that are not looked at: one level is one directory a root.
+    ``names`` leaves only files of those names, in any case.
+
+    Directories that cannot be listed fail the job unless ``on_error`` is ``"skip"``
+    or ``"null"``, which leave them out. Links to files are files. A link to a
+    directory that it is below of is never followed. Of the others, ``links="new"``
+    follows those to directories that no link on a shorter chain of links has led
+    to, ``links="every"`` each on every way, which for directories that link to each
+    other are very many, and ``links="none"`` none.
+
+    Bytes of local names that are not UTF-8 appear as ``\\xff`` in ``path``.
+    """
+    if on_error not in ("fail", "skip", "null"):
+        raise ValueError("on_error is one of fail, skip, null")
+    if links not in ("new", "every", "none"):
+        raise ValueError("links is one of new, every, none")
+    ensure_checkpoint_dir(roots.sparkSession)
+    rules = ListingRules(
+        list(prune), on_error, max_depth, None if names is None else {n.lower() for n in names}, links
+    )
+    found = _list_trees(roots, rules)
+    root, name = F.col("root"), F.col("name")
+    joined = F.when((root == "") | F.endswith(root, F.lit("/")), F.concat(root, name)).otherwise(
+        F.concat(root, F.lit("/"), name)
+    )
+    return found.select(
+        "repo", F.when(name == "", root).otherwise(joined).alias("path"), "size",
+        F.struct("root", "name", "raw").cast(PLACE).alias("place"),
+    )
+
+
+def read_listed_files(listing: DataFrame, on_error: str = "fail") -> DataFrame:
+    """``repo, path, content, first_line`` of the files of a listing.
+
+    ``listing`` is what :func:`list_source_trees` gives, with any rows left out;
+    ``path`` may have been changed, ``place`` says what is read.
 
     A file up to ``BYTES_PER_PART`` and any licence file is one row, whose
     ``first_line`` is NULL. A larger file is several rows: text is cut after line
     ends and ``first_line`` numbers the first line of each; what is not UTF-8 is
     cut anywhere, and ``first_line`` is -1 minus the byte position of each.
 
-    What cannot be listed or read, and a licence file or a line that does not fit
-    in a row, fails the job. With ``on_error="skip"`` it is left out, and with
+    What cannot be read, and a licence file or a line that does not fit in a row,
+    fails the job. With ``on_error="skip"`` it is left out, and with
     ``on_error="null"`` a file, or the part that the line would be, is a row without
-    content (counted as a file without lines); directories are left out.
+    content (counted as a file without lines).
 
-    Directory links are followed unless they lead to a directory they are below of.
-    Bytes of local names that are not UTF-8 appear as ``\\xff`` in ``path``.
+    Files and ranges are packed into tasks of about equal numbers of bytes.
     """
     if on_error not in ("fail", "skip", "null"):
         raise ValueError("on_error is one of fail, skip, null")
-    spark = roots.sparkSession
+    spark = listing.sparkSession
     ensure_checkpoint_dir(spark)
-    cores = spark.sparkContext.defaultParallelism
-    found = _list_trees(roots, list(prune), on_error)
-
-    is_large = (F.col("size") > BYTES_PER_PART) & ~is_license_name(
-        F.concat_ws("/", "root", "name")
-    )
-    size = found.agg(
-        F.count(F.lit(1)).alias("files"),
-        F.sum("size").alias("bytes"),
-        F.count_if(is_large).alias("large"),
-    ).first()
-    tasks = max(
-        math.ceil((size["bytes"] or 0) / BYTES_PER_READ),
-        math.ceil(size["files"] / FILES_PER_READ),
-        min(size["files"], cores),
-        1,
-    )
-    tasks = min(tasks, READS_PER_CORE * cores)
-
+    found = listing.select("repo", "path", "place.root", "place.name", "place.raw", "size")
+    is_large = (F.col("size") > BYTES_PER_PART) & ~is_license_name(F.col("path"))
     reads = found.select(
         *found.columns, *(F.lit(None).cast(kind).alias(name) for name, kind in
                           (("start", "long"), ("first_line", "long"), ("is_text", "boolean")))
     )
-    if size["large"]:
-        ranges = _measured_ranges(found.where(is_large), tasks, on_error)
+    if found.where(is_large).limit(1).count():
+        ranges = _measured_ranges(found.where(is_large), on_error)
         reads = reads.where(~is_large).unionByName(ranges)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return _read_files(batches, on_error)
 
-    listings = reads.coalesce(LISTINGS_PER_CORE * cores)
-    return listings.repartition(tasks).mapInArrow(read, FILE_SCHEMA)
+    packed, tasks = packed_reads(reads)
+    return packed.repartitionById(tasks, F.col("split")).mapInArrow(read, FILE_SCHEMA)
+
+
+def _read_bytes() -> Column:
+    """What a row of reads costs: its bytes, and some for opening a file."""
+    whole = F.when(F.col("start").isNull(), F.col("size"))
+    return F.coalesce(whole, F.least(F.col("size") - F.col("start"), F.lit(BYTES_PER_RANGE))) + F.lit(
+        BYTES_PER_READ // FILES_PER_READ
+    )
 
 
-def _list_trees(roots: DataFrame, fragments: list[str], on_error: str) -> DataFrame:
+def packed_reads(reads: DataFrame) -> tuple[DataFrame, int]:
+    """``reads`` with the task (``split``) of each row, and the number of tasks.
+
+    The bytes before a row, over all rows, decide its task, so that no task has more
+    than its share and one row. The sums need no shuffle: the driver sees one number
+    for each partition of the listing.
+    """
+    cores = reads.sparkSession.sparkContext.defaultParallelism
+    reads = reads.coalesce(LISTINGS_PER_CORE * cores).withColumn("bytes", _read_bytes())
+    sums = {
+        r["part"]: (r["bytes"], r["files"])
+        for r in reads.groupBy(F.spark_partition_id().alias("part"))
+        .agg(F.sum("bytes").alias("bytes"), F.count(F.lit(1)).alias("files")).collect()
+    }
+    total, files = (sum(s[i] for s in sums.values()) for i in (0, 1))
+    tasks = max(math.ceil(total / BYTES_PER_READ), min(files, cores), 1)
+    tasks = min(tasks, READS_PER_CORE * cores)
+    share = max(1, math.ceil(total / tasks))
+    before, start = {}, 0
+    for part in sorted(sums):
+        before[part] = start
+        start += sums[part][0]
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        position = before.get(TaskContext.get().partitionId(), 0)
+        for batch in batches:
+            weights = batch.column("bytes").to_numpy()
+            starts = position + np.cumsum(weights) - weights
+            position += int(weights.sum())
+            split = pa.array(np.minimum(starts // share, tasks - 1), pa.int32())
+            columns = [split if f.name == "split" else batch.column(f.name) for f in READ_FIELDS]
+            yield pa.RecordBatch.from_arrays(columns, schema=READ_FIELDS)
+
+    return reads.mapInArrow(place, READ_SCHEMA), tasks
+
+
+class ListingRules(NamedTuple):
+    """What a listing leaves out."""
+
+    fragments: list[str]
+    on_error: str
+    max_depth: int | None
+    names: set[str] | None
+    links: str
+
+
+def _list_trees(roots: DataFrame, rules: ListingRules) -> DataFrame:
     """All files as ``(repo, root, name, raw, size)``; one job per round of listing.
 
     A task lists every directory it is given, and their subdirectories up to its
     share of entries; the next round spreads the rest over all tasks again. There
     are thus at most as many rounds as levels, however many directories a level
     has. Every round is checkpointed: a lost executor repeats only its round.
+
+    Links that are not followed on every way wait until no directory is left. Those
+    to directories that earlier ones led to, for the same root, are then dropped.
     """
     cores = roots.sparkSession.sparkContext.defaultParallelism
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _walk(batches, fragments, on_error)
+        return _walk(batches, rules)
 
     frontier = roots.select(
         "repo", "root", F.lit("").alias("name"), F.lit("").cast("binary").alias("raw"),
         F.lit(True).alias("pending"), F.lit(0).cast("long").alias("size"),
+        F.lit(None).cast("string").alias("link"),
     )
-    found = None
-    while (pending := frontier.count()) or found is None:
+    found = waiting = seen = None
+    key = ["repo", "root", "link"]
+    while (pending := frontier.count()) or found is None or waiting is not None:
+        if not pending and waiting is not None:
+            fresh = waiting.join(seen, key, "left_anti") if seen is not None else waiting
+            fresh = fresh.select(*ENTRY_FIELDS.names).checkpoint()
+            taken = fresh.select(*key).distinct()
+            seen = (taken if seen is None else seen.unionByName(taken)).checkpoint()
+            frontier, waiting = fresh, None
+            continue
         tasks = max(min(pending, cores), math.ceil(pending / DIRECTORIES_PER_TASK), 1)
         listed = frontier.repartition(tasks).mapInArrow(walk, ENTRY_SCHEMA).checkpoint()
         files = listed.where(~F.col("pending"))
         found = files if found is None else found.unionByName(files)
-        frontier = listed.where("pending")
-    return found.drop("pending")
+        frontier = listed.where("pending AND link IS NULL")
+        new_links = listed.where("pending AND link IS NOT NULL")
+        if rules.links == "new" and new_links.limit(1).count():
+            waiting = new_links if waiting is None else waiting.unionByName(new_links)
+    return found.drop("pending", "link")
 
 
-def _measured_ranges(large: DataFrame, tasks: int, on_error: str) -> DataFrame:
+def _measured_ranges(large: DataFrame, on_error: str) -> DataFrame:
     """The byte ranges of large files, each with its first line and whether the
     file is text. A first pass counts lines; only counts are shuffled by file."""
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return _measure(batches, on_error)
 
-    starts = F.sequence(F.lit(0).cast("long"), F.col("size") - 1, F.lit(BYTES_PER_RANGE).cast("long"))
+    cores = large.sparkSession.sparkContext.defaultParallelism
+    step = F.lit(BYTES_PER_RANGE).cast("long")
+    starts = F.sequence(F.lit(0).cast("long"), F.col("size") - 1, step)
+    # All ranges but the last of a file are equally long: dealing them out is even.
     measured = (
         large.withColumn("start", F.explode(starts))
-        .repartition(tasks)
+        .repartition(READS_PER_CORE * cores)
         .mapInArrow(measure, RANGE_SCHEMA)
     )
-    file = Window.partitionBy("repo", "root", "name", "raw")
+    place = ["repo", "path", "root", "name", "raw", "size"]
+    file = Window.partitionBy("repo", "path", "root", "name", "raw")
     before = file.orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
     return measured.select(
-        "repo", "root", "name", "raw", "size", "start",
+        *place, "start",
         F.coalesce(F.sum("lines").over(before), F.lit(0)).alias("first_line"),
         F.when(F.count("is_text").over(file) == F.count("*").over(file),
                F.bool_and("is_text").over(file)).alias("is_text"),
@@ -244,9 +381,7 @@ def _is_loop(base: bytes, raw: bytes) -> bool:
     return any((os.path.realpath(place) + b"/").startswith(target) for place in above)
 
 
-def _walk(
-    batches: Iterator[pa.RecordBatch], fragments: list[str], on_error: str
-) -> Iterator[pa.RecordBatch]:
+def _walk(batches: Iterator[pa.RecordBatch], rules: ListingRules) -> Iterator[pa.RecordBatch]:
     """The files in the given directories and below, and the directories left
     unlisted once the task has seen its share of entries."""
     systems, rows, stack, budget = Systems(), [], [], ENTRIES_PER_WALK
@@ -254,17 +389,17 @@ def _walk(
     def listed(directory: tuple) -> Iterator[None]:
         nonlocal budget
         try:
-            for entry in _list_directory(systems, *directory, fragments, on_error):
+            for entry in _list_directory(systems, *directory, rules):
                 budget -= 1
-                pending = entry[4]
-                if pending and budget > 0:
+                pending, link = entry[4], entry[6]
+                if pending and link is None and budget > 0:
                     stack.append(entry[:4])
                 else:
                     rows.append(entry)
                     if len(rows) >= ENTRIES_PER_BATCH:
                         yield
         except OSError:
-            if on_error == "fail":
+            if rules.on_error == "fail":
                 raise
 
     def full() -> Iterator[pa.RecordBatch]:
@@ -279,26 +414,32 @@ def _walk(
     while stack and budget > 0:
         for _ in listed(stack.pop()):
             yield from full()
-    rows.extend((*directory, True, 0) for directory in stack)
+    rows.extend((*directory, True, 0, None) for directory in stack)
     yield from full()
 
 
 def _list_directory(
-    systems: Systems, repo: str, root: str, name: str, raw: bytes, fragments: list[str], on_error: str
+    systems: Systems, repo: str, root: str, name: str, raw: bytes, rules: ListingRules
 ) -> Iterator[tuple]:
     """The files in a directory, and its subdirectories that are not ignored, one by
     one; a root that is a file is that file."""
 
-    def ignored(child: str) -> bool:
+    def wanted(child: str) -> bool:
+        return rules.names is None or posixpath.basename(child).lower() in rules.names
+
+    def entered(child: str) -> bool:
+        if rules.max_depth is not None and child.count("/") + 1 >= rules.max_depth:
+            return False
         logical = _normalised(_join(root, child))
-        return any(fragment in logical for fragment in fragments)
+        return not any(fragment in logical for fragment in rules.fragments)
 
     system, base = systems(root)
     if system is None:
         if not name and not os.path.lexists(base):
             raise FileNotFoundError(f"path does not exist: {root}")
         if not name and os.path.isfile(base):
-            yield repo, root, "", b"", False, os.path.getsize(base)
+            if wanted(root):
+                yield repo, root, "", b"", False, os.path.getsize(base), None
             return
         with os.scandir(posixpath.join(base, raw) if raw else base) as entries:
             for entry in entries:
@@ -306,12 +447,19 @@ def _list_directory(
                 child = _shown(inner)
                 try:
                     if entry.is_file():
-                        yield repo, root, child, inner, False, entry.stat().st_size
-                    elif entry.is_dir() and not ignored(child):
-                        if not entry.is_symlink() or not _is_loop(base, inner):
-                            yield repo, root, child, inner, True, 0
+                        if wanted(child):
+                            yield repo, root, child, inner, False, entry.stat().st_size, None
+                    elif entry.is_dir() and entered(child):
+                        link = None
+                        if entry.is_symlink():
+                            if rules.links == "none" or _is_loop(base, inner):
+                                continue
+                            if rules.links == "new":
+                                target = entry.stat()
+                                link = f"{target.st_dev}:{target.st_ino}"
+                        yield repo, root, child, inner, True, 0, link
                 except OSError:
-                    if on_error == "fail":
+                    if rules.on_error == "fail":
                         raise
         return
     if not name:
@@ -319,14 +467,16 @@ def _list_directory(
         if info.type == fs.FileType.NotFound:
             raise FileNotFoundError(f"path does not exist: {root}")
         if info.type == fs.FileType.File:
-            yield repo, root, "", None, False, info.size
+            if wanted(root):
+                yield repo, root, "", None, False, info.size, None
             return
     for info in system.get_file_info(fs.FileSelector(_join(base, name))):
         child = _join(name, info.base_name) if name else info.base_name
         if info.type == fs.FileType.File:
-            yield repo, root, child, None, False, info.size
-        elif info.type == fs.FileType.Directory and not ignored(child):
-            yield repo, root, child, None, True, 0
+            if wanted(child):
+                yield repo, root, child, None, False, info.size, None
+        elif info.type == fs.FileType.Directory and entered(child):
+            yield repo, root, child, None, True, 0, None
 
 
 def _batch(rows: list[tuple], fields: pa.Schema) -> pa.RecordBatch:
@@ -347,7 +497,7 @@ def _measure(batches: Iterator[pa.RecordBatch], on_error: str) -> Iterator[pa.Re
                 if on_error == "fail":
                     raise
                 measured = (0, None)
-            place = (entry[key] for key in ("repo", "root", "name", "raw", "size", "start"))
+            place = (entry[key] for key in RANGE_FIELDS.names[:7])
             rows.append((*place, *measured))
         if rows:
             yield _batch(rows, RANGE_FIELDS)
@@ -395,7 +545,7 @@ def _read_files(batches: Iterator[pa.RecordBatch], on_error: str) -> Iterator[pa
     systems, rows, held = Systems(), [], 0
     for batch in batches:
         for entry in batch.to_pylist():
-            path = _join(entry["root"], entry["name"])
+            path = entry["path"]
             for content, first_line in _pieces(systems, entry, path, on_error):
                 length = len(content or b"")
                 if rows and held + length > BYTES_PER_BATCH:

@@ -186,9 +186,12 @@ def test_directories_that_link_to_each_other_end(spark, tmp_path):
     }
     root = str(tmp_path / "three")
     linked(root, "abc")
-    paths = [row["path"] for row in ct.read_source_tree(spark, root).collect()]
+    paths = [row["path"] for row in ct.list_source_tree(spark, root, links="every").collect()]
     # Every way of one, two or three different directories, once.
     assert len(paths) == len(set(paths)) == 3 + 6 + 6
+    paths = [row["path"] for row in ct.read_source_tree(spark, root).collect()]
+    # No directory is entered again that fewer links have led to.
+    assert len(paths) == len(set(paths)) == 3 + 6
 
 
 def test_rounds_follow_the_depth(spark, tmp_path, monkeypatch):
@@ -239,10 +242,10 @@ def test_an_unreadable_directory(tree, monkeypatch):
 
     def names(on_error):
         given = pa.RecordBatch.from_pylist(
-            [{"repo": "r", "root": root, "name": "", "raw": b"", "pending": True, "size": 0}],
+            [{"repo": "r", "root": root, "name": "", "raw": b"", "pending": True, "size": 0, "link": None}],
             source_tree.ENTRY_FIELDS,
         )
-        batches = source_tree._walk(iter([given]), [], on_error)
+        batches = source_tree._walk(iter([given]), source_tree.ListingRules([], on_error, None, None, "new"))
         return {name for batch in batches for name in batch["name"].to_pylist()}
 
     with pytest.raises(PermissionError):
