@@ -14,7 +14,13 @@ from codetally.operators.stats import (
     language_stats,
     subtree_stats,
 )
-from codetally.plans.reports import license_report, summary_lines, summary_report
+from codetally.plans.reports import (
+    license_report,
+    summary_lines,
+    summary_report,
+    tree_license_report,
+)
+from codetally.plans.scans import list_eligible_trees, read_eligible_trees
 from codetally.sources.files_table import read_files_table, write_files_table
 from codetally.sources.source_tree import (
     list_source_tree,
@@ -37,8 +43,10 @@ __all__ = [
     "license_files",
     "license_report",
     "license_scores",
+    "list_eligible_trees",
     "list_source_tree",
     "list_source_trees",
+    "read_eligible_trees",
     "read_files_table",
     "read_listed_files",
     "read_source_tree",
@@ -46,5 +54,6 @@ __all__ = [
     "subtree_stats",
     "summary_lines",
     "summary_report",
+    "tree_license_report",
     "write_files_table",
 ]

@@ -6,8 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codetally.functions import lines
+from codetally.functions.paths import basename
 from codetally.operators.licenses import classify_license, license_files
 from codetally.operators.stats import COUNTS
+from codetally.sources.dimensions import LICENSE_FILENAMES
+from codetally.sources.source_tree import list_source_trees, read_listed_files
 
 KNOWN_SECTION, OTHER_SECTION, TOTAL_SECTION = 0, 1, 2
 NAME_WIDTH = 12
@@ -83,9 +86,21 @@ def license_report(files: DataFrame, root: str | Column = "", by=()) -> DataFram
 
     Content that is not valid UTF-8 is reported as unknown.
     """
-    texts = license_files(files, root).select(
-        *by, "file", lines.decoded(F.col("content")).alias("text")
-    )
+    return _license_rows(license_files(files, root).select(*by, "file", "content"), by)
+
+
+def tree_license_report(roots: DataFrame, on_error: str = "fail") -> DataFrame:
+    """:func:`license_report` of checkouts, given as a table ``(repo, root)``, by ``repo``.
+
+    One directory a root is listed and nothing but its licence files is opened.
+    """
+    listing = list_source_trees(roots, on_error=on_error, max_depth=1, names=LICENSE_FILENAMES)
+    files = read_listed_files(license_files(listing, F.col("place.root")), on_error)
+    return _license_rows(files.select("repo", basename(F.col("path")).alias("file"), "content"), ["repo"])
+
+
+def _license_rows(files: DataFrame, by) -> DataFrame:
+    texts = files.select(*by, "file", lines.decoded(F.col("content")).alias("text"))
     return classify_license(texts).select(
         *by,
         "file",

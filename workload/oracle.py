@@ -323,6 +323,20 @@ ORACLE: dict[str, str] = {
     "source_tree_large": with_clause(*stats_ctes(LARGE_FILES))
     + "SELECT * EXCLUDE (ordinal) FROM file_stats",
     "source_tree_license_report": LICENSE_REPORT,
+    "source_tree_count": with_clause(KNOWN, SOURCE_FILES, LOCATED, eligible(DEFAULTS))
+    + "SELECT repo, count(*) AS files FROM eligible GROUP BY repo",
+    "source_tree_eligible": with_clause(
+        KNOWN, SOURCE_FILES, LOCATED,
+        eligible([*DEFAULTS, *IGNORE_DIRS, *dims.HIDDEN_IGNORE_DIRS], IGNORE_LANGS), LINES, FILE_STATS,
+    ) + f"SELECT repo, {LANGUAGE_KEY}, {SUMS} FROM file_stats GROUP BY ALL",
+    "source_tree_root_licenses": LICENSE_REPORT,
+    "summary_report_empty": with_clause(*stats_ctes(SOURCE_FILES, [""])) + f"""
+    SELECT repo, looked_at, language, total AS files, blank, comment, code
+    FROM (SELECT repo, count(*) AS looked_at FROM files GROUP BY repo)
+    LEFT JOIN (SELECT repo, language, CAST(sum(files) AS BIGINT) AS total,
+        CAST(sum(blank) AS BIGINT) AS blank, CAST(sum(single + multi) AS BIGINT) AS comment,
+        CAST(sum(code) AS BIGINT) AS code
+      FROM file_stats GROUP BY repo, language) USING (repo)""",
     "files_table_file_stats": with_clause(*stats_ctes(SOURCE_FILES))
     + "SELECT * EXCLUDE (ordinal) FROM file_stats",
     "files_table_stats": stats_query(by="repo, "),

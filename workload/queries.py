@@ -169,6 +169,43 @@ def source_tree_large(spark, sf_dir):
     return ct.file_stats(_inside(ct.read_source_tree(spark, root, repo="large"), root))
 
 
+def source_tree_count(spark, sf_dir):
+    """Files counted by language from the directories alone."""
+    root = t.write_tree(t.source_files(spark, sf_dir))
+    listing = _inside(ct.list_source_tree(spark, root, prune=ct.ignore_fragments()), root)
+    counted = listing.withColumn("repo", F.split_part("path", F.lit("/"), F.lit(2)))
+    return ct.count_source_files(counted, by=["repo"])
+
+
+def source_tree_eligible(spark, sf_dir):
+    """Statistics of a tree of which only counted files are opened."""
+    root = t.write_tree(t.source_files(spark, sf_dir))
+    roots = t.source_paths(spark, sf_dir).select("repo").distinct().select(
+        "repo", F.concat(F.lit(f"{root}/r/"), "repo").alias("root")
+    )
+    files = ct.read_eligible_trees(roots, IGNORE_DIRS, IGNORE_LANGS, ignore_hidden=True)
+    return ct.language_stats(
+        files, by=["repo"], ignore_dirs=IGNORE_DIRS, ignore_langs=IGNORE_LANGS, ignore_hidden=True
+    )
+
+
+def source_tree_root_licenses(spark, sf_dir):
+    """Licences of repositories, each listed one level deep."""
+    root = t.write_tree(t.license_repos(spark, sf_dir))
+    roots = t.license_repos(spark, sf_dir).select("repo").distinct().select(
+        "repo", F.concat(F.lit(f"{root}/"), "repo").alias("root")
+    )
+    return ct.tree_license_report(roots)
+
+
+def summary_report_empty(spark, sf_dir):
+    """A report of nothing, beside the number of files that were looked at."""
+    files = t.source_files(spark, sf_dir)
+    report = ct.summary_report(ct.language_stats(files, by=["repo"], ignore_dirs=[""]), by=["repo"])
+    looked_at = files.groupBy("repo").agg(F.count("*").alias("looked_at"))
+    return looked_at.join(report, "repo", "left")
+
+
 def source_tree_license_report(spark, sf_dir):
     """Licences of scanned repositories, some with a directory named ``license``."""
     root = t.write_tree(t.license_repos(spark, sf_dir))
@@ -219,6 +256,7 @@ QUERIES: dict[str, Query] = {
         summary_report_by_repo,
         summary_report_positions,
         summary_lines,
+        summary_report_empty,
         license_files,
         license_scores,
         license_scores_documents,
@@ -230,6 +268,9 @@ QUERIES: dict[str, Query] = {
         source_tree_single_file,
         source_tree_large,
         source_tree_license_report,
+        source_tree_count,
+        source_tree_eligible,
+        source_tree_root_licenses,
         files_table_stats,
         files_table_file_stats,
         files_table_license_report,
