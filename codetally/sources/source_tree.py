@@ -224,10 +224,10 @@ def packed_reads(reads: DataFrame) -> tuple[DataFrame, int]:
 
     The bytes before a row, over all rows, decide its task, so that no task has more
     than its share and one row. The sums need no shuffle: the driver sees one number
-    for each partition of the listing.
+    for each partition of the listing, which is kept so that both passes see the same.
     """
     cores = reads.sparkSession.sparkContext.defaultParallelism
-    reads = reads.coalesce(LISTINGS_PER_CORE * cores).withColumn("bytes", _read_bytes())
+    reads = reads.coalesce(LISTINGS_PER_CORE * cores).withColumn("bytes", _read_bytes()).checkpoint()
     sums = {
         r["part"]: (r["bytes"], r["files"])
         for r in reads.groupBy(F.spark_partition_id().alias("part"))

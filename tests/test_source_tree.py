@@ -205,8 +205,9 @@ def test_rounds_follow_the_depth(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(
         type(spark.range(1)), "checkpoint", lambda self, *a: rounds.append(1) or original(self, *a)
     )
-    files = ct.read_source_tree(spark, str(tmp_path))
+    listing = ct.list_source_tree(spark, str(tmp_path))
     assert len(rounds) <= 4
+    files = ct.read_listed_files(listing)
     assert files.count() == 300
     assert files.rdd.getNumPartitions() <= source_tree.READS_PER_CORE * 8
 
