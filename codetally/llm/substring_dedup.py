@@ -21,6 +21,7 @@ MEMO_WORDS, LONG_WORD = 1 << 19, 64
 # Odd bases of the two rolling hashes, and a mixer.
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 MIXER = 0xD6E8FEB86659FD93
+SPREAD = 0x9E3779B1
 
 ROUTED = pa.schema([("bucket", pa.int32()), ("id", pa.int64()), ("salt", pa.int32()), ("payload", pa.binary())])
 HITS = pa.schema([("id", pa.int64()), ("salt", pa.int32()), ("payload", pa.binary())])
@@ -154,7 +155,7 @@ class Lots:
         order, later = split_first(h, check, ids[doc])
         h, check, doc = h[order], check[order], doc[order]
         rows = [
-            (salt % self.buckets, row_id, salt, hits)
+            ((row_id + salt) * SPREAD % (1 << 32) % self.buckets, row_id, salt, hits)
             for row_id, salt, hits in _hit_rows(h[later], ids[doc[later]], salts[doc[later]])
         ]
         h, check, doc = h[~later], check[~later], doc[~later]
