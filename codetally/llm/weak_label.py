@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import string
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
-from operator import eq
 from zlib import crc32
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -57,152 +58,171 @@ HASH_BUCKETS = SHAPE_BUCKETS + WORD_BUCKETS + 2 * len(LABELLERS)
 KINDS = {"lower": 0, "title": 1, "capitals": 2, "punctuation": 3, "digits": 4, "repeated": 5}
 SYMBOL, SHOUT, SENTENCE = 8, 16, 32
 TAIL_SHIFT, TAIL_BUCKETS = 6, 1 << 10
-MEMO_WORDS = 1 << 16
+# Words whose codes a worker remembers between portions of text, and their characters.
+MEMO_WORDS, MEMO_CHARS = 1 << 18, 16 << 20
 # Repetition is measured in windows of that many words, so that length does not matter.
 WINDOW_WORDS = 256
 PHRASE_WORDS = 4
+# Texts whose features are computed at once: at most that many, and about that many characters.
+PORTION_TEXTS, PORTION_CHARS = 256, 1 << 20
 
-_LOWER = crc32(b"") % TAIL_BUCKETS << TAIL_SHIFT
 _SYMBOLS = "*$%&#@^~=+"
 
 
-class _WordCodes(dict):
-    """A memo of word codes; it is emptied when full."""
-
-    def __missing__(self, word: str) -> int:
-        end = word[len(word.rstrip(string.punctuation)) :]
-        if len(end) == len(word) or not any(map(str.isalnum, word)):
-            kind = KINDS["punctuation"]
-        elif len(word) > 2 and word.isupper():
-            kind = KINDS["capitals"]
-        elif word[0].isupper():
-            kind = KINDS["title"]
-        elif any(map(str.isdigit, word)):
-            kind = KINDS["digits"]
-        else:
-            kind = KINDS["lower"]
-        code = kind | (crc32(end[-3:].encode()) % TAIL_BUCKETS) << TAIL_SHIFT
-        if end:
-            code |= SYMBOL * (end[-1] in _SYMBOLS and end.endswith(3 * end[-1]))
-            code |= SHOUT * end.endswith("!!") | SENTENCE * (end[-1] in ".,;:?")
-        if len(self) >= MEMO_WORDS:
-            self.clear()
-        self[word] = code
-        return code
-
-
-_CODES = _WordCodes()
-
-
-def word_codes(words: list[str]) -> np.ndarray:
-    """A code for each word; a word equal to the one before has the kind ``repeated``."""
-    n = len(words)
-    plain = np.fromiter(map(str.isalpha, words), bool, n) & np.fromiter(map(str.islower, words), bool, n)
-    codes = np.full(n, _LOWER, np.int64)
-    rest = np.flatnonzero(~plain)
-    codes[rest] = [_CODES[words[i]] for i in rest.tolist()]
-    same = np.fromiter(map(eq, words, words[1:]), bool, max(n - 1, 0))
-    codes[1:][same] = codes[1:][same] & ~7 | KINDS["repeated"]
-    return codes
-
+def word_code(word: str) -> int:
+    end = word[len(word.rstrip(string.punctuation)) :]
+    if len(end) == len(word) or not any(map(str.isalnum, word)):
+        kind = KINDS["punctuation"]
+    elif len(word) > 2 and word.isupper():
+        kind = KINDS["capitals"]
+    elif word[0].isupper():
+        kind = KINDS["title"]
+    elif any(map(str.isdigit, word)):
+        kind = KINDS["digits"]
+    else:
+        kind = KINDS["lower"]
+    code = kind | (crc32(end[-3:].encode()) % TAIL_BUCKETS) << TAIL_SHIFT
+    if end:
+        code |= SYMBOL * (end[-1] in _SYMBOLS and end.endswith(3 * end[-1]))
+        code |= SHOUT * end.endswith("!!") | SENTENCE * (end[-1] in ".,;:?")
+    return code
+
+
+class Vocabulary(dict):
+    """Numbers of words in the order they were met, with a code and a hash for each.
+
+    Hashes are those of words in lower case and without punctuation around.
+    """
 
-class _WordHashes(dict):
-    """A memo of hashes of words, lower case and without punctuation around; it is emptied when full."""
+    def __init__(self):
+        super().__init__()
+        self.chars, self.codes, self.hashes = 0, array("q"), array("q")
 
     def __missing__(self, word: str) -> int:
-        if len(self) >= MEMO_WORDS:
+        number = self[word] = len(self)
+        self.chars += len(word)
+        self.codes.append(word_code(word))
+        self.hashes.append(crc32((word.lower().strip(string.punctuation) or word).encode("utf-8", "replace")))
+        return number
+
+    def make_room(self) -> None:
+        """Forget all words if they are many; numbers given before mean nothing then."""
+        if len(self) > MEMO_WORDS or self.chars > MEMO_CHARS:
             self.clear()
-        code = self[word] = crc32((word.lower().strip(string.punctuation) or word).encode("utf-8", "replace"))
-        return code
-
-
-_HASHES = _WordHashes()
-
-
-def word_hashes(words: list[str]) -> np.ndarray:
-    return np.fromiter(map(_HASHES.__getitem__, words), np.int64, len(words))
-
-
-def repeated(values: np.ndarray, least: int = 20) -> float:
-    """The share of values that stand in the same window a second time or more; 0 for fewer than ``least``."""
-    n = len(values)
-    if n < least:
-        return 0.0
-    distinct = len(np.unique(values % (1 << 40) + (np.arange(n) // WINDOW_WORDS << 40)))
-    return 1 - distinct / n
-
-
-def statistics(text: str, words: list[str], codes: np.ndarray, hashes: np.ndarray) -> dict[str, float]:
-    """Shares of words, phrases and lines, between 0 and 1; there must be a word."""
-    n = len(words)
-    kinds = np.bincount(codes & 7, minlength=8)
-    symbol, shout, sentence = (int(np.count_nonzero(codes & flag)) for flag in (SYMBOL, SHOUT, SENTENCE))
-    bars = int(kinds[KINDS["punctuation"]])
-    distinct = sum(len(set(words[i : i + WINDOW_WORDS])) for i in range(0, n, WINDOW_WORDS))
-    lines = np.array([crc32(x.encode("utf-8", "replace")) for x in map(str.strip, text.splitlines()) if x], np.int64)
-    return {
-        "symbol_tails": symbol / n,
-        "capitals": kinds[KINDS["capitals"]] / n,
-        "exclamations": shout / n,
-        "separators": bars / n,
-        "repeats": kinds[KINDS["repeated"]] / n,
-        "few_distinct": 1 - distinct / n if n >= 20 else 0.0,
-        "shouted_or_marked": (symbol + max(shout, bars)) / n,
-        "sentence_ends": 1 - sentence / n,
-        "repeated_phrases": repeated(_phrases(hashes)),
-        "repeated_lines": repeated(lines, 3),
-    }
-
-
-def _phrases(hashes: np.ndarray) -> np.ndarray:
-    """A hash of every run of ``PHRASE_WORDS`` words."""
-    n = max(0, len(hashes) - PHRASE_WORDS + 1)
-    mixed = np.zeros(n, np.int64)
-    for i in range(PHRASE_WORDS):
-        mixed = (mixed * 1_000_003 + hashes[i : i + n]) % 1_099_511_627_689
-    return mixed
-
-
-def votes(text: str | None) -> bytes:
-    """A vote of each labeller; a text that is null or has no words gets none."""
-    words = (text or "").split()
-    if not words:
-        return bytes(len(LABELLERS))
-    stats = statistics(text, words, word_codes(words), word_hashes(words))
-    return bytes(
-        JUNK if junk is not None and stats[name] >= junk
-        else GOOD if good is not None and stats[name] <= good
-        else ABSTAIN
-        for name, junk, good in LABELLERS
-    )
+            self.chars, self.codes, self.hashes = 0, array("q"), array("q")
+
+
+_VOCABULARY = Vocabulary()
+
+
+class Portion:
+    """Some texts, each word coded once, with what votes and features need."""
+
+    def __init__(self, texts: list[str | None]):
+        vocabulary = _VOCABULARY
+        vocabulary.make_room()
+        numbers, lines = [], []
+        for text in texts:
+            words = (text or "").split()
+            numbers.append(np.fromiter(map(vocabulary.__getitem__, words), np.int64, len(words)))
+            stripped = [x for x in map(str.strip, text.splitlines()) if x] if words else []
+            lines.append(np.fromiter((crc32(x.encode("utf-8", "replace")) for x in stripped), np.int64, len(stripped)))
+        self.n = np.array([len(x) for x in numbers], np.int64)
+        self.doc = np.repeat(np.arange(len(texts)), self.n)
+        self.numbers = np.concatenate([*numbers, np.zeros(0, np.int64)])
+        self.codes = np.array(vocabulary.codes, np.int64)[self.numbers]
+        self.hashes = np.array(vocabulary.hashes, np.int64)[self.numbers]
+        # Neighbours in one text.
+        self.paired = self.doc[1:] == self.doc[:-1]
+        same = np.r_[False, (self.numbers[1:] == self.numbers[:-1]) & self.paired][: len(self.doc)]
+        self.codes[same] = self.codes[same] & ~7 | KINDS["repeated"]
+        self.statistics = self._statistics(lines)
+
+    def _per_text(self, mask: np.ndarray) -> np.ndarray:
+        return np.bincount(self.doc[mask], minlength=len(self.n))
+
+    def _statistics(self, lines: list[np.ndarray]) -> np.ndarray:
+        """Shares of words, phrases and lines, between 0 and 1, by text and labeller; 0 without words."""
+        n = np.maximum(self.n, 1)
+        kinds = self.codes & 7
+        symbol, shout, sentence = (self._per_text(self.codes & flag > 0) for flag in (SYMBOL, SHOUT, SENTENCE))
+        bars = self._per_text(kinds == KINDS["punctuation"])
+        start = np.cumsum(self.n) - self.n
+        position = np.arange(len(self.doc)) - start[self.doc]
+        phrases = np.zeros(max(0, len(self.hashes) - PHRASE_WORDS + 1), np.int64)
+        for i in range(PHRASE_WORDS):
+            phrases = (phrases * 1_000_003 + self.hashes[i : i + len(phrases)]) % 1_099_511_627_689
+        whole = np.flatnonzero(position[: len(phrases)] + PHRASE_WORDS <= self.n[self.doc[: len(phrases)]])
+        line_doc = np.repeat(np.arange(len(lines)), [len(x) for x in lines])
+        line_position = np.arange(len(line_doc)) - np.r_[0, np.cumsum([len(x) for x in lines])][line_doc]
+        found = {
+            "symbol_tails": symbol / n,
+            "capitals": self._per_text(kinds == KINDS["capitals"]) / n,
+            "exclamations": shout / n,
+            "separators": bars / n,
+            "repeats": self._per_text(kinds == KINDS["repeated"]) / n,
+            "few_distinct": repeated(self.numbers, self.doc, position, len(self.n), 20),
+            "shouted_or_marked": (symbol + np.maximum(shout, bars)) / n,
+            "sentence_ends": np.where(self.n, 1 - sentence / n, 0),
+            "repeated_phrases": repeated(phrases[whole], self.doc[whole], position[whole], len(self.n), 20),
+            "repeated_lines": repeated(np.concatenate([*lines, np.zeros(0, np.int64)]), line_doc, line_position, len(self.n), 3),
+        }
+        return np.stack([found[name] for name, *_ in LABELLERS], axis=1)
+
+    def votes(self) -> list[bytes]:
+        """A vote of each labeller; a text that is null or has no words gets none."""
+        table = np.full(self.statistics.shape, ABSTAIN, np.uint8)
+        for i, (_, junk, good) in enumerate(LABELLERS):
+            if good is not None:
+                table[self.statistics[:, i] <= good, i] = GOOD
+            if junk is not None:
+                table[self.statistics[:, i] >= junk, i] = JUNK
+        table[self.n == 0] = ABSTAIN
+        return [row.tobytes() for row in table]
+
+    def features(self) -> np.ndarray:
+        """Square roots of the shares of word shapes, words and pairs of either, by hash bucket; then statistics.
+
+        Each statistic stands twice, the second time as what is above the labeller's
+        limit for junk, or above a half. Texts of few words are drawn to zero, since
+        their shares say little.
+        """
+        out = np.zeros((len(self.n), HASH_BUCKETS))
+        at = 0
+        for of, buckets in ((self.codes, SHAPE_BUCKETS), (self.hashes % (1 << 31), WORD_BUCKETS)):
+            single = of * 2_654_435_761 % 4_294_967_291 % buckets + self.doc * buckets
+            pairs = (of[:-1] * 1_000_003 + of[1:] * 8_191 + 1) % 2_147_483_647 % buckets + self.doc[:-1] * buckets
+            counts = np.bincount(np.concatenate([single, pairs[self.paired]]), minlength=len(self.n) * buckets)
+            out[:, at : at + buckets] = np.sqrt(counts.reshape(len(self.n), buckets) / (self.n + SHORT_WORDS)[:, None])
+            at += buckets
+        limits = np.array([0.5 if junk is None else junk for _, junk, _ in LABELLERS])
+        above = np.maximum(0, self.statistics - limits) / (1 - limits)
+        out[:, at:] = np.hstack([self.statistics, above]) * (self.n / (self.n + SHORT_WORDS))[:, None]
+        return out
+
+
+def repeated(values: np.ndarray, doc: np.ndarray, position: np.ndarray, docs: int, least: int) -> np.ndarray:
+    """By text, the share of values that stand in the same window a second time or more.
+
+    Texts with fewer than ``least`` values have 0. Texts are in order.
+    """
+    n = np.bincount(doc, minlength=docs)
+    windows = -(-n // WINDOW_WORDS)
+    window = (np.cumsum(windows) - windows)[doc] + position // WINDOW_WORDS
+    key = np.sort(window * (1 << 40) + values % (1 << 40))
+    first = key[np.r_[True, key[1:] != key[:-1]][: len(key)]] >> 40
+    distinct = np.bincount(np.repeat(np.arange(docs), windows)[first], minlength=docs)
+    return np.where(n >= least, 1 - distinct / np.maximum(n, 1), 0.0)
 
 
-def hashed_features(text: str | None) -> np.ndarray:
-    """Square roots of the shares of word shapes, words and pairs of either, by hash bucket; then statistics.
-
-    Each statistic stands twice, the second time as what is above the labeller's limit
-    for junk, or above a half. Texts of few words are drawn to zero, since their shares say little.
-    """
-    words = (text or "").split()
-    n = len(words)
-    if not n:
-        return np.zeros(HASH_BUCKETS)
-    codes, hashes = word_codes(words), word_hashes(words)
-    counts = [
-        np.bincount(
-            np.concatenate([
-                of * 2_654_435_761 % 4_294_967_291,
-                (of[:-1] * 1_000_003 + of[1:] * 8_191 + 1) % 2_147_483_647,
-            ]) % buckets,
-            minlength=buckets,
-        )
-        for of, buckets in ((codes, SHAPE_BUCKETS), (hashes % (1 << 31), WORD_BUCKETS))
-    ]
-    stats = statistics(text, words, codes, hashes)
-    plain = np.array([stats[name] for name, *_ in LABELLERS])
-    limits = np.array([0.5 if junk is None else junk for _, junk, _ in LABELLERS])
-    values = np.concatenate([plain, np.maximum(0, plain - limits) / (1 - limits)])
-    return np.concatenate([np.sqrt(np.concatenate(counts) / (n + SHORT_WORDS)), values * n / (n + SHORT_WORDS)])
+def portions(texts: list[str | None]) -> Iterator[tuple[slice, Portion]]:
+    """The texts in portions of bounded size, each at least one text."""
+    start = chars = 0
+    for i, text in enumerate(texts):
+        chars += len(text or "")
+        if chars >= PORTION_CHARS or i + 1 - start >= PORTION_TEXTS or i + 1 == len(texts):
+            yield slice(start, i + 1), Portion(texts[start : i + 1])
+            start, chars = i + 1, 0
 
 
 def fit_labellers(
@@ -248,9 +268,14 @@ class Scorer:
     weights: np.ndarray
     bias: float
 
+    def scores(self, texts: list[str | None]) -> np.ndarray:
+        z = np.zeros(len(texts))
+        for at, portion in portions(texts):
+            z[at] = portion.features() @ self.weights + self.bias
+        return 1 / (1 + np.exp(-np.clip(z, -60, 60)))
+
     def score(self, text: str | None) -> float:
-        z = hashed_features(text) @ self.weights + self.bias
-        return float(1 / (1 + np.exp(-np.clip(z, -60, 60))))
+        return float(self.scores([text])[0])
 
 
 def fit_scorer(rows: list[tuple[list[int], list[float], float]]) -> Scorer:
@@ -313,7 +338,8 @@ def fit_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cast = pa.array((votes(t.as_py()) for t in batch.column(1)), pa.binary())
+            cast = [v for _, portion in portions(batch.column(1).to_pylist()) for v in portion.votes()]
+            cast = pa.array(cast, pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0), cast], names=["h", "votes"])
 
     hashed = docs.select(F.xxhash64(id_col, text_col).alias("h"), F.col(text_col).alias("text"))
@@ -329,19 +355,19 @@ def fit_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            used, shares = [], []
-            for text in texts:
-                vector = hashed_features(text)
-                at = np.flatnonzero(vector)
-                used.append(at.astype(np.uint16).tobytes())
-                shares.append(vector[at].astype(np.float32).tobytes())
+            used, shares, labels = [], [], []
+            for _, portion in portions(batch.column(1).to_pylist()):
+                for vector, vote in zip(portion.features(), portion.votes()):
+                    at = np.flatnonzero(vector)
+                    used.append(at.astype(np.uint16).tobytes())
+                    shares.append(vector[at].astype(np.float32).tobytes())
+                    labels.append(posterior[vote])
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
                     pa.array(used, pa.binary()),
                     pa.array(shares, pa.binary()),
-                    pa.array([posterior[votes(t)] for t in texts], pa.float64()),
+                    pa.array(labels, pa.float64()),
                 ],
                 names=["h", "buckets", "shares", "good"],
             )
@@ -359,7 +385,7 @@ def score_quality(
 ) -> DataFrame:
     """``docs`` with the scorer's probability that a text is good. Row by row, without a shuffle."""
     scorer = model.scorer
-    score = F.pandas_udf(lambda texts: texts.map(scorer.score).astype("float64"), "double")
+    score = F.pandas_udf(lambda texts: pd.Series(scorer.scores(texts.tolist())), "double")
     return docs.withColumn(score_col, score(F.col(text_col)))
 
 
