@@ -49,6 +49,91 @@ FAMILIES = [
     ("odbl", "database", ["open database"], ["1"]),
     ("ofl", "sil", ["sil open font", "sil ofl"], ["1", "1 1"]),
 ]
+# Fixed wording of licences and notices: label, priority, rare words of it, and words;
+# (a|b) is either word, a word with ? may be missing.
+SIGNATURES = [
+    ("mit", 4, "obtaining a copy", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"),
+    ("mit", 3, "substantial portions", "this permission notice shall be included in all copies or substantial portions of the software"),
+    ("mit", 2, "noninfringement", "the warranties of merchantability fitness for a particular purpose and noninfringement"),
+    ("x11", 3, "except as contained", "except as contained in this notice the (name|names) of"),
+    ("bsl-1", 4, "person or organization", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software"),
+    ("isc", 4, "without fee", "permission to use copy modify and or? distribute this software for any purpose with or without fee is hereby granted"),
+    ("bsd-0-clause", 4, "without fee", "permission to use copy modify and or? distribute this software for any purpose with or without fee is hereby granted the software is provided as is"),
+    ("postgresql", 4, "without fee", "for any purpose without fee and without a written agreement is hereby granted"),
+    ("hpnd", 3, "its documentation", "permission to use copy modify and or? distribute this software and its documentation for any purpose"),
+    ("bsd", 3, "redistribution", "redistribution and use in source and binary forms with or without modification are permitted"),
+    ("bsd", 2, "redistributions", "redistributions (of|in) (source|binary) (code|form) must (retain|reproduce) the above copyright notice this list of conditions"),
+    ("bsd-3-clause", 4, "endorse or promote", "may be used to endorse or promote products derived from this software without specific prior written permission"),
+    ("bsd-4-clause", 4, "acknowledgement", "all advertising materials mentioning features or use of this software must display the following acknowledgement"),
+    ("apache-2", 3, "in compliance with", "you may not use this file except in compliance with the license"),
+    ("apache-2", 4, "an as is basis", "software distributed under the license is distributed on an as is basis"),
+    ("apache-2", 4, "apache", "www? apache org licenses license 2 0"),
+    ("apache-2", 3, "use reproduction", "terms and conditions for use reproduction and distribution"),
+    ("gpl", 3, "redistribute it", "this (program|file|software) is free software you can redistribute it and or? modify it under the terms of the gnu general public license"),
+    ("gpl-2-or-later", 4, "any later version", "gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version"),
+    ("gpl-3-or-later", 4, "any later version", "gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version"),
+    ("lgpl", 3, "redistribute it", "this (library|program|software) is free software you can redistribute it and or? modify it under the terms of the gnu (lesser|library) general public license"),
+    ("lgpl-2.1-or-later", 4, "any later version", "gnu lesser general public license as published by the free software foundation either version 2 1 of the license or at your option any later version"),
+    ("lgpl-3-or-later", 4, "any later version", "gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version"),
+    ("agpl", 3, "redistribute it", "this program is free software you can redistribute it and or? modify it under the terms of the gnu affero general public license"),
+    ("gpl", 2, "gnu", "see the gnu general public license for more details"),
+    ("lgpl", 2, "gnu", "see the gnu (lesser|library) general public license for more details"),
+    ("agpl", 2, "gnu", "see the gnu affero general public license for more details"),
+    ("gpl-3", 4, "copyleft", "the gnu general public license is a free copyleft license for software and other kinds of works"),
+    ("agpl-3", 4, "copyleft", "the gnu affero general public license is a free copyleft license for software and other kinds of works"),
+    ("gpl-2", 4, "your freedom", "the licenses for most software are designed to take away your freedom to share and change it"),
+    ("mpl-2", 4, "mozilla", "this source code form is subject to the terms of the mozilla public license v 2 0"),
+    ("mpl-2", 4, "mpl", "if a copy of the mpl was not distributed with this file you can obtain one at"),
+    ("mpl-1.1", 4, "mozilla", "the contents of this file are subject to the mozilla public license version 1 1"),
+    ("epl", 4, "eclipse", "this program and the accompanying materials are made available under the terms of the eclipse (public|distribution) license"),
+    ("epl", 4, "eclipse", "the accompanying program is provided under the terms of this eclipse public license"),
+    ("zlib", 4, "damages arising", "in no event will the authors be held liable for any damages arising from the use of this software"),
+    ("zlib", 4, "misrepresented", "the origin of this software must not be misrepresented"),
+    ("zlib", 3, "altered source", "altered source versions must be plainly marked as such"),
+    ("unlicense", 4, "unencumbered", "this is free and unencumbered software released into the public domain"),
+    ("wtfpl", 4, "fuck", "do what the fuck you want to"),
+    ("cc-zero", 4, "this deed", "the person who associated a work with this deed has dedicated the work to the public domain"),
+    ("cc-zero", 3, "has waived all", "has waived all copyright and related or neighboring rights"),
+    ("cc", 2, "creative", "this work is licensed under a creative commons"),
+    ("public-domain", 2, "public domain", "(released|placed|dedicated) (in|into|to) the public domain"),
+    ("public-domain", 2, "public domain", "(is|are) in the public domain"),
+    ("artistic-or-gpl", 4, "perl", "under the same terms as perl itself"),
+    ("artistic-or-gpl", 4, "perl", "the same terms as the perl 5 programming language system itself"),
+    ("cddl", 4, "common development", "subject to the terms of the common development and distribution license"),
+    ("eupl-1.2", 4, "eupl", "licensed under the eupl version 1 2 or as soon they will be approved by the european commission"),
+    ("psf-2", 4, "psf", "psf is making python available to licensee on an as is basis"),
+    ("openssl", 4, "openssl", "software developed by the openssl project for use in the openssl toolkit"),
+    ("ofl-1.1", 4, "sil", "this font software is licensed under the sil open font license version 1 1"),
+    ("ofl", 4, "ofl", "the goals of the open font license ofl are to stimulate worldwide development"),
+    ("odbl", 4, "database", "made available under the open database license"),
+    ("json", 4, "not evil", "the software shall be used for good not evil"),
+    ("beerware", 4, "this stuff", "you can do whatever you want with this stuff"),
+    ("ms-pl", 3, "microsoft public", "microsoft public license"),
+    ("ms-rl", 3, "microsoft reciprocal", "microsoft reciprocal license"),
+    ("ncsa", 3, "illinois", "university of illinois ncsa open source license"),
+    ("afl", 3, "academic free", "academic free license"),
+    ("osl", 3, "open software", "open software license"),
+    ("ipl", 3, "ibm", "ibm public license"),
+    ("cpl", 3, "common public", "common public license"),
+    ("apsl", 3, "apple public", "apple public source license"),
+    ("sissl", 3, "sun industry", "sun industry standards source license"),
+    ("qpl", 3, "q public", "q public license"),
+    ("sleepycat", 3, "sleepycat", "sleepycat (license|public)"),
+    ("php", 3, "php", "php license version 3 01?"),
+    ("zpl", 3, "zope public", "zope public license"),
+    ("w3c", 3, "w3c", "w3c software notice and license"),
+    ("sspl", 3, "server side public", "server side public license"),
+    ("busl-1.1", 3, "business source", "business source license 1 1"),
+    ("elastic-2", 3, "elastic license", "elastic license 2 0"),
+    ("commons-clause", 3, "commons clause", "commons clause license condition"),
+    ("polyform-nc", 3, "polyform", "polyform noncommercial license"),
+    ("mulan", 3, "mulan", "mulan permissive software license"),
+    ("ecl-2", 3, "educational community", "educational community license version 2 0"),
+    ("cecill", 3, "cecill", "cecill free software license agreement"),
+    ("blueoak-1", 3, "blue oak", "blue oak model license"),
+    ("proprietary", 2, "proprietary and confidential", "proprietary and confidential"),
+    ("proprietary", 2, "unauthorized copying", "unauthorized copying of this file via any medium is strictly prohibited"),
+]
 CC_TERMS = ["by", "by sa", "by nc", "by nd", "by nc sa", "by nc nd", "zero"]
 CC_VERSIONS = ["", "1", "2", "2 5", "3", "4"]
 CC_WORDS = {"by": "attribution", "nc": "non ?commercial", "sa": "share ?alike", "nd": "no ?deriv[a-z]*", "zero": "zero"}
@@ -65,7 +150,7 @@ CONFIDENCE = [0.4, 0.6, 0.85, 1.0]
 
 @dataclass(frozen=True)
 class SignatureRule:
-    """``regex`` over spaced words, tried on texts that have the keyword."""
+    """``regex`` over spaced words, tried on texts that have the keyword, one word or some in a row."""
 
     label: str
     priority: int
@@ -78,6 +163,15 @@ def _spaced(words: str) -> str:
     return "".join(f" {w} " for w in words.split())
 
 
+def _signature(words: str) -> str:
+    """The regular expression of an entry of ``SIGNATURES``."""
+    parts = []
+    for word in words.split():
+        said = f" {word.rstrip('?').replace('(', '(?:')} "
+        parts.append(f"(?:{said})?" if word.endswith("?") else said)
+    return "".join(parts)
+
+
 def _version(version: str) -> str:
     """``2``, ``2.0``, ``version 2``, ``v2`` and the like."""
     zero = "" if " " in version else "(?: 0 )?"
@@ -85,11 +179,12 @@ def _version(version: str) -> str:
 
 
 def signature_rules() -> list[SignatureRule]:
-    """The ordered rules: for each family, name and version, the forms a mention takes."""
+    """The ordered rules: fixed wording, then for each family, name and version the forms of a mention."""
     licence = " licen[sc]e "
     verb = "(?: licensed | released | distributed | published | available | covered | provided )"
     under = "(?: under (?: the )?(?: terms  of (?: the )?)?)"
     rules = [SignatureRule(label, 4, label.split("-")[0], _spaced(phrase)) for phrase, label in PHRASES]
+    rules += [SignatureRule(label, priority, word, _signature(words)) for label, priority, word, words in SIGNATURES]
     for family, keyword, names, versions in FAMILIES:
         for name in names:
             said = _spaced(name)
@@ -195,7 +290,7 @@ def scan_licenses(docs: DataFrame, text_col: str = "text") -> DataFrame:
     rules = signature_rules()
     groups = rule_groups(rules)
     keywords = sorted(keyword for keyword, _ in groups)
-    gate = f"(?i)(?:^|{GAP})(?:{'|'.join(keywords)})(?:$|{GAP})"
+    gate = f"(?i)(?:^|{GAP})(?:{'|'.join(k.replace(' ', f'{GAP}+') for k in keywords)})(?:$|{GAP})"
     text = F.coalesce(F.col(text_col), F.lit(""))
     other = [c for c in docs.columns if c not in ("n_words", "base", "hits")]
     gated = docs.select(
@@ -204,7 +299,7 @@ def scan_licenses(docs: DataFrame, text_col: str = "text") -> DataFrame:
         F.when(text.rlike(gate), spaced_words(text)).alias("spaced__"),
     )
     tried = "array_compact(array(" + ", ".join(
-        f"if(contains(spaced__, ' {keyword} ') AND spaced__ RLIKE {_quoted(regex)}, '{keyword}', NULL)"
+        f"if(contains(spaced__, '{_spaced(keyword)}') AND spaced__ RLIKE {_quoted(regex)}, '{keyword}', NULL)"
         for keyword, regex in groups
     ) + "))"
     table = [

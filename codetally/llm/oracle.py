@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from codetally.llm import license_rules
-
 # Shingles are sets of five consecutive words; the SQL looks up those of the items.
 OP9 = r"""
 WITH words AS (
@@ -154,16 +152,195 @@ def _text(value: str) -> str:
     return "'" + value.replace("'", "''") + "'"
 
 
+# The rules once more, for the SQL alone. Words stand for themselves with a space on
+# both sides; ~ is a licence, @v a version, (a|b) either word, a? a word that may lack.
+OP4_FIXED = """
+mit;4;obtaining a copy;permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files
+mit;3;substantial portions;this permission notice shall be included in all copies or substantial portions of the software
+mit;2;noninfringement;the warranties of merchantability fitness for a particular purpose and noninfringement
+x11;3;except as contained;except as contained in this notice the (name|names) of
+bsl-1;4;person or organization;permission is hereby granted free of charge to any person or organization obtaining a copy of the software
+isc;4;without fee;permission to use copy modify and or? distribute this software for any purpose with or without fee is hereby granted
+bsd-0-clause;4;without fee;permission to use copy modify and or? distribute this software for any purpose with or without fee is hereby granted the software is provided as is
+postgresql;4;without fee;for any purpose without fee and without a written agreement is hereby granted
+hpnd;3;its documentation;permission to use copy modify and or? distribute this software and its documentation for any purpose
+bsd;3;redistribution;redistribution and use in source and binary forms with or without modification are permitted
+bsd;2;redistributions;redistributions (of|in) (source|binary) (code|form) must (retain|reproduce) the above copyright notice this list of conditions
+bsd-3-clause;4;endorse or promote;may be used to endorse or promote products derived from this software without specific prior written permission
+bsd-4-clause;4;acknowledgement;all advertising materials mentioning features or use of this software must display the following acknowledgement
+apache-2;3;in compliance with;you may not use this file except in compliance with the license
+apache-2;4;an as is basis;software distributed under the license is distributed on an as is basis
+apache-2;4;apache;www? apache org licenses license 2 0
+apache-2;3;use reproduction;terms and conditions for use reproduction and distribution
+gpl;3;redistribute it;this (program|file|software) is free software you can redistribute it and or? modify it under the terms of the gnu general public license
+gpl-2-or-later;4;any later version;gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version
+gpl-3-or-later;4;any later version;gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version
+lgpl;3;redistribute it;this (library|program|software) is free software you can redistribute it and or? modify it under the terms of the gnu (lesser|library) general public license
+lgpl-2.1-or-later;4;any later version;gnu lesser general public license as published by the free software foundation either version 2 1 of the license or at your option any later version
+lgpl-3-or-later;4;any later version;gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version
+agpl;3;redistribute it;this program is free software you can redistribute it and or? modify it under the terms of the gnu affero general public license
+gpl;2;gnu;see the gnu general public license for more details
+lgpl;2;gnu;see the gnu (lesser|library) general public license for more details
+agpl;2;gnu;see the gnu affero general public license for more details
+gpl-3;4;copyleft;the gnu general public license is a free copyleft license for software and other kinds of works
+agpl-3;4;copyleft;the gnu affero general public license is a free copyleft license for software and other kinds of works
+gpl-2;4;your freedom;the licenses for most software are designed to take away your freedom to share and change it
+mpl-2;4;mozilla;this source code form is subject to the terms of the mozilla public license v 2 0
+mpl-2;4;mpl;if a copy of the mpl was not distributed with this file you can obtain one at
+mpl-1.1;4;mozilla;the contents of this file are subject to the mozilla public license version 1 1
+epl;4;eclipse;this program and the accompanying materials are made available under the terms of the eclipse (public|distribution) license
+epl;4;eclipse;the accompanying program is provided under the terms of this eclipse public license
+zlib;4;damages arising;in no event will the authors be held liable for any damages arising from the use of this software
+zlib;4;misrepresented;the origin of this software must not be misrepresented
+zlib;3;altered source;altered source versions must be plainly marked as such
+unlicense;4;unencumbered;this is free and unencumbered software released into the public domain
+wtfpl;4;fuck;do what the fuck you want to
+cc-zero;4;this deed;the person who associated a work with this deed has dedicated the work to the public domain
+cc-zero;3;has waived all;has waived all copyright and related or neighboring rights
+cc;2;creative;this work is licensed under a creative commons
+public-domain;2;public domain;(released|placed|dedicated) (in|into|to) the public domain
+public-domain;2;public domain;(is|are) in the public domain
+artistic-or-gpl;4;perl;under the same terms as perl itself
+artistic-or-gpl;4;perl;the same terms as the perl 5 programming language system itself
+cddl;4;common development;subject to the terms of the common development and distribution license
+eupl-1.2;4;eupl;licensed under the eupl version 1 2 or as soon they will be approved by the european commission
+psf-2;4;psf;psf is making python available to licensee on an as is basis
+openssl;4;openssl;software developed by the openssl project for use in the openssl toolkit
+ofl-1.1;4;sil;this font software is licensed under the sil open font license version 1 1
+ofl;4;ofl;the goals of the open font license ofl are to stimulate worldwide development
+odbl;4;database;made available under the open database license
+json;4;not evil;the software shall be used for good not evil
+beerware;4;this stuff;you can do whatever you want with this stuff
+ms-pl;3;microsoft public;microsoft public license
+ms-rl;3;microsoft reciprocal;microsoft reciprocal license
+ncsa;3;illinois;university of illinois ncsa open source license
+afl;3;academic free;academic free license
+osl;3;open software;open software license
+ipl;3;ibm;ibm public license
+cpl;3;common public;common public license
+apsl;3;apple public;apple public source license
+sissl;3;sun industry;sun industry standards source license
+qpl;3;q public;q public license
+sleepycat;3;sleepycat;sleepycat (license|public)
+php;3;php;php license version 3 01?
+zpl;3;zope public;zope public license
+w3c;3;w3c;w3c software notice and license
+sspl;3;server side public;server side public license
+busl-1.1;3;business source;business source license 1 1
+elastic-2;3;elastic license;elastic license 2 0
+commons-clause;3;commons clause;commons clause license condition
+polyform-nc;3;polyform;polyform noncommercial license
+mulan;3;mulan;mulan permissive software license
+ecl-2;3;educational community;educational community license version 2 0
+cecill;3;cecill;cecill free software license agreement
+blueoak-1;3;blue oak;blue oak model license
+proprietary;2;proprietary and confidential;proprietary and confidential
+proprietary;2;unauthorized copying;unauthorized copying of this file via any medium is strictly prohibited
+"""
+OP4_FAMILIES = """
+mit;mit;mit,mit x11,mit expat;
+apache;apache;apache,apache software,asl apache;1,1 1,2
+gpl;gpl;gpl,gnu gpl;1,2,3
+gpl;gnu;gnu general public,gnu gpl general public;1,2,3
+lgpl;lgpl;lgpl,gnu lgpl;2,2 1,3
+lgpl;gnu;gnu lesser general public,gnu library general public;2,2 1,3
+agpl;agpl;agpl,gnu agpl;1,3
+agpl;affero;gnu affero general public,affero general public;1,3
+fdl;gnu;gnu free documentation,gnu fdl;1 1,1 2,1 3
+mpl;mpl;mpl;1,1 1,2
+mpl;mozilla;mozilla public;1,1 1,2
+epl;eclipse;eclipse public,eclipse distribution;1,2
+eupl;eupl;eupl,european union public;1 1,1 2
+cddl;cddl;cddl,common development and distribution;1,1 1
+artistic;artistic;artistic,perl artistic;1,2
+bsd;bsd;bsd,berkeley bsd;2 clause,3 clause,4 clause,0 clause
+bsl;boost;boost software,boost;1
+isc;isc;isc,isc style;
+zlib;zlib;zlib,zlib libpng;
+unlicense;unlicense;unlicense,the unlicense;
+wtfpl;wtfpl;wtfpl;2
+psf;python;python software foundation,python;2
+openssl;openssl;openssl;
+odbl;database;open database;1
+ofl;sil;sil open font,sil ofl;1,1 1
+"""
+OP4_CREATIVE = {
+    "by": "attribution", "by sa": "attribution share_alike", "by nc": "attribution non_commercial",
+    "by nd": "attribution no_derivs", "by nc sa": "attribution non_commercial share_alike",
+    "by nc nd": "attribution non_commercial no_derivs", "zero": "zero",
+}
+OP4_SCORES = {1: 0.4, 2: 0.6, 3: 0.85, 4: 1.0}
+
+
+def _op4_regex(pattern: str) -> str:
+    """A pattern as a regular expression of the SQL engine over spaced words."""
+    named = {
+        "~": "( licen[cs]e )", "~?": "( licen[cs]e )?", "share_alike": "( share( {2})?alike )",
+        "non_commercial": "( non( {2})?commercial )", "no_derivs": "( no( {2})?deriv[a-z]* )",
+    }
+    out = ""
+    for word in pattern.split():
+        if word in named:
+            out += named[word]
+        elif word.endswith("?"):
+            out += f"( {word[:-1]} )?"
+        else:
+            out += f" {word} "
+    return out
+
+
+def _op4_version(version: str) -> str:
+    spaced = _op4_regex(version)
+    tail = "" if " " in version else "( 0 )?"
+    return f"((( version )|( v )|( ver ))?{spaced}|{_op4_regex('v' + version)}){tail}"
+
+
+def _op4_rules() -> list[tuple[str, int, str, str]]:
+    """Label, priority, keyword and regular expression, in order."""
+    rules = [
+        ("mit", 4, "mit", _op4_regex("under the mit license")),
+        ("apache-2", 4, "apache", _op4_regex("apache license version 2")),
+        ("cc-by-nc", 4, "cc", _op4_regex("cc by nc")),
+    ]
+    for line in OP4_FIXED.strip().splitlines():
+        label, priority, keyword, words = line.split(";")
+        rules.append((label, int(priority), keyword, _op4_regex(words)))
+    granted = _op4_regex("(licensed|released|distributed|published|available|covered|provided) under the?")
+    granted += f"({_op4_regex('terms of the?')})?"
+    for line in OP4_FAMILIES.strip().splitlines():
+        family, keyword, names, versions = line.split(";")
+        for name in names.split(","):
+            for version in filter(None, versions.split(",")):
+                label, number = f"{family}-{version.replace(' ', '.')}", _op4_version(version)
+                whole = f"{_op4_regex(name + ' ~?')}{number}"
+                if "clause" in version:
+                    label, number = f"bsd-{version[0]}-clause", _op4_regex(version)
+                    whole = f"({_op4_regex(name)}{number}|{number}{_op4_regex(name)}){_op4_regex('~?')}"
+                rules.append((label, 4, keyword, granted + whole))
+                rules.append((label, 4, keyword, _op4_regex(f"spdx license identifier {name}") + number))
+                rules.append((label, 3, keyword, whole))
+            rules.append((family, 3, keyword, granted + _op4_regex(f"{name} ~?")))
+            rules.append((family, 2, keyword, _op4_regex(f"{name} ~")))
+            rules.append((family, 1, keyword, _op4_regex(f"~ (is|type)? the? {name}")))
+    for terms, said in OP4_CREATIVE.items():
+        for version in ("", "1", "2", "2 5", "3", "4"):
+            label = "-".join(["cc", *terms.split(), *([version.replace(" ", ".")] if version else [])])
+            number = _op4_version(version) if version else ""
+            rules.append((label, 3 if version else 2, "cc", _op4_regex(f"cc {terms}") + number))
+            rules.append((label, 4 if version else 3, "creative", _op4_regex(f"creative commons {said} ~?") + number))
+    return rules
+
+
 def _op4() -> str:
     rules = ",\n  ".join(
-        f"({i}, {_text(r.label)}, {r.priority}, {_text(f' {r.keyword} ')}, {_text(r.regex)})"
-        for i, r in enumerate(license_rules.signature_rules())
+        f"({i}, {_text(label)}, {priority}, {_text(_op4_regex(keyword))}, {_text(regex)})"
+        for i, (label, priority, keyword, regex) in enumerate(_op4_rules())
     )
     phrases = ", ".join(
-        f"({_text(label)}, {_text(''.join(f' {w} ' for w in phrase.split()))})"
-        for phrase, label in license_rules.PHRASES
+        f"({_text(label)}, {_text(_op4_regex(phrase))})"
+        for phrase, label in [("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc")]
     )
-    confidence = ", ".join(map(str, license_rules.CONFIDENCE))
+    confidence = ", ".join(str(OP4_SCORES[i]) for i in sorted(OP4_SCORES))
     words = "(length({0}) - length(replace({0}, ' ', ''))) // 2"
     starts = (
         "unnest(list_transform(range(1, len(hits) + 1), lambda j: struct_pack("

@@ -217,7 +217,7 @@ def brute_hits(text):
     spaced = "".join(f" {w} " for w in words)
     found = []
     for i, r in enumerate(license_rules.signature_rules()):
-        if r.keyword in words:
+        if "".join(f" {w} " for w in r.keyword.split()) in spaced:
             for m in re.finditer(r.regex, spaced):
                 a = spaced[: m.start()].count(" ") // 2
                 found.append((a, a + m[0].count(" ") // 2, r.priority, i, r.label))
