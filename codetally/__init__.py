@@ -6,6 +6,7 @@ from codetally.operators.languages import (
     eligible_files,
     ignore_fragments,
 )
+from codetally.operators.large_rows import cut_large_rows
 from codetally.operators.licenses import classify_license, license_files, license_scores
 from codetally.operators.stats import (
     classified_lines,
@@ -35,6 +36,7 @@ __all__ = [
     "classify_license",
     "combine_stats",
     "count_source_files",
+    "cut_large_rows",
     "detect_language",
     "eligible_files",
     "file_stats",

@@ -337,6 +337,10 @@ ORACLE: dict[str, str] = {
         CAST(sum(blank) AS BIGINT) AS blank, CAST(sum(single + multi) AS BIGINT) AS comment,
         CAST(sum(code) AS BIGINT) AS code
       FROM file_stats GROUP BY repo, language) USING (repo)""",
+    "large_rows_file_stats": with_clause(*stats_ctes(SOURCE_FILES))
+    + "SELECT * EXCLUDE (ordinal) FROM file_stats",
+    "large_rows_lines": with_clause(KNOWN, SOURCE_FILES, LOCATED, eligible(DEFAULTS), LINES)
+    + "SELECT repo, path, language, is_other, pos, kind FROM lines",
     "files_table_file_stats": with_clause(*stats_ctes(SOURCE_FILES))
     + "SELECT * EXCLUDE (ordinal) FROM file_stats",
     "files_table_stats": stats_query(by="repo, "),

@@ -214,6 +214,15 @@ def source_tree_license_report(spark, sf_dir):
     return ct.license_report(located, root=F.col("repo"), by=["repo"])
 
 
+def large_rows_file_stats(spark, sf_dir):
+    """Statistics of files whose contents are cut into rows of about a thousand bytes."""
+    return ct.file_stats(ct.cut_large_rows(t.source_files(spark, sf_dir), row_bytes=1_000))
+
+
+def large_rows_lines(spark, sf_dir):
+    return ct.classified_lines(ct.cut_large_rows(t.source_files(spark, sf_dir), row_bytes=1_000))
+
+
 def files_table_file_stats(spark, sf_dir):
     location = t.new_folder(spark, "table")
     ct.write_files_table(t.source_files(spark, sf_dir), location)
@@ -271,6 +280,8 @@ QUERIES: dict[str, Query] = {
         source_tree_count,
         source_tree_eligible,
         source_tree_root_licenses,
+        large_rows_file_stats,
+        large_rows_lines,
         files_table_stats,
         files_table_file_stats,
         files_table_license_report,
