@@ -7,7 +7,12 @@ from codetally.operators.languages import (
     ignore_fragments,
 )
 from codetally.operators.large_rows import cut_large_rows
-from codetally.operators.licenses import classify_license, license_files, license_scores
+from codetally.operators.licenses import (
+    classify_license,
+    license_files,
+    license_scores,
+    license_scores_of,
+)
 from codetally.operators.stats import (
     classified_lines,
     combine_stats,
@@ -45,6 +50,7 @@ __all__ = [
     "license_files",
     "license_report",
     "license_scores",
+    "license_scores_of",
     "list_eligible_trees",
     "list_source_tree",
     "list_source_trees",

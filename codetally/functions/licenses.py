@@ -43,3 +43,9 @@ def match_count(normalised: str, phrases: list[str]) -> Column:
 def score(matches: Column, total: int) -> Column:
     share = matches.cast("double") / F.lit(float(total))
     return F.least(F.lit(1.0), share * F.lit(MATCH_WEIGHT))
+
+
+def score_of(matches: str, total: str) -> Column:
+    """:func:`score` of two columns."""
+    share = F.col(matches).cast("double") / F.col(total).cast("double")
+    return F.least(F.lit(1.0), share * F.lit(MATCH_WEIGHT))

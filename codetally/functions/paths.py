@@ -8,8 +8,12 @@ from operator import or_
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from codetally.functions.matching import found_numbers
 from codetally.sources.dimensions import LICENSE_FILENAMES
 
+# More fragments than this are looked for in one pass, by an automaton.
+MAX_LITERALS = 64
+
 
 def basename(path: Column) -> Column:
     return F.substring_index(path, "/", -1)
@@ -48,9 +52,14 @@ def is_ignored(path: Column, fragments: list[str]) -> Column:
     contains another one adds nothing and is left out.
     """
     clean = normalised(path)
+    fragments = list(dict.fromkeys(fragments))
+    if "" in fragments:
+        return clean.isNotNull()
+    if len(fragments) > MAX_LITERALS:
+        return F.size(found_numbers(clean, fragments)) > 0
     needed = [
         fragment
-        for fragment in dict.fromkeys(fragments)
+        for fragment in fragments
         if not any(other != fragment and other in fragment for other in fragments)
     ]
     return reduce(or_, [clean.contains(fragment) for fragment in needed], F.lit(False))

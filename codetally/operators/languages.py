@@ -5,10 +5,12 @@ from __future__ import annotations
 from functools import reduce
 from operator import or_
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codetally.functions import paths
+from codetally.functions import matching, paths
+from codetally.functions.matching import containing
 from codetally.sources import dimensions as dims
 from codetally.sources.files_table import FIRST_LINE, first_rows
 
@@ -53,6 +55,33 @@ def ignored_language(aliases: list[str]) -> Column:
     return reduce(or_, map(named, aliases), F.lit(False))
 
 
+def ignored_languages(spark: SparkSession, aliases: list[str] | DataFrame) -> DataFrame:
+    """``language, is_other`` of the languages that a list or table of aliases names."""
+    if not isinstance(aliases, DataFrame):
+        aliases = spark.createDataFrame(pa.table({"alias": pa.array(aliases, pa.string())}))
+    given = aliases.select(F.col(aliases.columns[0]).alias("alias")).where("alias IS NOT NULL").distinct()
+    known = spark.createDataFrame(pa.table({
+        "alias": list(dims.LANGUAGE_ALIASES), "known": list(dims.LANGUAGE_ALIASES.values()),
+    }))
+    return given.join(F.broadcast(known), "alias", "left").select(
+        F.coalesce("known", "alias").alias("language"), F.col("known").isNull().alias("is_other")
+    )
+
+
+def without_ignored_paths(files: DataFrame, fragments: DataFrame) -> DataFrame:
+    """``files`` whose normalised path has none of the fragments of a table (first column).
+
+    Candidates meet by an equi-join on pieces of paths; the paths found are anti-joined.
+    """
+    column = fragments.columns[0]
+    name = "path__normalised"
+    marked = files.withColumn(name, paths.normalised(F.col("path")))
+    hits = containing(marked, name, fragments, column).select(F.col("text").alias(name)).distinct()
+    nothing = fragments.where(F.col(column) == "").limit(1).count() > 0
+    kept = marked.where(F.col(name).isNull()) if nothing else marked.join(hits, name, "left_anti")
+    return kept.select(*files.columns)
+
+
 def ignore_fragments(ignore_dirs=(), ignore_hidden: bool = False) -> list[str]:
     hidden = dims.HIDDEN_IGNORE_DIRS if ignore_hidden else []
     return [*dims.DEFAULT_IGNORE_DIRS, *ignore_dirs, *hidden]
@@ -68,14 +97,24 @@ def eligible_files(
     """The files that are counted, with their language.
 
     ``single_file`` is for input that names files rather than directories: the
-    path filter is skipped, the language filter is not.
+    path filter is skipped, the language filter is not. ``ignore_dirs`` and
+    ``ignore_langs`` are lists of any length, or tables with one column.
     """
     if not single_file:
-        fragments = ignore_fragments(ignore_dirs, ignore_hidden)
+        table = ignore_dirs if isinstance(ignore_dirs, DataFrame) else None
+        fragments = ignore_fragments(() if table is not None else ignore_dirs, ignore_hidden)
+        if not matching.fits_automaton(fragments):
+            table = files.sparkSession.createDataFrame(pa.table({"fragment": list(dict.fromkeys(ignore_dirs))}))
+            fragments = ignore_fragments((), ignore_hidden)
         files = files.where(~paths.is_ignored(F.col("path"), fragments))
-    return detect_language(files).where(
-        F.col("language").isNotNull() & ~ignored_language(list(ignore_langs))
-    )
+        if table is not None:
+            files = without_ignored_paths(files, table)
+    located = detect_language(files).where(F.col("language").isNotNull())
+    if not isinstance(ignore_langs, DataFrame) and len(ignore_langs) <= paths.MAX_LITERALS:
+        return located.where(~ignored_language(list(ignore_langs)))
+    # Spark broadcasts the names if they are few bytes and shuffles by name otherwise.
+    names = ignored_languages(files.sparkSession, ignore_langs)
+    return located.join(names, ["language", "is_other"], "left_anti").select(*located.columns)
 
 
 def count_source_files(

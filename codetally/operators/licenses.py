@@ -6,11 +6,15 @@ in the row: no join, no shuffle.
 
 from __future__ import annotations
 
+from collections import Counter
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codetally.functions import licenses as lic
 from codetally.functions import paths
+from codetally.functions.matching import AUTOMATON_BYTES, found_numbers
 from codetally.sources import dimensions as dims
 from codetally.sources.files_table import LICENSE_PARTITION
 
@@ -87,6 +91,50 @@ def license_scores(texts: DataFrame, text_col: str = "text") -> DataFrame:
     )
 
 
+def license_scores_of(texts: DataFrame, phrases: DataFrame, text_col: str = "text") -> DataFrame:
+    """:func:`license_scores` for a table of fingerprints, ``license, ordinal, phrase``.
+
+    Scores are as for the given fingerprints: one and a half times the share of a
+    licence's phrases that occur in the normalised text, at most one; phrases count by
+    row. Phrases are in normal form, lower case and without the deleted characters, and
+    not empty. ``total`` counts all phrases of a licence, or is the largest ``total`` of
+    its rows if the table has that column. Only licences with a match have a row. The phrases are collected, which a limit of their size bounds; a text
+    is read once, however many phrases there are, and nothing is joined by all pairs.
+    """
+    keep = [name for name in texts.columns if name != text_col]
+    given = F.col("total").cast("int") if "total" in phrases.columns else F.lit(None).cast("int")
+    table = phrases.select("license", "ordinal", "phrase", given.alias("total")).where("length(phrase) > 0")
+    size = table.agg(F.sum(F.octet_length("phrase"))).first()[0] or 0
+    if size > AUTOMATON_BYTES:
+        raise ValueError(f"phrases of {size} bytes; at most {AUTOMATON_BYTES} are matched at once")
+    rows = sorted(table.collect(), key=lambda r: (r["ordinal"], r["license"], r["phrase"]))
+    listed = sorted({(r["ordinal"], r["license"]) for r in rows})
+    number = {licence: i for i, licence in enumerate(listed)}
+    owner = [number[r["ordinal"], r["license"]] for r in rows]
+    totals = Counter(owner)
+    for r, i in zip(rows, owner):
+        totals[i] = max(totals[i], r["total"] or 0)
+    normal = F.trim(lic.folded(F.col(text_col)), F.lit(dims.WHITESPACE))
+    found = found_numbers(F.coalesce(normal, F.lit("")), [r["phrase"] for r in rows])
+    spark = texts.sparkSession
+    names = spark.createDataFrame(pa.table({
+        "number_": pa.array(range(len(listed)), pa.int32()),
+        "ordinal": pa.array([o for o, _ in listed], pa.int32()),
+        "license": pa.array([n for _, n in listed], pa.string()),
+        "total": pa.array([totals[i] for i in range(len(listed))], pa.int32()),
+    }))
+    owners = F.lit(owner) if owner else F.lit(None).cast("array<int>")
+    matched = texts.select(*keep, found.alias("found_")).withColumn(
+        "found_", F.array_sort(F.transform("found_", lambda n: F.element_at(owners, n + 1)))
+    )
+    counted = matched.select(*keep, "found_", F.explode(F.array_distinct("found_")).alias("number_")).select(
+        *keep, "number_", F.size(F.filter("found_", lambda n: n == F.col("number_"))).alias("matches")
+    )
+    return counted.join(names, "number_").select(
+        *keep, "license", "ordinal", "matches", "total", lic.score_of("matches", "total").alias("score")
+    )
+
+
 def classify_license(texts: DataFrame, text_col: str = "text") -> DataFrame:
     """The best licence per text: ``license, ordinal, confidence, score`` beside
     the other columns of ``texts``.

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from codetally.sources import dimensions as dims
 from workload import tables as t
-from workload.queries import ALL_ALIASES, IGNORE_DIRS, IGNORE_LANGS
+from workload.queries import ALL_ALIASES, IGNORE_DIRS, IGNORE_LANGS, MANY_FRAGMENTS
 
 
 def text(value: str) -> str:
@@ -290,6 +290,15 @@ ORACLE: dict[str, str] = {
     ),
     "ignore_lang_alias": located_query(DEFAULTS, IGNORE_LANGS),
     "ignore_lang_all_aliases": located_query(DEFAULTS, ALL_ALIASES),
+    "eligible_files_many_fragments": located_query([*DEFAULTS, *IGNORE_DIRS, *MANY_FRAGMENTS]),
+    "eligible_files_fragment_table": with_clause(KNOWN, SOURCE_FILES, LOCATED, eligible(DEFAULTS))
+    + f"""SELECT repo, path, ext, {LANGUAGE_KEY} FROM eligible
+    WHERE NOT regexp_matches(path, '/f[0-9]+\\.py')""",
+    "ignore_lang_table": with_clause(KNOWN, SOURCE_FILES, LOCATED, eligible(DEFAULTS, IGNORE_LANGS))
+    + f"""SELECT repo, path, ext, {LANGUAGE_KEY} FROM eligible
+    WHERE NOT (is_other AND language IN (SELECT string_split(text, ' ')[1] FROM documents))""",
+    "license_scores_table": with_clause(FINGERPRINTS, LICENSE_TEXTS, scored("texts"))
+    + "SELECT doc_id, license, ordinal, matches, total, score FROM scores WHERE matches > 0",
     "count_source_files_none": with_clause(KNOWN, SOURCE_FILES, LOCATED, eligible([""]))
     + "SELECT count(*) AS files FROM eligible",
     "count_source_files": with_clause(KNOWN, SOURCE_FILES, LOCATED, eligible(DEFAULTS))

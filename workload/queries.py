@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import codetally as ct
-from codetally.sources.dimensions import LANGUAGE_ALIASES
+from codetally.sources.dimensions import LANGUAGE_ALIASES, fingerprints
 from workload import tables as t
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,6 +17,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 IGNORE_LANGS = ["py", "md", "kt", "bash", "js,py"]
 IGNORE_DIRS = ["a/b", "src1/"]
 ALL_ALIASES = list(LANGUAGE_ALIASES)
+MANY_FRAGMENTS = [f"/f{i}7." for i in range(1_000)]
 
 LOCATED = ["repo", "path", "ext", "language", "ordinal", "is_other"]
 
@@ -47,6 +48,28 @@ def ignore_lang_all_aliases(spark, sf_dir):
     ).select(*LOCATED)
 
 
+def eligible_files_many_fragments(spark, sf_dir):
+    return ct.eligible_files(
+        t.source_paths(spark, sf_dir), ignore_dirs=[*IGNORE_DIRS, *MANY_FRAGMENTS]
+    ).select(*LOCATED)
+
+
+def eligible_files_fragment_table(spark, sf_dir):
+    """Fragments are a table: a Python file of each document."""
+    ids = t.table(spark, sf_dir, "documents")
+    fragments = ids.select(F.concat(F.lit("/f"), "doc_id", F.lit(".py")).alias("fragment"))
+    return ct.eligible_files(t.source_paths(spark, sf_dir), ignore_dirs=fragments).select(*LOCATED)
+
+
+def ignore_lang_table(spark, sf_dir):
+    """Ignored languages are a table: aliases beside words of all documents."""
+    words = t.table(spark, sf_dir, "documents").select(F.split_part("text", F.lit(" "), F.lit(1)).alias("alias"))
+    aliases = spark.createDataFrame([(name,) for name in IGNORE_LANGS], "alias string")
+    return ct.eligible_files(
+        t.source_paths(spark, sf_dir), ignore_langs=words.unionByName(aliases)
+    ).select(*LOCATED)
+
+
 def count_source_files_none(spark, sf_dir):
     """An empty fragment ignores every file."""
     return ct.count_source_files(t.source_paths(spark, sf_dir), ignore_dirs=[""])
@@ -123,6 +146,11 @@ def license_scores_documents(spark, sf_dir):
     return ct.license_scores(t.spread(documents))
 
 
+def license_scores_table(spark, sf_dir):
+    """Scores for a table of fingerprints, where they match."""
+    return ct.license_scores_of(t.license_texts(spark, sf_dir), fingerprints(spark))
+
+
 def classify_license(spark, sf_dir):
     return ct.classify_license(t.license_texts(spark, sf_dir))
 
@@ -251,6 +279,9 @@ QUERIES: dict[str, Query] = {
         eligible_files_hidden,
         ignore_lang_alias,
         ignore_lang_all_aliases,
+        eligible_files_many_fragments,
+        eligible_files_fragment_table,
+        ignore_lang_table,
         count_source_files,
         count_source_files_none,
         classified_lines,
@@ -269,6 +300,7 @@ QUERIES: dict[str, Query] = {
         license_files,
         license_scores,
         license_scores_documents,
+        license_scores_table,
         classify_license,
         classify_license_documents,
         license_report,
