@@ -9,10 +9,11 @@ from dataclasses import dataclass
 from zlib import crc32
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import ArrowUDFType
 
 from codetally.llm.storage import drop_staged, stage
 
@@ -58,13 +59,13 @@ HASH_BUCKETS = SHAPE_BUCKETS + WORD_BUCKETS + 2 * len(LABELLERS)
 KINDS = {"lower": 0, "title": 1, "capitals": 2, "punctuation": 3, "digits": 4, "repeated": 5}
 SYMBOL, SHOUT, SENTENCE = 8, 16, 32
 TAIL_SHIFT, TAIL_BUCKETS = 6, 1 << 10
-# Words whose codes a worker remembers between portions of text, and their characters.
-MEMO_WORDS, MEMO_CHARS = 1 << 18, 16 << 20
+# Words whose codes a task remembers between portions of text, and their characters.
+MEMO_WORDS, MEMO_CHARS = 1 << 18, 8 << 20
 # Repetition is measured in windows of that many words, so that length does not matter.
 WINDOW_WORDS = 256
 PHRASE_WORDS = 4
-# Texts whose features are computed at once: at most that many, and about that many characters.
-PORTION_TEXTS, PORTION_CHARS = 256, 1 << 20
+# Texts whose features are computed at once: at most that many, and about that many bytes.
+PORTION_TEXTS, PORTION_BYTES = 128, 1 << 19
 
 _SYMBOLS = "*$%&#@^~=+"
 
@@ -112,14 +113,15 @@ class Vocabulary(dict):
             self.chars, self.codes, self.hashes = 0, array("q"), array("q")
 
 
-_VOCABULARY = Vocabulary()
+def _view(numbers: array) -> np.ndarray:
+    """The numbers without a copy; the array cannot grow while the view is in use."""
+    return np.frombuffer(numbers, np.int64) if len(numbers) else np.zeros(0, np.int64)
 
 
 class Portion:
     """Some texts, each word coded once, with what votes and features need."""
 
-    def __init__(self, texts: list[str | None]):
-        vocabulary = _VOCABULARY
+    def __init__(self, texts: list[str | None], vocabulary: Vocabulary):
         vocabulary.make_room()
         numbers, lines = [], []
         for text in texts:
@@ -130,8 +132,8 @@ class Portion:
         self.n = np.array([len(x) for x in numbers], np.int64)
         self.doc = np.repeat(np.arange(len(texts)), self.n)
         self.numbers = np.concatenate([*numbers, np.zeros(0, np.int64)])
-        self.codes = np.array(vocabulary.codes, np.int64)[self.numbers]
-        self.hashes = np.array(vocabulary.hashes, np.int64)[self.numbers]
+        self.codes = _view(vocabulary.codes)[self.numbers]
+        self.hashes = _view(vocabulary.hashes)[self.numbers]
         # Neighbours in one text.
         self.paired = self.doc[1:] == self.doc[:-1]
         same = np.r_[False, (self.numbers[1:] == self.numbers[:-1]) & self.paired][: len(self.doc)]
@@ -215,14 +217,14 @@ def repeated(values: np.ndarray, doc: np.ndarray, position: np.ndarray, docs: in
     return np.where(n >= least, 1 - distinct / np.maximum(n, 1), 0.0)
 
 
-def portions(texts: list[str | None]) -> Iterator[tuple[slice, Portion]]:
+def portions(texts: pa.Array, vocabulary: Vocabulary) -> Iterator[tuple[slice, Portion]]:
     """The texts in portions of bounded size, each at least one text."""
-    start = chars = 0
-    for i, text in enumerate(texts):
-        chars += len(text or "")
-        if chars >= PORTION_CHARS or i + 1 - start >= PORTION_TEXTS or i + 1 == len(texts):
-            yield slice(start, i + 1), Portion(texts[start : i + 1])
-            start, chars = i + 1, 0
+    start = size = 0
+    for i, length in enumerate(pc.binary_length(texts).to_pylist()):
+        size += length or 0
+        if size >= PORTION_BYTES or i + 1 - start >= PORTION_TEXTS or i + 1 == len(texts):
+            yield slice(start, i + 1), Portion(texts.slice(start, i + 1 - start).to_pylist(), vocabulary)
+            start, size = i + 1, 0
 
 
 def fit_labellers(
@@ -268,14 +270,14 @@ class Scorer:
     weights: np.ndarray
     bias: float
 
-    def scores(self, texts: list[str | None]) -> np.ndarray:
+    def scores(self, texts: pa.Array, vocabulary: Vocabulary) -> np.ndarray:
         z = np.zeros(len(texts))
-        for at, portion in portions(texts):
+        for at, portion in portions(texts, vocabulary):
             z[at] = portion.features() @ self.weights + self.bias
         return 1 / (1 + np.exp(-np.clip(z, -60, 60)))
 
     def score(self, text: str | None) -> float:
-        return float(self.scores([text])[0])
+        return float(self.scores(pa.array([text], pa.string()), Vocabulary())[0])
 
 
 def fit_scorer(rows: list[tuple[list[int], list[float], float]]) -> Scorer:
@@ -337,8 +339,9 @@ def fit_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary = Vocabulary()
         for batch in batches:
-            cast = [v for _, portion in portions(batch.column(1).to_pylist()) for v in portion.votes()]
+            cast = [v for _, portion in portions(batch.column(1), vocabulary) for v in portion.votes()]
             cast = pa.array(cast, pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0), cast], names=["h", "votes"])
 
@@ -354,9 +357,10 @@ def fit_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     drop_staged(voted)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary = Vocabulary()
         for batch in batches:
             used, shares, labels = [], [], []
-            for _, portion in portions(batch.column(1).to_pylist()):
+            for _, portion in portions(batch.column(1), vocabulary):
                 for vector, vote in zip(portion.features(), portion.votes()):
                     at = np.flatnonzero(vector)
                     used.append(at.astype(np.uint16).tobytes())
@@ -385,7 +389,13 @@ def score_quality(
 ) -> DataFrame:
     """``docs`` with the scorer's probability that a text is good. Row by row, without a shuffle."""
     scorer = model.scorer
-    score = F.pandas_udf(lambda texts: pd.Series(scorer.scores(texts.tolist())), "double")
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        vocabulary = Vocabulary()
+        for texts in batches:
+            yield pa.array(scorer.scores(texts, vocabulary))
+
+    score = F.arrow_udf(run, "double", ArrowUDFType.SCALAR_ITER)
     return docs.withColumn(score_col, score(F.col(text_col)))
 
 
