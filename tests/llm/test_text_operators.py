@@ -172,13 +172,26 @@ def test_token_ids_are_those_of_the_library(spark):
     texts = dict(rows)
     for r in found:
         text = texts[r.doc_id] or ""
-        assert r.ids == library.encode(text) and r.parity and r.n_tokens == len(r.ids)
+        assert r.ids == library.encode(text) and r.word_parity and r.n_tokens == len(r.ids)
+        assert r.parity is (True if r.doc_id == 0 else None)
         assert r.round_trip == ("▁" not in text)
     back = {r.doc_id: r.text for r in sentencepiece_codec.decode(encoded).collect()}
     assert all(back[i] == (t or "").replace("▁", " ") for i, t in rows)
     assert sentencepiece_codec.encode(spark.createDataFrame([], DOCS)).count() == 0
 
 
+def test_a_wrong_normaliser_fails_whole_texts(spark, monkeypatch):
+    docs = docs_frame(spark, [(i, f"some  words {i}") for i in range(60)])
+    good = {r.doc_id: r.parity for r in sentencepiece_codec.encode(docs).collect()}
+    assert good == {i: (True if i % 20 == 0 else None) for i in range(60)}
+    assert [sentencepiece_codec._audited(i) for i in (None, 0, 19, 40, "x")][:4] == [False, True, False, True]
+    monkeypatch.setattr(sentencepiece_codec.Codec, "normalise", lambda self, text: "▁" + text.replace("  ", " ").replace(" ", "▁"))
+    data = open(sentencepiece_codec.MODEL_FILE, "rb").read()
+    codec = sentencepiece_codec.Codec(data, 1, True)
+    ids, same = codec.encode_batch(["some  words"])
+    assert ids[0] != codec.library.encode("some  words"), "whole texts tell what words cannot"
+
+
 def test_words_kept_over_a_change_of_the_memo(monkeypatch):
     import sentencepiece
 
