@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 
 # Rows of one key are summed in buckets of that many order values.
 BUCKET = 256
+# Rows without an order value are told apart by that many characters.
+TIE_CHARS = 24
 PLACE = ["pair_id", "b__"]
 
 
@@ -23,12 +25,17 @@ def render(role: Column, text: Column) -> Column:
 def running_sum(df: DataFrame, keys: list[str], order: list[str], value: Column, name: str) -> DataFrame:
     """``df`` with the sum of ``value`` over the rows of a key up to the row, itself included.
 
-    ``order[0]`` is a number, which may be null (first); the others break ties. A
-    window sums within buckets of ``order[0]``; bucket totals are summed in a second
-    window and joined back. So no task gets all rows of a long key, only its
-    buckets.
+    ``order[0]`` is a number, which may be null (first); the others are texts and break
+    ties. A window sums within buckets of ``order[0]``, and of the first characters of
+    the others where it is null; bucket totals are summed in a second window and joined
+    back. So no task gets all rows of a long key, only its buckets.
     """
-    bucketed = df.withColumns({"v__": value, "b__": F.coalesce(F.floor(F.col(order[0]) / BUCKET), F.lit(-(2**62)))})
+    number, ties = F.col(order[0]), [F.when(F.col(order[0]).isNull(), F.substring(c, 1, TIE_CHARS)) for c in order[1:]]
+    bucket = F.struct(
+        F.coalesce(F.floor(number / BUCKET), F.lit(-(2**62))).alias("n"),
+        *(F.coalesce(t, F.lit("")).alias(f"t{i}") for i, t in enumerate(ties)),
+    )
+    bucketed = df.withColumns({"v__": value, "b__": bucket})
     within = W.partitionBy(*keys, "b__").orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
     summed = bucketed.withColumn("s__", F.sum("v__").over(within))
     totals = bucketed.groupBy(*keys, "b__").agg(F.sum("v__").alias("t__"))

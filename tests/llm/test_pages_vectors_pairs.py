@@ -6,6 +6,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from codetally.llm import hnsw, html_content, preferences, url_filter, warc
 
@@ -279,3 +280,17 @@ def test_worse_versions_over_buckets(spark):
     assert any(i % preferences.BUCKET == 0 for _, i in late)
     got = {(r.conv_id, r.turn): (r.role, r.text) for r in preferences.echoing(turns.repartition(7)).collect()}
     assert got == worse
+
+
+def test_turns_without_numbers_are_spread(spark):
+    rng = random.Random(6)
+    words = ["alpha", "beta", "gamma", "delta", "epsilon"]
+    rows = [(1, None if i % 10 else i, rng.choice(["user", "assistant"]), " ".join(rng.choices(words, k=6)) + f" {i}") for i in range(5000)]
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(4)
+    turns = preferences.turns_in_order(frame, "conv_id", "turn", "role", "text").collect()
+    expected = sorted(rows, key=lambda r: (r[1] is not None, r[1] or 0, r[2], r[3].encode()))
+    assert [(r.role, r.text) for r in sorted(turns, key=lambda r: r.position)] == [(r[2], r[3]) for r in expected]
+    assert sorted(r.position for r in turns) == list(range(5000))
+    spread = preferences.running_sum(frame, ["conv_id"], ["turn", "role", "text"], F.lit(1), "n")
+    plan = spread._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("substring(role") and plan.count("substring(text")
