@@ -70,8 +70,8 @@ def _bits(url_hash: str, i: int) -> str:
 
 def bloom_blocks(listed: DataFrame) -> tuple[DataFrame, int]:
     """``block, w0 .. w7`` of a blocked Bloom filter over ``canonical``, and the number of blocks."""
-    n_blocks = 1
-    while n_blocks < MAX_BLOCKS and n_blocks * URLS_PER_BLOCK < listed.count():
+    n_blocks, urls = 1, listed.count()
+    while n_blocks < MAX_BLOCKS and n_blocks * URLS_PER_BLOCK < urls:
         n_blocks *= 2
     hashed = listed.select(F.xxhash64("canonical").alias("h"))
     blocks = (
@@ -99,7 +99,8 @@ def judge_urls(
     with the names of the new ones are replaced.
 
     Rows without a rule probe the Bloom filter of the list, which is broadcast and
-    of bounded size. Only possible hits are shuffled to the exact join with the
+    of bounded size: beyond ``MAX_BLOCKS * URLS_PER_BLOCK`` listed URLs it passes more
+    and more rows to the join, and all in the end, but never a wrong one. Only possible hits are shuffled to the exact join with the
     list; it is a join of many rows to one, so AQE can split a URL that very many
     pages have.
     """
