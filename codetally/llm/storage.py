@@ -10,9 +10,26 @@ from pyspark.sql import DataFrame, SparkSession
 from codetally.sources.checkpoints import ensure_checkpoint_dir
 
 
+# The folder of each session, by application.
+_FOLDERS: dict[str, str] = {}
+
+
+def session_folder(spark: SparkSession) -> str:
+    """A folder of this session in the shared folder; it is deleted when the driver ends."""
+    application = spark.sparkContext.applicationId
+    if application not in _FOLDERS:
+        folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/llm-{application}-{uuid.uuid4().hex}"
+        hadoop = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        system = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
+        system.mkdirs(hadoop)
+        system.deleteOnExit(hadoop)
+        _FOLDERS[application] = folder
+    return _FOLDERS[application]
+
+
 def new_path(spark: SparkSession, kind: str) -> str:
-    """A path in the shared folder that no run has used."""
-    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/llm-{kind}-{uuid.uuid4().hex}"
+    """A path in the folder of the session that nothing has used."""
+    return f"{session_folder(spark)}/{kind}-{uuid.uuid4().hex}"
 
 
 def stage(df: DataFrame, kind: str) -> DataFrame:
