@@ -44,14 +44,31 @@ def normalised(path: Column) -> Column:
     return F.when(suspect, cleaned).otherwise(path)
 
 
-def is_ignored(path: Column, fragments: list[str]) -> Column:
+def in_slashes(path: Column) -> Column:
+    """A normalised path with one slash on either side, so that components stand between slashes."""
+    return F.concat(F.lit("/"), F.trim(path, F.lit("/")), F.lit("/"))
+
+
+def component_fragments(fragments: list[str]) -> list[str]:
+    """Fragments as they stand in :func:`in_slashes`; those without a component are left out."""
+    parts = ([p for p in fragment.split("/") if p not in ("", ".")] for fragment in fragments)
+    return ["/" + "/".join(p) + "/" for p in parts if p]
+
+
+def is_ignored(path: Column, fragments: list[str], whole_components: bool = False) -> Column:
     """True when any fragment occurs anywhere in the normalised path.
 
     A plain substring test: ``dist`` also ignores ``distance.py`` and
     ``redistribute/``, and an empty fragment ignores everything. A fragment that
     contains another one adds nothing and is left out.
+
+    With ``whole_components`` a fragment is one or more components in a row:
+    ``dist`` ignores ``a/dist/b.py`` but neither of the above, ``a/b`` also
+    ``x/a/b/c.py``, and an empty fragment nothing.
     """
     clean = normalised(path)
+    if whole_components:
+        clean, fragments = in_slashes(clean), component_fragments(fragments)
     fragments = list(dict.fromkeys(fragments))
     if "" in fragments:
         return clean.isNotNull()

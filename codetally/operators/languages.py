@@ -68,14 +68,20 @@ def ignored_languages(spark: SparkSession, aliases: list[str] | DataFrame) -> Da
     )
 
 
-def without_ignored_paths(files: DataFrame, fragments: DataFrame) -> DataFrame:
+def without_ignored_paths(
+    files: DataFrame, fragments: DataFrame, whole_components: bool = False
+) -> DataFrame:
     """``files`` whose normalised path has none of the fragments of a table (first column).
 
     Candidates meet by an equi-join on pieces of paths; the paths found are anti-joined.
     """
     column = fragments.columns[0]
     name = "path__normalised"
-    marked = files.withColumn(name, paths.normalised(F.col("path")))
+    clean = paths.normalised(F.col("path"))
+    if whole_components:
+        clean, given = paths.in_slashes(clean), paths.in_slashes(paths.normalised(F.col(column)))
+        fragments = fragments.select(given.alias(column)).where(F.col(column) != "//")
+    marked = files.withColumn(name, clean)
     hits = containing(marked, name, fragments, column).select(F.col("text").alias(name)).distinct()
     nothing = fragments.where(F.col(column) == "").limit(1).count() > 0
     kept = marked.where(F.col(name).isNull()) if nothing else marked.join(hits, name, "left_anti")
@@ -93,12 +99,15 @@ def eligible_files(
     ignore_langs=(),
     ignore_hidden: bool = False,
     single_file: bool = False,
+    whole_components: bool = False,
 ) -> DataFrame:
     """The files that are counted, with their language.
 
     ``single_file`` is for input that names files rather than directories: the
     path filter is skipped, the language filter is not. ``ignore_dirs`` and
-    ``ignore_langs`` are lists of any length, or tables with one column.
+    ``ignore_langs`` are lists of any length, or tables with one column. With
+    ``whole_components`` ignored directories, the default ones too, are matched by
+    whole path components (see :func:`paths.is_ignored`) instead of as substrings.
     """
     if not single_file:
         table = ignore_dirs if isinstance(ignore_dirs, DataFrame) else None
@@ -106,9 +115,9 @@ def eligible_files(
         if not matching.fits_automaton(fragments):
             table = files.sparkSession.createDataFrame(pa.table({"fragment": list(dict.fromkeys(ignore_dirs))}))
             fragments = ignore_fragments((), ignore_hidden)
-        files = files.where(~paths.is_ignored(F.col("path"), fragments))
+        files = files.where(~paths.is_ignored(F.col("path"), fragments, whole_components))
         if table is not None:
-            files = without_ignored_paths(files, table)
+            files = without_ignored_paths(files, table, whole_components)
     located = detect_language(files).where(F.col("language").isNotNull())
     if not isinstance(ignore_langs, DataFrame) and len(ignore_langs) <= paths.MAX_LITERALS:
         return located.where(~ignored_language(list(ignore_langs)))

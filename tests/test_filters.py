@@ -97,3 +97,21 @@ def test_path_expressions(spark):
         "path", paths.extension(F.col("path")), paths.dirname(F.col("path")), paths.normalised(F.col("path"))
     )
     assert {row[0]: tuple(row[1:]) for row in rows.collect()} == cases
+
+
+COMPONENTS = [
+    ("a/dist/b.py", ["x"], False), ("distance.py", [], True), ("redistribute/b.py", [], True), ("dist", [], None),
+    ("x/a/b/c.py", ["a/b"], False), ("x/aa/b/c.py", ["a/b"], True), ("x/a/bb/c.py", ["a/b/"], True), ("a//./b/c.py", ["/a/b"], False),
+    ("./src/x.py", ["src"], False), ("src.py", ["src"], True), ("a/src.py", ["src.py"], False), ("a/b.py", ["", "/", "."], True),
+    ("/abs/lib/x.py", ["abs/lib"], False), ("/abs/lib/x.py", ["lib/abs"], True),
+]
+
+
+def test_whole_components(spark):
+    for path, ignored, kept in COMPONENTS:
+        if kept is None:
+            continue
+        files = spark.createDataFrame([(path,)], "path string")
+        for given in (ignored, ignored + [f"none{i}/x" for i in range(80)], spark.createDataFrame([(f,) for f in ignored], "f string")):
+            found = ct.eligible_files(files, ignore_dirs=given, whole_components=True).count()
+            assert found == int(kept), (path, ignored)

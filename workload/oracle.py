@@ -290,6 +290,12 @@ ORACLE: dict[str, str] = {
     ),
     "ignore_lang_alias": located_query(DEFAULTS, IGNORE_LANGS),
     "ignore_lang_all_aliases": located_query(DEFAULTS, ALL_ALIASES),
+    "eligible_files_components": with_clause(KNOWN, SOURCE_FILES, LOCATED, eligible([]))
+    + f"""SELECT repo, path, ext, {LANGUAGE_KEY} FROM (
+      SELECT *, list_filter(string_split(path, '/'), lambda p: p NOT IN ('', '.')) AS parts FROM eligible)
+    WHERE len(list_filter(range(1, len(parts) + 1), lambda i:
+        parts[i] IN ({", ".join(map(text, [*DEFAULTS, *dims.HIDDEN_IGNORE_DIRS, "src", "src1"]))})
+        OR parts[i] = 'a' AND parts[i + 1] = 'b')) = 0""",
     "eligible_files_many_fragments": located_query([*DEFAULTS, *IGNORE_DIRS, *MANY_FRAGMENTS]),
     "eligible_files_fragment_table": with_clause(KNOWN, SOURCE_FILES, LOCATED, eligible(DEFAULTS))
     + f"""SELECT repo, path, ext, {LANGUAGE_KEY} FROM eligible

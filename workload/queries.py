@@ -48,6 +48,13 @@ def ignore_lang_all_aliases(spark, sf_dir):
     ).select(*LOCATED)
 
 
+def eligible_files_components(spark, sf_dir):
+    """Ignored directories by whole path components."""
+    return ct.eligible_files(
+        t.source_paths(spark, sf_dir), ignore_dirs=[*IGNORE_DIRS, "src"], ignore_hidden=True, whole_components=True
+    ).select(*LOCATED)
+
+
 def eligible_files_many_fragments(spark, sf_dir):
     return ct.eligible_files(
         t.source_paths(spark, sf_dir), ignore_dirs=[*IGNORE_DIRS, *MANY_FRAGMENTS]
@@ -279,6 +286,7 @@ QUERIES: dict[str, Query] = {
         eligible_files_hidden,
         ignore_lang_alias,
         ignore_lang_all_aliases,
+        eligible_files_components,
         eligible_files_many_fragments,
         eligible_files_fragment_table,
         ignore_lang_table,
