@@ -1,5 +1,6 @@
 """Line statistics per language and licence detection over tables of files."""
 
+from codetally.operators.blocks import lines_with_blocks, stats_with_blocks
 from codetally.operators.languages import (
     count_source_files,
     detect_language,
@@ -51,6 +52,7 @@ __all__ = [
     "license_report",
     "license_scores",
     "license_scores_of",
+    "lines_with_blocks",
     "list_eligible_trees",
     "list_source_tree",
     "list_source_trees",
@@ -59,6 +61,7 @@ __all__ = [
     "read_listed_files",
     "read_source_tree",
     "read_source_trees",
+    "stats_with_blocks",
     "subtree_stats",
     "summary_lines",
     "summary_report",
