@@ -281,7 +281,44 @@ LICENSE_REPORT = with_clause(
   printf('%-12s (%.0f%% confidence) in %s', license, confidence * 100, file) AS line
 FROM best"""
 
+# ---------------------------------------------------------- block comments
+
+
+def _block_values() -> str:
+    rows = []
+    for ordinal, (_, _, _, opener, closer, nested) in enumerate(dims.LANGUAGES):
+        if opener:
+            both = sorted({opener, closer}, key=len, reverse=True)
+            escaped = "|".join("".join(c if c.isalnum() or c == " " else "\\" + c for c in token) for token in both)
+            rows.append(f"({ordinal}, {text(opener)}, {text(closer)}, {str(nested).lower()}, {text(escaped)})")
+    return ",\n".join(rows)
+
+
+_IS_SINGLE = "(coalesce(starts_with(line, s0), false) OR coalesce(starts_with(line, s1), false))"
+BLOCK_LINES = "WITH RECURSIVE " + ",\n".join([
+    KNOWN, SOURCE_FILES, LOCATED, eligible(DEFAULTS), LINES,
+    f"blocks(ordinal, opens, closes, nested, tokens) AS (VALUES {_block_values()})",
+    """marked AS (
+  SELECT n.*, b.opens, list_transform(regexp_extract_all(line, tokens), lambda t:
+      CASE WHEN opens = closes THEN 3 WHEN t = opens AND nested THEN 2 WHEN t = opens THEN 1 ELSE 0 END) AS codes
+  FROM numbered n LEFT JOIN blocks b USING (ordinal))""",
+    f"""walk AS (
+  SELECT path, CAST(-1 AS BIGINT) AS pos, 0 AS before, 0 AS after FROM eligible
+  UNION ALL
+  SELECT w.path, m.pos, w.after, CASE
+      WHEN codes IS NULL OR w.after = 0 AND {_IS_SINGLE} THEN w.after
+      ELSE list_reduce(list_prepend(w.after, codes), lambda x, c: CASE c
+        WHEN 3 THEN 1 - x WHEN 2 THEN least(x + 1, 15) WHEN 1 THEN 1 ELSE greatest(x - 1, 0) END) END
+  FROM walk w JOIN marked m ON m.path = w.path AND m.pos = w.pos + 1)""",
+]) + f"""
+SELECT repo, path, language, is_other, pos, CASE WHEN line = '' THEN 'blank' WHEN before > 0 THEN 'multi'
+    WHEN is_other THEN 'code' WHEN {_IS_SINGLE} THEN 'single'
+    WHEN coalesce(starts_with(line, opens), false) THEN 'multi' ELSE 'code' END AS kind
+FROM marked JOIN walk USING (path, pos)"""
+
 ORACLE: dict[str, str] = {
+    "lines_with_blocks": BLOCK_LINES,
+    "lines_with_blocks_cut": BLOCK_LINES,
     "language_detect": with_clause(KNOWN, SOURCE_FILES, LOCATED)
     + f"SELECT repo, path, ext, {LANGUAGE_KEY} FROM located",
     "eligible_files": located_query(DEFAULTS),

@@ -90,6 +90,16 @@ def classified_lines(spark, sf_dir):
     return ct.classified_lines(t.source_files(spark, sf_dir))
 
 
+def lines_with_blocks(spark, sf_dir):
+    """Line kinds with block comments followed from line to line."""
+    return ct.lines_with_blocks(t.source_files(spark, sf_dir))
+
+
+def lines_with_blocks_cut(spark, sf_dir):
+    """The same for files in rows of about a thousand bytes."""
+    return ct.lines_with_blocks(ct.cut_large_rows(t.source_files(spark, sf_dir), row_bytes=1_000))
+
+
 def file_stats(spark, sf_dir):
     return ct.file_stats(t.source_files(spark, sf_dir))
 
@@ -293,6 +303,8 @@ QUERIES: dict[str, Query] = {
         count_source_files,
         count_source_files_none,
         classified_lines,
+        lines_with_blocks,
+        lines_with_blocks_cut,
         file_stats,
         language_stats,
         language_stats_by_repo,
