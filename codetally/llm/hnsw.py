@@ -15,8 +15,8 @@ from codetally.llm.components import connected_components
 from codetally.llm.storage import file_system, new_path, stage
 
 MIN_COSINE = 0.9
-# Vectors of a shard at most; there are MIN_SHARDS at least.
-SHARD_ROWS = 250_000
+# Numbers in the vectors of a shard, about 130 MB of doubles; there are MIN_SHARDS at least.
+SHARD_NUMBERS = 16_000_000
 MIN_SHARDS = 4
 QUERY_ROWS = 4_096
 # A node's links: half are its own choice, half come from later nodes.
@@ -333,8 +333,8 @@ def similar_vectors(
         .agg(F.min("id").alias("node"), F.count("*").alias("copies")),
         "distinct-vectors",
     )
-    n = nodes.count()
-    shards = max(MIN_SHARDS, -(-n // SHARD_ROWS))
+    n, numbers = nodes.agg(F.count("*"), F.sum(F.size("vector").cast("long"))).first()
+    shards = max(MIN_SHARDS, -(-(numbers or 0) // SHARD_NUMBERS))
     blocks = -(-n // QUERY_ROWS) or 1
     folder = new_path(spark, "graphs")
     plain = nodes.select(F.col("node").alias("id"), "vector")
