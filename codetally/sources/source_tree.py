@@ -208,7 +208,8 @@ def read_listed_files(listing: DataFrame, on_error: str = "fail") -> DataFrame:
         return _read_files(batches, on_error)
 
     packed, tasks = packed_reads(reads)
-    return packed.repartitionById(tasks, F.col("split")).mapInArrow(read, FILE_SCHEMA)
+    # Kept, too: a task that is lost repeats its reads only.
+    return packed.checkpoint().repartitionById(tasks, F.col("split")).mapInArrow(read, FILE_SCHEMA)
 
 
 def _read_bytes() -> Column:
