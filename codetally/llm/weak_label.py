@@ -65,7 +65,7 @@ MEMO_WORDS, MEMO_CHARS = 1 << 18, 8 << 20
 WINDOW_WORDS = 256
 PHRASE_WORDS = 4
 # Texts whose features are computed at once: at most that many, and about that many bytes.
-PORTION_TEXTS, PORTION_BYTES = 128, 1 << 19
+PORTION_TEXTS, PORTION_BYTES = 64, 1 << 19
 
 _SYMBOLS = "*$%&#@^~=+"
 
