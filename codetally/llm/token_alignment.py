@@ -6,6 +6,7 @@ import hashlib
 import heapq
 import io
 import json
+import os
 import re
 import struct
 import uuid
@@ -31,6 +32,8 @@ PARTITIONS = 64
 # Records of a compressed block, and compressed bytes that a task merges.
 BLOCK_RECORDS = 1 << 15
 MERGE_BYTES = 64 << 20
+# New units, and about so many characters of them, that are encoded at once.
+SLICE_UNITS, SLICE_CHARS = 1 << 13, 1 << 17
 # Units of text whose alignment a worker remembers; then it starts anew.
 MEMO_UNITS, MEMO_CHARS = 1 << 18, 32 << 20
 # Places where a text can be cut: a single space between two other characters.
@@ -102,6 +105,8 @@ class Aligner:
     """
 
     def __init__(self, path_a: str, path_b: str):
+        # Tasks fill the cores; a pool of threads for each worker only holds memory.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.a, self.b = SideA(path_a), SideB(path_b)
         self.cuts = self.a.can_be_cut and self.b.can_be_cut
         self.size_a, self.size_b = (np.array([len(x) for x in side.bytes], np.int64) for side in (self.a, self.b))
@@ -120,6 +125,7 @@ class Aligner:
         self.groups: list[str] = []
         # n_a, n_b, n_groups, n_links and whether both sides give back the unit
         self.numbers = np.zeros((0, 5), np.int64)
+        # Links of the units: A id times the number of B ids, plus B id.
         self.pairs = np.zeros(0, np.int64)
         self.first_pair = np.zeros(1, np.int64)
 
@@ -138,10 +144,19 @@ class Aligner:
         return np.array(found, np.int64)
 
     def settle(self) -> None:
-        """Encodes and aligns the units that are new."""
-        if not self.new:
-            return
+        """Encodes and aligns the units that are new, in slices of bounded size."""
         units, self.new = self.new, []
+        numbers, pairs, sizes = [self.numbers], [self.pairs], []
+        for part in slices(units):
+            for of, found in zip((numbers, pairs, sizes), self._aligned(part)):
+                of.append(found)
+        if sizes:
+            self.numbers, self.pairs = np.concatenate(numbers), np.concatenate(pairs)
+            last = self.first_pair[-1]
+            self.first_pair = np.concatenate([self.first_pair, last + np.cumsum(np.concatenate(sizes))])
+
+    def _aligned(self, units: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Numbers of some units, their pairs one after the other, and how many pairs each has."""
         ids_a, ids_b = self.a.encode(units), self.b.encode(units)
         ok = [
             b"".join(map(self.a.bytes.__getitem__, x)) == u and b"".join(map(self.b.bytes.__getitem__, y)) == u
@@ -158,18 +173,16 @@ class Aligner:
         # Between two neighbouring ends lies one token of each side: one link.
         at_a, at_b = np.searchsorted(ends_a, ends), np.searchsorted(ends_b, ends)
         link_unit = of_a[at_a]
-        links = a[at_a] << 32 | b[at_b]
+        links = a[at_a] * len(self.size_b) + b[at_b]
         group_unit = of_a[np.searchsorted(ends_a, cuts)]
         n = len(units)
-        self.numbers = np.vstack([self.numbers, np.stack([
+        links_of = np.bincount(link_unit, minlength=n)
+        numbers = np.stack([
             np.bincount(of_a, minlength=n), np.bincount(of_b, minlength=n), np.bincount(group_unit, minlength=n),
-            np.bincount(link_unit, minlength=n), np.array(ok, np.int64),
-        ], axis=1)])
-        self.pairs = np.concatenate([self.pairs, links])
-        self.first_pair = np.concatenate([
-            self.first_pair, self.first_pair[-1] + np.cumsum(np.bincount(link_unit, minlength=n))
-        ])
+            links_of, np.array(ok, np.int64),
+        ], axis=1)
         self._write_groups(a, b, of_a, of_b, np.searchsorted(cuts, ends_a), np.searchsorted(cuts, ends_b), n)
+        return numbers, links, links_of
 
     def _write_groups(self, a, b, of_a, of_b, group_a, group_b, n: int) -> None:
         last_a = np.r_[group_a[1:] != group_a[:-1], True][: len(a)]
@@ -188,17 +201,28 @@ class Aligner:
         """``pair, document, times`` in this order, each pair of a document once."""
         if not docs:
             return (np.zeros(0, np.int64),) * 3
-        doc = np.repeat(np.arange(len(docs)), [len(d) for d in docs])
-        key = np.concatenate(docs) + (doc << 32)
-        key, times = np.unique(key, return_counts=True)
-        doc, unit = key >> 32, key & 0xFFFFFFFF
+        unit, n, n_b = np.concatenate(docs), len(docs), len(self.size_b)
         size = self.first_pair[unit + 1] - self.first_pair[unit]
-        at = np.arange(size.sum()) + np.repeat(self.first_pair[unit] - np.cumsum(size) + size, size)
-        pair, doc, times = self.pairs[at], np.repeat(doc, size), np.repeat(times, size)
-        order = np.lexsort((doc, pair))
-        pair, doc, times = pair[order], doc[order], times[order]
-        new = np.flatnonzero(np.r_[True, (pair[1:] != pair[:-1]) | (doc[1:] != doc[:-1])][: len(pair)])
-        return pair[new], doc[new], np.add.reduceat(times, new) if len(new) else times
+        at = np.arange(size.sum())
+        at += np.repeat(self.first_pair[unit] - np.cumsum(size) + size, size)
+        key = self.pairs[at] * n
+        del at
+        key += np.repeat(np.repeat(np.arange(n), [len(d) for d in docs]), size)
+        key.sort()
+        new = np.flatnonzero(np.r_[True, key[1:] != key[:-1]][: len(key)])
+        times = np.diff(np.r_[new, len(key)])
+        pair, doc = np.divmod(key[new], n)
+        return pair // n_b << 32 | pair % n_b, doc, times
+
+
+def slices(units: list[str]) -> Iterator[list[str]]:
+    """The units in slices of at most ``SLICE_UNITS`` and about ``SLICE_CHARS``, each at least one unit."""
+    start = chars = 0
+    for i, unit in enumerate(units, 1):
+        chars += len(unit)
+        if chars >= SLICE_CHARS or i - start >= SLICE_UNITS or i == len(units):
+            yield units[start:i]
+            start, chars = i, 0
 
 
 _ALIGNERS: dict[tuple[str, str], Aligner] = {}

@@ -124,3 +124,24 @@ def test_texts_are_not_cut_for_unknown_tokenizers(sides, monkeypatch):
     assert found.cuts and len(found.units("three little words")) == 3
     found.cuts = False
     assert len(found.units("three little words")) == 1
+
+
+def test_new_units_are_encoded_in_bounded_slices(sides, monkeypatch):
+    texts = [f"word{i} w{i % 7} w{i % 7} don't 漢{i} 🙂" for i in range(300)] + ["x" * 500 + " y"]
+    whole = alignment.Aligner(alignment.SIDE_A, alignment.SIDE_B)
+    found = [whole.units(t) for t in texts]
+    whole.settle()
+    monkeypatch.setattr(alignment, "SLICE_UNITS", 50)
+    monkeypatch.setattr(alignment, "SLICE_CHARS", 200)
+    sliced, seen = alignment.Aligner(alignment.SIDE_A, alignment.SIDE_B), []
+    encode = sliced.a.encode
+    monkeypatch.setattr(sliced.a, "encode", lambda units: seen.append(units) or encode(units))
+    again = [sliced.units(t) for t in texts]
+    sliced.settle()
+    assert len(seen) > 10 and max(map(len, seen)) <= 50
+    assert all(len(u) == 1 or sum(map(len, u[:-1])) < 200 for u in seen)
+    assert sliced.groups == whole.groups and (sliced.numbers == whole.numbers).all()
+    for left, right in zip(whole.pair_records(found), sliced.pair_records(again)):
+        assert left.tolist() == right.tolist()
+    pair, doc, times = whole.pair_records(found)
+    assert len(set(zip(pair.tolist(), doc.tolist()))) == len(pair) and times.sum() == sum(whole.numbers[u, 3].sum() for u in found)
