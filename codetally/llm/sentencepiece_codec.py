@@ -25,9 +25,9 @@ LONG_WORD = 128
 # Words that are encoded as one run.
 RUN_WORDS = 256
 # A batch is encoded in parts of about this many characters.
-PART_CHARS = 1 << 19
+PART_CHARS = 1 << 18
 
-# One in so many rows is compared with the library as a whole.
+# The column ``parity`` stands on one in so many rows; ``text_parity`` on all.
 AUDITED = 20
 
 # Fixed values of the model file format.
@@ -119,10 +119,11 @@ class Codec:
     spaces. A unigram model keeps its scores; a BPE model gets every split of a
     piece into two pieces as a merge, in the order of the scores.
 
-    If no piece has the marker after another character, no piece spans the start of
-    a word, and a text's ids are those of its words one after the other. Words that
-    were not seen before are then encoded in batches, on several threads, and
-    remembered if they are short. Otherwise whole texts are encoded.
+    Whole texts are encoded in batches, on several threads (:meth:`encode_whole`). If
+    no piece has the marker after another character, no piece spans the start of a
+    word, and a text's ids are those of its words one after the other. Words can then
+    be compared with the library one by one, and are remembered if they are short
+    (:meth:`encode_batch`).
     """
 
     def __init__(self, data: bytes, threads: int = 2, verify: bool = True):
@@ -130,6 +131,7 @@ class Codec:
         os.environ["TOKENIZERS_PARALLELISM"] = "true"
         from tokenizers import Regex, Tokenizer, decoders, models, normalizers
 
+        self.threads = threads
         model = self.model = parse_model(data)
         ids = {piece: i for i, piece in enumerate(model.pieces)}
         if model.algorithm == UNIGRAM:
@@ -180,19 +182,22 @@ class Codec:
             return SPACE * self.model.dummy_prefix + text.replace(" ", SPACE)
         return self.normalizer.normalize_str(text)
 
+    def encode_whole(self, texts: list[str]) -> tuple[list[list[int]], list[bool]]:
+        """The ids of each text, and whether the model's own library gives them for the whole text."""
+        normal = [self.normalise(t) for t in texts]
+        ids = [e.ids for e in self.tokenizer.encode_batch_fast(normal, add_special_tokens=False)]
+        if not self.library:
+            return ids, [True] * len(texts)
+        return ids, [a == b for a, b in zip(ids, self.library.encode(texts, num_threads=self.threads))]
+
     def encode_batch(self, texts: list[str]) -> tuple[list[list[int]], list[bool]]:
         """The ids of each text, and whether the model's own library agrees.
 
         With words, agreement is checked on each distinct word.
         """
-        normal = [self.normalise(t) for t in texts]
         if not self.splits:
-            encoded = [e.ids for e in self.tokenizer.encode_batch_fast(normal, add_special_tokens=False)]
-            same = [True] * len(texts)
-            if self.library:
-                same = [a == b for a, b in zip(encoded, self.library.encode(texts))]
-            return encoded, same
-        words = [self.units(n) for n in normal]
+            return self.encode_whole(texts)
+        words = [self.units(self.normalise(t)) for t in texts]
         if len(self.memo) > MEMO_WORDS:
             self.old, self.memo = self.memo, {}
             self.unequal.intersection_update(self.old)
@@ -322,55 +327,63 @@ def encode(
     threads: int = 2,
     verify: bool = True,
 ) -> DataFrame:
-    """``id_col, ids, n_tokens, round_trip, parity, word_parity`` for each row.
+    """``id_col, ids, n_tokens, round_trip, parity, word_parity, text_parity`` for each row.
 
     ``ids`` are those of the whole text without start and end marks; null and empty
     texts have none. ``round_trip`` says whether decoding gives the text again,
     which a text fails that holds the word marker itself, or that a normaliser
-    changed. ``parity`` says whether the model's own library gives the same ids for
-    the whole text, on rows whose id, or a hash of an id that is no integer, is
-    divisible by ``AUDITED``; it is null on others. ``word_parity`` says whether the
-    library gives the same ids for each word of the text that it can be asked for,
-    when the word is first met. Both are null without ``verify``. Ids of rows may
-    repeat or be null; other columns are not read. The model file is read by the driver and handed to the tasks, as a
-    bounded vocabulary.
+    changed. ``text_parity`` says, on every row, whether the model's own library gives
+    the same ids for the whole text. ``parity`` repeats it on rows whose id, or a hash
+    of an id that is no integer, is divisible by ``AUDITED``, and is null on others.
+    ``word_parity`` says whether the library gives the same ids for each word of the
+    text that it can be asked for: so it does where whole texts agree, and where they
+    do not, words are compared, which tells splitting and normalising from the rest.
+    All three are null without ``verify``. Ids of rows may repeat or be null; other
+    columns are not read. A text is encoded whole. The model file is read by the
+    driver and handed to the tasks, as a bounded vocabulary.
     """
     data = Path(model_file).read_bytes()
     id_type = docs.schema[id_col].dataType.simpleString()
+    names = ["id", "ids", "n_tokens", "round_trip", "parity", "word_parity", "text_parity"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(data, threads, verify)
         for batch in batches:
             keys, at = batch.column(0), 0
             for texts in _parts(batch.column(1)):
-                ids, same = codec.encode_batch(texts)
+                ids, whole = codec.encode_whole(texts)
                 back = [codec.decode(i) == t for i, t in zip(ids, texts)]
-                whole: list[bool | None] = [None] * len(texts)
-                if verify and codec.library:
-                    chosen = [i for i in range(len(texts)) if _audited(keys[at + i].as_py())]
-                    theirs = codec.library.encode([texts[i] for i in chosen])
-                    for i, others in zip(chosen, theirs):
-                        whole[i] = ids[i] == others
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        keys.slice(at, len(texts)),
-                        pa.array(ids, pa.list_(pa.int32())),
-                        pa.array(map(len, ids), pa.int32()),
-                        pa.array(back, pa.bool_()),
-                        pa.array(whole, pa.bool_()),
-                        pa.array(same if verify else [None] * len(same), pa.bool_()),
-                    ],
-                    names=["id", "ids", "n_tokens", "round_trip", "parity", "word_parity"],
-                )
+                mine = keys.slice(at, len(texts))
                 at += len(texts)
+                columns = [mine, _id_lists(ids), pa.array(map(len, ids), pa.int32()), pa.array(back, pa.bool_())]
+                if verify:
+                    words = list(whole)
+                    odd = [i for i, same in enumerate(whole) if not same]
+                    for i, same in zip(odd, codec.encode_batch([texts[i] for i in odd])[1] if odd else []):
+                        words[i] = same
+                    audited = [same if _audited(k.as_py()) else None for k, same in zip(mine, whole)]
+                    columns += [pa.array(c, pa.bool_()) for c in (audited, words, whole)]
+                else:
+                    columns += [pa.nulls(len(texts), pa.bool_())] * 3
+                yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return (
         docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-        .mapInArrow(run, f"id {id_type}, ids array<int>, n_tokens int, round_trip boolean, parity boolean, word_parity boolean")
+        .mapInArrow(
+            run,
+            f"id {id_type}, ids array<int>, n_tokens int, round_trip boolean,"
+            " parity boolean, word_parity boolean, text_parity boolean",
+        )
         .withColumnRenamed("id", id_col)
     )
 
 
+def _id_lists(ids: list[list[int]]) -> pa.ListArray:
+    sizes = np.fromiter(map(len, ids), np.int32, len(ids))
+    values = np.fromiter(chain.from_iterable(ids), np.int32, int(sizes.sum()))
+    return pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32), values)
+
+
 def decode(
     encoded: DataFrame,
     id_col: str = "doc_id",

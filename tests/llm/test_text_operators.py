@@ -290,3 +290,18 @@ def test_runs_of_words_have_the_ids_of_the_words_and_long_words_are_not_kept():
     assert (ids, same) == single.encode_batch(texts)
     assert ids == runs.library.encode(texts) and all(same)
     assert max(map(len, runs.memo)) <= sentencepiece_codec.LONG_WORD
+
+
+def test_every_whole_text_is_compared_with_the_library(spark, monkeypatch):
+    rows = [(i, f"some  words {i}") for i in range(1, 20)] + [(None, "no id"), (7, None), (7, "")]
+    found = sentencepiece_codec.encode(docs_frame(spark, rows)).collect()
+    assert [r.text_parity for r in found] == [True] * len(rows)
+    assert {r.text_parity for r in sentencepiece_codec.encode(docs_frame(spark, rows), verify=False).collect()} == {None}
+    data = Path(sentencepiece_codec.MODEL_FILE).read_bytes()
+    codec = sentencepiece_codec.Codec(data, 1, True)
+    texts = [t or "" for t in TEXTS]
+    ids, same = codec.encode_whole(texts)
+    assert ids == codec.library.encode(texts) and all(same)
+    monkeypatch.setattr(codec, "normalise", lambda text: "▁" + text.replace("  ", " ").replace(" ", "▁"))
+    assert codec.encode_whole(["some  words", "some words"])[1] == [False, True]
+    assert codec.encode_batch(["some  words"])[1] == [True], "words cannot tell"
