@@ -27,7 +27,7 @@ RUN_WORDS = 256
 # A batch is encoded in parts of about this many characters.
 PART_CHARS = 1 << 18
 
-# The column ``parity`` stands on one in so many rows; ``text_parity`` on all.
+# The column ``parity`` stands on one in so many rows if not told otherwise; ``text_parity`` on all.
 AUDITED = 20
 
 # Fixed values of the model file format.
@@ -313,10 +313,10 @@ def _parts(texts: pa.Array) -> Iterator[list[str]]:
         yield part
 
 
-def _audited(row_id) -> bool:
-    if row_id is None:
-        return False
-    return (row_id if isinstance(row_id, int) else crc32(str(row_id).encode())) % AUDITED == 0
+def _audited(row_id, every: int = AUDITED) -> bool:
+    if every == 1 or row_id is None:
+        return every == 1
+    return (row_id if isinstance(row_id, int) else crc32(str(row_id).encode())) % every == 0
 
 
 def encode(
@@ -326,6 +326,7 @@ def encode(
     model_file: str = MODEL_FILE,
     threads: int = 2,
     verify: bool = True,
+    parity_every: int = AUDITED,
 ) -> DataFrame:
     """``id_col, ids, n_tokens, round_trip, parity, word_parity, text_parity`` for each row.
 
@@ -334,7 +335,8 @@ def encode(
     which a text fails that holds the word marker itself, or that a normaliser
     changed. ``text_parity`` says, on every row, whether the model's own library gives
     the same ids for the whole text. ``parity`` repeats it on rows whose id, or a hash
-    of an id that is no integer, is divisible by ``AUDITED``, and is null on others.
+    of an id that is no integer, is divisible by ``parity_every``, and is null on others;
+    with 1 it stands on every row, those without an id included.
     ``word_parity`` says whether the library gives the same ids for each word of the
     text that it can be asked for: so it does where whole texts agree, and where they
     do not, words are compared, which tells splitting and normalising from the rest.
@@ -361,7 +363,7 @@ def encode(
                     odd = [i for i, same in enumerate(whole) if not same]
                     for i, same in zip(odd, codec.encode_batch([texts[i] for i in odd])[1] if odd else []):
                         words[i] = same
-                    audited = [same if _audited(k.as_py()) else None for k, same in zip(mine, whole)]
+                    audited = [same if _audited(k.as_py(), parity_every) else None for k, same in zip(mine, whole)]
                     columns += [pa.array(c, pa.bool_()) for c in (audited, words, whole)]
                 else:
                     columns += [pa.nulls(len(texts), pa.bool_())] * 3
