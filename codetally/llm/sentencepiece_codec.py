@@ -13,6 +13,7 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,10 +23,12 @@ SPACE = "▁"
 MEMO_WORDS = 1 << 15
 # Longer words, such as whole texts without spaces, are not remembered.
 LONG_WORD = 128
-# Words that are encoded as one run.
-RUN_WORDS = 256
-# A batch is encoded in parts of about this many characters.
+# Words that are encoded as one run, and runs that are encoded at once.
+RUN_WORDS, RUNS = 256, 64
+# A batch is compared with the library in parts of about this many characters.
 PART_CHARS = 1 << 18
+# Each distinct word is encoded once in portions of about this many bytes of text.
+PORTION_BYTES = 1 << 23
 
 # The column ``parity`` stands on one in so many rows if not told otherwise; ``text_parity`` on all.
 AUDITED = 20
@@ -123,7 +126,8 @@ class Codec:
     no piece has the marker after another character, no piece spans the start of a
     word, and a text's ids are those of its words one after the other. Words can then
     be compared with the library one by one, and are remembered if they are short
-    (:meth:`encode_batch`).
+    (:meth:`encode_batch`). Texts that are compared whole are put together from
+    the distinct words of a portion of texts (:meth:`encode_portion`).
     """
 
     def __init__(self, data: bytes, threads: int = 2, verify: bool = True):
@@ -166,6 +170,9 @@ class Codec:
         self.unequal: set[str] = set()
         # Scores of unigram models add up with rounding, which a run must not change.
         self.in_runs = self.splits and model.algorithm == BPE
+        # Plain texts have a marker for each space and one in front.
+        self.by_words = self.in_runs and model.dummy_prefix and not model.charsmap and not model.strip_spaces
+        self.by_words &= SPACE in ids and model.kinds[ids.get(SPACE, 0)] == NORMAL
         self.starts = np.array([p.startswith(SPACE) for p in model.pieces])
         self.units = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+").findall
         self.bytes_of = [_piece_bytes(p, k) for p, k in zip(model.pieces, model.kinds)]
@@ -190,6 +197,59 @@ class Codec:
             return ids, [True] * len(texts)
         return ids, [a == b for a, b in zip(ids, self.library.encode(texts, num_threads=self.threads))]
 
+    def encode_portion(self, texts: pa.Array) -> Iterator[tuple[list[str], list[np.ndarray], list[bool]]]:
+        """Parts of the texts, the ids of each text, and whether the model's own library gives them for the whole text.
+
+        In plain texts all words stand between single spaces. Their ids are put together
+        from those of the distinct words. Texts that are not plain, and those that the
+        library encodes in another way, are encoded whole. Null is empty.
+        """
+        texts = texts.fill_null("")
+        plain = np.zeros(len(texts), bool)
+        if self.by_words:
+            plain = ~np.asarray(pc.match_substring_regex(texts, f"^$|^ | $|  |{SPACE}"))
+        words = pc.split_pattern(texts.filter(pa.array(plain)), " ")
+        coded = words.flatten().dictionary_encode()
+        values, starts, sizes = self._word_ids(coded.dictionary.to_pylist())
+        word = np.asarray(coded.indices)
+        stops = np.zeros(len(texts) + 1, np.int64)
+        stops[1:][plain] = words.value_lengths()
+        stops = np.cumsum(stops)
+        at = 0
+        for part in _parts(texts):
+            here, mine = plain[at : at + len(part)], stops[at : at + len(part) + 1]
+            at += len(part)
+            used = word[mine[0] : mine[-1]]
+            size = sizes[used]
+            ends = np.cumsum(size)
+            joined = values[np.repeat(starts[used] - ends + size, size) + np.arange(size.sum())]
+            ids = np.split(joined, np.r_[0, ends][mine[1:-1] - mine[0]])
+            same = [True] * len(part)
+            rest = np.flatnonzero(~here).tolist()
+            if self.library:
+                asked = np.flatnonzero(here).tolist()
+                theirs = self.library.encode([part[i] for i in asked], num_threads=self.threads)
+                rest += [i for i, others in zip(asked, theirs) if not np.array_equal(ids[i], others)]
+            if rest:
+                for i, found, agrees in zip(rest, *self.encode_whole([part[i] for i in rest])):
+                    ids[i], same[i] = np.array(found, np.int32), agrees
+            yield part, ids, same
+
+    def _word_ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The ids of words, each with one marker before it, one after the other; where each begins, and how many it has.
+
+        Words go in runs, whose ids are those of the words, each beginning with the one piece that has the marker.
+        """
+        runs = [SPACE + SPACE.join(words[i : i + RUN_WORDS]) for i in range(0, len(words), RUN_WORDS)]
+        found = [np.zeros(0, np.int32)]
+        for i in range(0, len(runs), RUNS):
+            encoded = self.tokenizer.encode_batch_fast(runs[i : i + RUNS], add_special_tokens=False)
+            found += [np.array(e.ids, np.int32) for e in encoded]
+        values = np.concatenate(found)
+        starts = np.flatnonzero(self.starts[values])
+        assert len(starts) == len(words)
+        return values, starts, np.diff(np.r_[starts, len(values)])
+
     def encode_batch(self, texts: list[str]) -> tuple[list[list[int]], list[bool]]:
         """The ids of each text, and whether the model's own library agrees.
 
@@ -313,6 +373,16 @@ def _parts(texts: pa.Array) -> Iterator[list[str]]:
         yield part
 
 
+def _portions(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Rows of a batch by about ``PORTION_BYTES`` of its second column."""
+    ends = np.cumsum(np.asarray(pc.binary_length(batch.column(1)).fill_null(0)), dtype=np.int64)
+    at = 0
+    while at < len(ends):
+        stop = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + PORTION_BYTES)) + 1
+        yield batch.slice(at, stop - at)
+        at = stop
+
+
 def _audited(row_id, every: int = AUDITED) -> bool:
     if every == 1 or row_id is None:
         return every == 1
@@ -350,14 +420,14 @@ def encode(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(data, threads, verify)
-        for batch in batches:
-            keys, at = batch.column(0), 0
-            for texts in _parts(batch.column(1)):
-                ids, whole = codec.encode_whole(texts)
-                back = [codec.decode(i) == t for i, t in zip(ids, texts)]
-                mine = keys.slice(at, len(texts))
+        for portion in chain.from_iterable(map(_portions, batches)):
+            at = 0
+            for texts, ids, whole in codec.encode_portion(portion.column(1)):
+                lists = _id_lists(ids)
+                back = [codec.decode(i.tolist()) == t for i, t in zip(ids, texts)]
+                mine = portion.column(0).slice(at, len(texts))
                 at += len(texts)
-                columns = [mine, _id_lists(ids), pa.array(map(len, ids), pa.int32()), pa.array(back, pa.bool_())]
+                columns = [mine, lists, lists.value_lengths(), pa.array(back, pa.bool_())]
                 if verify:
                     words = list(whole)
                     odd = [i for i, same in enumerate(whole) if not same]
@@ -380,10 +450,9 @@ def encode(
     )
 
 
-def _id_lists(ids: list[list[int]]) -> pa.ListArray:
-    sizes = np.fromiter(map(len, ids), np.int32, len(ids))
-    values = np.fromiter(chain.from_iterable(ids), np.int32, int(sizes.sum()))
-    return pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32), values)
+def _id_lists(ids: list[np.ndarray]) -> pa.ListArray:
+    ends = np.cumsum([0, *map(len, ids)]).astype(np.int32)
+    return pa.ListArray.from_arrays(ends, np.concatenate([np.zeros(0, np.int32), *ids]))
 
 
 def decode(

@@ -5,6 +5,7 @@ import re
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from codetally.llm import decontaminate, license_rules, sentencepiece_codec, weak_label
@@ -305,3 +306,39 @@ def test_every_whole_text_is_compared_with_the_library(spark, monkeypatch):
     monkeypatch.setattr(codec, "normalise", lambda text: "▁" + text.replace("  ", " ").replace(" ", "▁"))
     assert codec.encode_whole(["some  words", "some words"])[1] == [False, True]
     assert codec.encode_batch(["some  words"])[1] == [True], "words cannot tell"
+
+
+def test_distinct_words_of_a_portion_are_encoded_once(monkeypatch):
+    monkeypatch.setattr(sentencepiece_codec, "RUN_WORDS", 7)
+    monkeypatch.setattr(sentencepiece_codec, "RUNS", 3)
+    monkeypatch.setattr(sentencepiece_codec, "PART_CHARS", 500)
+    monkeypatch.setattr(sentencepiece_codec, "PORTION_BYTES", 6000)
+    codec = sentencepiece_codec.Codec(Path(sentencepiece_codec.MODEL_FILE).read_bytes(), 1)
+    draw = random.Random(6)
+    signs = [" ", " ", "  ", "a", "b", "▁", "é", "中", "\n", "\0", "😀", "<s>", "<unk>", " the", "　"]
+    texts = ["".join(draw.choices(signs, k=draw.randrange(40))) for _ in range(2000)]
+    texts += ["", None, " ", "x ", " x", "x\n", "\n x", "a  b", "▁", "one", "中" * 5000, "a " * 600 + "b", None]
+    rows = pa.RecordBatch.from_arrays([pa.array(range(len(texts) + 2)), pa.array(["cut", *texts, "cut"])], names=["id", "text"])
+    portions = list(sentencepiece_codec._portions(rows.slice(1, len(texts))))
+    assert len(portions) > 5 and [i for p in portions for i in p.column(0).to_pylist()] == list(range(1, len(texts) + 1))
+    parts = [part for p in portions for part in codec.encode_portion(p.column(1))]
+    assert [t for part, _, _ in parts for t in part] == [t or "" for t in texts]
+    assert [i.tolist() for _, ids, _ in parts for i in ids] == codec.library.encode([t or "" for t in texts])
+    assert all(same for _, _, agree in parts for same in agree)
+
+    class Counted:
+        chars = 0
+
+        def encode_batch_fast(self, texts, **options):
+            self.chars += sum(map(len, texts))
+            return tokenizer.encode_batch_fast(texts, **options)
+
+    monkeypatch.setattr(sentencepiece_codec, "PORTION_BYTES", 1 << 20)
+    tokenizer, codec.tokenizer = codec.tokenizer, Counted()
+    same_words = pa.array(["some words of a text that come again"] * 500)
+    ids = [i for _, ids, _ in codec.encode_portion(same_words) for i in ids]
+    assert len(ids) == 500 and {tuple(i) for i in ids} == {tuple(codec.library.encode(same_words[0].as_py()))}
+    assert 0 < codec.tokenizer.chars < 100
+    codec.library.encode = lambda texts, **options: [[0] for _ in texts]
+    odd = [(i.tolist(), same) for _, ids, agree in codec.encode_portion(same_words[:3]) for i, same in zip(ids, agree)]
+    assert odd == [(ids[0].tolist(), False)] * 3
