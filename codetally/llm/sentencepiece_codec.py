@@ -17,6 +17,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from codetally.llm.storage import release
+
 MODEL_FILE = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 # Words whose ids a worker remembers; then it starts anew.
@@ -438,6 +440,7 @@ def encode(
                 else:
                     columns += [pa.nulls(len(texts), pa.bool_())] * 3
                 yield pa.RecordBatch.from_arrays(columns, names=names)
+            release()
 
     return (
         docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))

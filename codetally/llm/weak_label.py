@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import ArrowUDFType
 
-from codetally.llm.storage import drop_staged, stage
+from codetally.llm.storage import drop_staged, release, stage
 
 ABSTAIN, JUNK, GOOD = 0, 1, 2
 # Buckets of word shapes, of words and pairs of words, then two for each labeller's statistic.
@@ -344,6 +344,7 @@ def fit_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             cast = [v for _, portion in portions(batch.column(1), vocabulary) for v in portion.votes()]
             cast = pa.array(cast, pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0), cast], names=["h", "votes"])
+            release()
 
     hashed = docs.select(F.xxhash64(id_col, text_col).alias("h"), F.col(text_col).alias("text"))
     voted = stage(hashed.mapInArrow(run, "h long, votes binary"), "votes")
@@ -375,6 +376,7 @@ def fit_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                 ],
                 names=["h", "buckets", "shares", "good"],
             )
+            release()
 
     fitted = hashed.where(F.col("h") <= bound).mapInArrow(
         features, "h long, buckets binary, shares binary, good double"
@@ -394,6 +396,7 @@ def score_quality(
         vocabulary = Vocabulary()
         for texts in batches:
             yield pa.array(scorer.scores(texts, vocabulary))
+            release()
 
     score = F.arrow_udf(run, "double", ArrowUDFType.SCALAR_ITER)
     return docs.withColumn(score_col, score(F.col(text_col)))

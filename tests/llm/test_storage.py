@@ -28,3 +28,30 @@ def test_nothing_is_left_after_the_session(tmp_path):
     )
     assert done.returncode == 0, done.stderr[-2000:]
     assert [f for f in os.listdir(folder) if f.startswith("llm-")] == []
+
+
+def test_release_gives_freed_memory_back():
+    code = """
+import pyarrow as pa
+from codetally.llm.storage import release
+
+def used():
+    return next(int(x.split()[1]) for x in open("/proc/self/status") if x.startswith("RssAnon")) // 1024
+
+kept = []
+for _ in range(200):
+    blocks = [bytearray(4000) for _ in range(100)]
+    kept.append(blocks.pop())
+    kept.append(pa.array(["x" * 1000] * 100).slice(0, 1).to_pylist())
+held = [bytearray(4000) for _ in range(20000)]
+kept += held[::400]
+del held, blocks
+before = used()
+release()
+print(before - used())
+"""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    found = subprocess.run(
+        [sys.executable, "-c", code], env=os.environ | {"PYTHONPATH": root}, capture_output=True, text=True, check=True
+    )
+    assert int(found.stdout) > 40
